@@ -38,6 +38,11 @@ def _ids_of(pair: str) -> tuple[int, int]:
     return ord(pair[0]) - _BASE, ord(pair[1]) - _BASE
 
 
+def word_ids(word: Column) -> Column:
+    """Vocabulary ids of a word's symbols."""
+    return F.transform(F.split(word, ""), lambda c: (F.ascii(c) - _BASE).cast("int"))
+
+
 def piece_frequencies(text: DataFrame, column: str = "text", lowercase: bool = True) -> DataFrame:
     """``piece, freq`` over all texts; counted per task before the shuffle, so a hot piece is one row per task."""
     split = text.select(F.explode_outer(pieces(F.col(column), lowercase)).alias("piece"))
