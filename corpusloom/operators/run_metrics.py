@@ -79,7 +79,7 @@ def running_means(events: DataFrame, order: str = "step", by: tuple[str, ...] =
     scanned = _block_scan(
         events, list(by), order, {"_sum": F.col("batch_loss"), "_n": F.lit(1).cast("bigint")}
     )
-    means = scanned.withColumns({"i": F.col("_n") - 1, "running_loss": F.col("_sum") / F.col("_n")})
+    means = scanned.withColumns({"i": F.col("_n") - 1, "running_loss": F.col("_sum").cast("double") / F.col("_n")})
     return means.drop("_sum", "_n")
 
 
@@ -88,7 +88,7 @@ def running_accuracy(
 ) -> DataFrame:
     """Adds the accuracy in percent of the epoch so far, weighted by elements."""
     scanned = _block_scan(events, list(by), order, {"_c": F.col(correct), "_e": F.col(total)})
-    return scanned.withColumn(name, F.col("_c") / F.greatest(F.lit(1), F.col("_e")) * 100).drop("_c", "_e")
+    return scanned.withColumn(name, F.col("_c").cast("double") / F.greatest(F.lit(1), F.col("_e")) * 100).drop("_c", "_e")
 
 
 def epoch_summary(batches: DataFrame) -> DataFrame:
