@@ -4,6 +4,8 @@ window instead of arrays, sampling and masking by one draw per token, spans by j
 
 from __future__ import annotations
 
+import math
+
 from ..functions.draws import threshold
 from ..functions.text import PUNCTUATION, PY_SPACE, SPECIAL_TOKENS
 from ..operators.corpus import TEST_RATIO
@@ -206,26 +208,69 @@ chosen AS (SELECT *, CASE WHEN substr(h, 1, 8) < '{threshold(0.5)}' THEN idx
 sampled AS (SELECT c.split, c.idx, c.is_next, c.s1, o.s2 FROM chosen c JOIN indexed o ON o.split = c.split AND o.idx = c.other)"""
 
 
-def masked_list(ids: str, side: int) -> str:
-    """``[(input, label)]``, with a draw for every token."""
-    key = f"'mask', {SEED}, 0, split, idx, {side}"
-    unit = f"substr(md5(concat_ws('|', {key}, (i - 1) // 4)), 1 + 8 * ((i - 1) % 4), 8)"
-    h = f"md5(concat_ws('|', {key}, 'token', i - 1))"
-    new = f"(5 + ('0x' || substr({h}, 9, 15))::BIGINT % 256)::INTEGER"
-    chosen = f"""CASE WHEN substr({h}, 1, 8) < '{threshold(0.8)}' THEN 4
-        WHEN substr({h}, 1, 8) < '{threshold(0.9)}' THEN {new} ELSE x END"""
-    return f"""list_transform({ids}, lambda x, i: CASE WHEN x < 5 OR {unit} >= '{threshold(0.15)}'
-        THEN {{'input': x, 'label': 0}} ELSE {{'input': {chosen}, 'label': x}} END)"""
+# The multipliers of the public 64-bit hash that draws for tokens.
+_P1, _P2, _P3, _P4, _P5 = (
+    11400714785074694791,
+    14029467366897019727,
+    1609587929392839161,
+    9650029242287828579,
+    2870177450012600261,
+)
+_LOW64 = "18446744073709551615::UHUGEINT"
+
+
+def hash_ctes(source: str, number: str, out: str, keep: str = "*") -> str:
+    """The 64-bit hash ``x`` of a whole number, one line per step."""
+
+    def mul(a: str, by: int) -> str:
+        return f"(({a}) * {by}::UHUGEINT) & {_LOW64}"
+
+    def rotated(a: str, by: int) -> str:
+        return f"(({a} << {by}) & {_LOW64}) + ({a} >> {64 - by})"
+
+    def folded(by: int) -> str:
+        return f"xor(x, x >> {by})"
+
+    steps = [
+        rotated("x", 31),
+        f"xor({mul('x', _P1)}, {42 + _P5 + 8}::UHUGEINT)",
+        rotated("x", 27),
+        f"(({mul('x', _P1)}) + {_P4}::UHUGEINT) & {_LOW64}",
+        mul(folded(33), _P2),
+        mul(folded(29), _P3),
+        folded(32),
+    ]
+    names = [f"{out}{i}" for i in range(len(steps))] + [out]
+    first = f"{names[0]} AS (SELECT {keep}, {mul(f'({number})::UHUGEINT', _P2)} AS x FROM {source})"
+    rest = [f"{b} AS (SELECT * REPLACE ({e} AS x) FROM {a})" for a, b, e in zip(names, names[1:], steps)]
+    return ",\n".join([first, *rest])
+
+
+def masked_ctes(source: str, sides: int) -> str:
+    """``masked(split, idx, side, i, input, label)`` of ``source(split, idx, i1, i2)``, a row per token."""
+    row = f"('0x' || substr(md5(concat_ws('|', 'mask', {SEED}, 0, split, idx, side)), 1, 15))::BIGINT"
+    lists = " UNION ALL ".join(f"SELECT split, idx, {k} AS side, i{k} AS ids FROM {source}" for k in range(1, sides + 1))
+    low, high = "x & 4294967295::UHUGEINT", "x >> 32"
+    return f"""sides AS ({lists}),
+tokens AS (SELECT split, idx, side, {row} AS row_key, generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS id FROM sides),
+{hash_ctes('tokens', 'row_key + i', 'h')},
+picked AS (SELECT split, idx, side, i, id, x, id >= 5 AND ({low}) < {math.floor(0.15 * 2**32)}::UHUGEINT AS picked FROM h),
+{hash_ctes('(SELECT split, idx, side, i, x AS y FROM picked WHERE picked)',
+           'y', 'g', 'split, idx, side, i')},
+masked AS (SELECT p.split, p.idx, p.side, p.i, CASE WHEN NOT picked THEN id WHEN (g.{low}) < {math.floor(0.8 * 2**32)}::UHUGEINT THEN 4
+    WHEN (g.{low}) < {math.floor(0.9 * 2**32)}::UHUGEINT THEN (5 + (g.{high}) % 256::UHUGEINT)::INTEGER ELSE id END AS input,
+    CASE WHEN picked THEN id ELSE 0 END AS label
+  FROM picked p LEFT JOIN g ON g.split = p.split AND g.idx = p.idx AND g.side = p.side AND g.i = p.i)"""
 
 
 ORACLES["d1_dense_index"] = f"WITH {INDEXED} SELECT split, idx, source, doc_id, para, pos FROM indexed"
 ORACLES["d2_next_sentence"] = f"WITH {NSP} SELECT split, idx, is_next, s1, s2 FROM sampled"
-MASKED_FIRST = f"{IDS}, masked AS (SELECT split, idx, {masked_list('i1', 1)} AS t FROM pair_ids)"
+MASKED_FIRST = f"{IDS}, {masked_ctes('pair_ids', 1)}"
 ORACLES["d3_masked_tokens"] = f"""WITH {MASKED_FIRST}
-SELECT split, idx, array_to_string(list_transform(t, lambda v: v.input), ' ') AS input,
-       array_to_string(list_transform(t, lambda v: v.label), ' ') AS label FROM masked"""
-ORACLES["d4_replacements"] = f"""WITH {MASKED_FIRST}, tokens AS (SELECT unnest(t) AS v FROM masked)
-SELECT v.input AS id, count(*) AS n FROM tokens WHERE v.label <> 0 AND v.input <> v.label AND v.input <> 4 GROUP BY 1"""
+SELECT split, idx, string_agg(input::VARCHAR, ' ' ORDER BY i) AS input, string_agg(label::VARCHAR, ' ' ORDER BY i) AS label
+FROM masked GROUP BY split, idx"""
+ORACLES["d4_replacements"] = f"""WITH {MASKED_FIRST}
+SELECT input AS id, count(*) AS n FROM masked WHERE label <> 0 AND input <> label AND input <> 4 GROUP BY 1"""
 _BUDGET = D.SEQ_LEN - 3
 
 
@@ -252,9 +297,10 @@ ORACLES["d6_assembled"] = f"""WITH {IDS}, short AS (SELECT *, {lengths('len(i1)'
 SELECT split, idx, 1 AS is_next, {assembled('i1', 'i2', 3, 2)} AS bert_input, {_SEGMENT} AS segment_label FROM short"""
 SAMPLES = f"""{NSP}, {BYTE_MAP},
 pair_ids AS (SELECT split, idx, is_next, {ids_of('s1')} AS i1, {ids_of('s2')} AS i2 FROM sampled, byte_map),
-masked AS (SELECT split, idx, is_next, {masked_list('i1', 1)} AS t1, {masked_list('i2', 2)} AS t2 FROM pair_ids),
-parted AS (SELECT split, idx, is_next, list_transform(t1, lambda v: v.input) AS x1, list_transform(t1, lambda v: v.label) AS y1,
-    list_transform(t2, lambda v: v.input) AS x2, list_transform(t2, lambda v: v.label) AS y2 FROM masked),
+{masked_ctes('pair_ids', 2)},
+parted AS (SELECT split, idx, any_value(is_next) AS is_next, coalesce(list(input ORDER BY i) FILTER (side = 1), []) AS x1,
+    coalesce(list(label ORDER BY i) FILTER (side = 1), []) AS y1, coalesce(list(input ORDER BY i) FILTER (side = 2), []) AS x2,
+    coalesce(list(label ORDER BY i) FILTER (side = 2), []) AS y2 FROM masked JOIN pair_ids USING (split, idx) GROUP BY split, idx),
 short AS (SELECT *, {lengths('len(x1)', 'len(x2)')} FROM parted),
 samples AS (SELECT split, idx, is_next, {assembled('x1', 'x2', 3, 2)} AS bert_input, {assembled('y1', 'y2', 0, 0)} AS bert_label,
     {_SEGMENT} AS segment_label FROM short)"""

@@ -326,36 +326,40 @@ def d2_next_sentence(spark, sf):
     return samples.sample_second_sentences(D.indexed_pairs(spark, sf), SEED).select("split", "idx", "is_next", "s1", "s2")
 
 
+def _first_sentence_codes(spark, sf) -> DataFrame:
+    codes = samples.mask_codes(F.col("i1"), len(D.bytes_only()), "mask", SEED, 0, F.col("split"), F.col("idx"), 1)
+    return _byte_ids(spark, sf).select("split", "idx", "i1", codes.alias("codes"))
+
+
 @query
 def d3_masked_tokens(spark, sf):
-    masked = samples.mask_tokens(F.col("i1"), len(D.bytes_only()), "mask", SEED, 0, F.col("split"), F.col("idx"), 1)
-    rows = _byte_ids(spark, sf).select("split", "idx", masked.alias("t"))
-    return rows.select("split", "idx", shown(F.col("t.input")).alias("input"), shown(F.col("t.label")).alias("label"))
+    ids, codes = F.col("i1"), F.col("codes")
+    return _first_sentence_codes(spark, sf).select(
+        "split",
+        "idx",
+        shown(samples.masked_input(ids, codes)).alias("input"),
+        shown(samples.masked_label(ids, codes)).alias("label"),
+    )
 
 
 @query
 def d4_replacements(spark, sf):
-    masked = samples.mask_tokens(F.col("i1"), len(D.bytes_only()), "mask", SEED, 0, F.col("split"), F.col("idx"), 1)
-    tokens = _byte_ids(spark, sf).select(F.explode_outer(masked).alias("t")).select("t.input", "t.label")
-    replaced = tokens.filter((F.col("label") != 0) & (F.col("input") != F.col("label")) & (F.col("input") != MASK))
-    return replaced.groupBy(F.col("input").alias("id")).agg(F.count("*").alias("n"))
+    tokens = _first_sentence_codes(spark, sf).select(F.explode_outer(F.arrays_zip("i1", "codes")).alias("t"))
+    replaced = tokens.select("t.*").filter((F.col("codes") > MASK) & (F.col("codes") != F.col("i1")))
+    return replaced.groupBy(F.col("codes").alias("id")).agg(F.count("*").alias("n"))
 
 
 @query
 def d5_truncated_lengths(spark, sf):
-    cut = samples.truncate_pair(_byte_ids(spark, sf).withColumnsRenamed({"i1": "t1", "i2": "t2"}), D.SEQ_LEN)
-    return cut.select("split", "idx", F.size("t1").alias("n1"), F.size("t2").alias("n2"))
+    cut = samples.truncate_pair(_byte_ids(spark, sf), D.SEQ_LEN)
+    return cut.select("split", "idx", F.size("i1").alias("n1"), F.size("i2").alias("n2"))
 
 
 @query
 def d6_assembled(spark, sf):
-    plain = [
-        F.transform(c, lambda i: F.struct(i.alias("input"), F.lit(0).alias("label"))).alias(t)
-        for c, t in (("i1", "t1"), ("i2", "t2"))
-    ]
-    rows = _byte_ids(spark, sf).select("split", "idx", "is_next", *plain)
-    made = samples.assemble(samples.truncate_pair(rows, D.SEQ_LEN), D.SEQ_LEN)
-    return _shown_sample(made).drop("bert_label")
+    cut = samples.truncate_pair(_byte_ids(spark, sf), D.SEQ_LEN)
+    unmasked = {f"codes{k}": F.transform(f"i{k}", lambda i: F.lit(0)) for k in (1, 2)}
+    return _shown_sample(samples.assemble(cut.withColumns(unmasked), D.SEQ_LEN)).drop("bert_label")
 
 
 @query

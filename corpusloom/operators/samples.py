@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import DIGITS, below, digest, integer, threshold
+from ..functions.bind import let
+from ..functions.draws import DIGITS, below, digest, high_integer, integer, low_below, position_draw, row_key
 from ..functions.text import EOS, MASK, N_SPECIAL, PAD, SOS
 from .encoding import encode
 from .indexing import Indexed, shuffled_rank
@@ -17,8 +20,6 @@ MASK_PROB = 0.15
 MASKED = 0.8
 MASKED_OR_REPLACED = 0.9
 
-_DRAWS_PER_DIGEST = 32 // DIGITS
-
 
 def sample_second_sentences(pairs: Indexed, seed: int = 0, epoch: int = 0, group: str | None = "split") -> DataFrame:
     """Adds ``is_next``; half of the rows get the second sentence of another pair of their group instead of their own.
@@ -40,43 +41,35 @@ def sample_second_sentences(pairs: Indexed, seed: int = 0, epoch: int = 0, group
     return kept.unionByName(replaced)
 
 
-def mask_tokens(ids: Column, vocab_size: int, *key: Column | str | int, mask_prob: float = MASK_PROB) -> Column:
-    """``array<struct(input, label)>`` of the ids: selected tokens are masked, replaced or left, and labelled.
+def mask_codes(ids: Column, vocab_size: int, *key: Column | str | int, mask_prob: float = MASK_PROB) -> Column:
+    """For each id 0 if it is not selected, else the id it is shown as: the mask, a random one or itself.
 
-    One digest serves four tokens, and a second one is drawn only for tokens that are selected. The label is 0 everywhere
-    else. Reserved tokens are neither selected nor drawn as a replacement.
+    A token's draws depend on the key and its position only. Reserved tokens are neither selected nor drawn as a replacement.
     """
-    n = F.size(ids)
-    blocks = F.sequence(F.lit(0), F.floor((n - 1) / _DRAWS_PER_DIGEST).cast("int"))
-    draws = F.flatten(
-        F.transform(
-            F.transform(blocks, lambda b: digest(*key, b)),
-            lambda h: F.array(*[F.substring(h, 1 + DIGITS * i, DIGITS) for i in range(_DRAWS_PER_DIGEST)]),
-        )
-    )
-    drawn = F.arrays_zip(ids.alias("id"), F.slice(draws, 1, n).alias("u"))
-    selected = F.transform(
-        drawn,
-        lambda d, i: F.struct(
-            d["id"].alias("id"),
-            F.when(
-                (d["id"] >= N_SPECIAL) & (d["u"] < F.lit(threshold(mask_prob))), digest(*key, "token", i)
-            ).alias("h"),
-        ),
-    )
 
-    def outcome(t: Column) -> Column:
-        replacement = (integer(t["h"], vocab_size - N_SPECIAL, at=DIGITS + 1) + N_SPECIAL).cast("int")
-        masked = (
-            F.when(t["h"].isNull(), t["id"])
-            .when(below(t["h"], MASKED), F.lit(MASK))
-            .when(below(t["h"], MASKED_OR_REPLACED), replacement)
-            .otherwise(t["id"])
-        )
-        label = F.when(t["h"].isNull(), F.lit(PAD)).otherwise(t["id"])
-        return F.struct(masked.alias("input"), label.alias("label"))
+    def shown(token: Column, h: Column) -> Column:
+        replacement = (high_integer(h, vocab_size - N_SPECIAL) + N_SPECIAL).cast("int")
+        return F.when(low_below(h, MASKED), F.lit(MASK)).when(low_below(h, MASKED_OR_REPLACED), replacement).otherwise(token)
+
+    def code_of(row: Column) -> Callable[[Column, Column], Column]:
+        def code(token: Column, i: Column) -> Column:
+            drawn = position_draw(row, i)
+            selected = low_below(drawn, mask_prob) & (token >= N_SPECIAL)
+            return F.when(selected, let(F.xxhash64(drawn), lambda h: shown(token, h))).otherwise(F.lit(PAD))
+
+        return code
 
-    return F.transform(selected, outcome)
+    return let(row_key(*key), lambda row: F.transform(ids, code_of(row)))
+
+
+def masked_input(ids: Column, codes: Column) -> Column:
+    """Ids with the selected ones replaced by their code."""
+    return F.zip_with(ids, codes, lambda token, code: F.when(code == PAD, token).otherwise(code))
+
+
+def masked_label(ids: Column, codes: Column) -> Column:
+    """Original ids of the selected tokens, 0 everywhere else."""
+    return F.zip_with(ids, codes, lambda token, code: F.when(code == PAD, F.lit(PAD)).otherwise(token))
 
 
 def pair_lengths(n1: Column, n2: Column, seq_len: int) -> tuple[Column, Column]:
@@ -87,30 +80,36 @@ def pair_lengths(n1: Column, n2: Column, seq_len: int) -> tuple[Column, Column]:
 
 
 def truncate_pair(samples: DataFrame, seq_len: int) -> DataFrame:
-    """Cuts ``t1`` and ``t2``, arrays of any element, so that they fit with three marks."""
-    n1, n2 = pair_lengths(F.size("t1"), F.size("t2"), seq_len)
-    lengths = samples.withColumn("n1", n1).withColumn("n2", n2)
-    return lengths.withColumn("t1", F.slice("t1", 1, F.col("n1"))).withColumn("t2", F.slice("t2", 1, F.col("n2")))
+    """Cuts the ids ``i1`` and ``i2`` so that they fit with three marks."""
+    n1, n2 = pair_lengths(F.size("i1"), F.size("i2"), seq_len)
+    lengths = samples.withColumns({"n1": n1, "n2": n2})
+    cut = {"i1": F.slice("i1", 1, F.col("n1")), "i2": F.slice("i2", 1, F.col("n2"))}
+    return lengths.withColumns(cut).drop("n1", "n2")
 
 
-def assemble(samples: DataFrame, seq_len: int) -> DataFrame:
-    """``bert_input, bert_label, segment_label`` of length ``seq_len`` from truncated ``t1`` and ``t2``."""
-    n1, n2 = F.size("t1"), F.size("t2")
-    room = F.lit(seq_len - 3) - n1 - n2
+def framed(first: Column, second: Column, start: int, end: int, room: Column) -> Column:
+    """Both parts between a start and two end marks, padded."""
+    mark = F.array(F.lit(end))
+    return F.concat(F.array(F.lit(start)), first, mark, second, mark, F.array_repeat(F.lit(PAD), room))
 
-    def row(field: str, start: int, end: int) -> Column:
-        marks = [F.array(F.lit(m)) for m in (start, end, end)]
-        return F.concat(
-            marks[0], F.col("t1")[field], marks[1], F.col("t2")[field], marks[2], F.array_repeat(F.lit(PAD), room)
-        )
 
+def assemble(samples: DataFrame, seq_len: int) -> DataFrame:
+    """``bert_input, bert_label, segment_label`` of length ``seq_len`` from truncated ``i1``, ``i2`` and their codes."""
+    n1, n2 = F.size("i1"), F.size("i2")
+    room = F.lit(seq_len - 3) - n1 - n2
+    shown = [masked_input(F.col(f"i{k}"), F.col(f"codes{k}")) for k in (1, 2)]
+    labels = [masked_label(F.col(f"i{k}"), F.col(f"codes{k}")) for k in (1, 2)]
     segment = F.concat(
         F.array_repeat(F.lit(1), n1 + 2), F.array_repeat(F.lit(2), n2 + 1), F.array_repeat(F.lit(PAD), room)
     )
-    made = samples.withColumns(
-        {"bert_input": row("input", SOS, EOS), "bert_label": row("label", PAD, PAD), "segment_label": segment}
+    return samples.select(
+        "split",
+        "idx",
+        "is_next",
+        framed(*shown, SOS, EOS, room).alias("bert_input"),
+        framed(*labels, PAD, PAD, room).alias("bert_label"),
+        segment.alias("segment_label"),
     )
-    return made.drop("t1", "t2", "n1", "n2")
 
 
 def pretraining_samples(
@@ -119,7 +118,7 @@ def pretraining_samples(
     """One sample per pair and epoch: ``split, idx, is_next, bert_input, bert_label, segment_label``.
 
     Another epoch draws other negatives and other masks. The only shuffle is the join that fetches the negatives; sentences
-    are encoded after it, once per sample, and masked before they are truncated.
+    are encoded after it, once per sample.
     """
     drawn = sample_second_sentences(pairs, seed, epoch)
     ids = drawn.select(
@@ -131,16 +130,16 @@ def pretraining_samples(
 def samples_from_ids(
     ids: DataFrame, vocab_size: int, seq_len: int, seed: int, epoch: int, mask_prob: float = MASK_PROB
 ) -> DataFrame:
-    """Masks, cuts and assembles encoded sentences ``i1`` and ``i2``."""
+    """Masks, cuts and assembles encoded sentences ``i1`` and ``i2``.
+
+    Sentences are masked as a whole and cut afterwards. A token's draws do not depend on its neighbours, so cutting first
+    gives the same samples and spares the draws of tokens that are lost.
+    """
     key = ("mask", seed, epoch, F.col("split"), F.col("idx"))
-    masked = ids.select(
-        "split",
-        "idx",
-        "is_next",
-        mask_tokens(F.col("i1"), vocab_size, *key, 1, mask_prob=mask_prob).alias("t1"),
-        mask_tokens(F.col("i2"), vocab_size, *key, 2, mask_prob=mask_prob).alias("t2"),
-    )
-    return assemble(truncate_pair(masked, seq_len), seq_len)
+    codes = {
+        f"codes{k}": mask_codes(F.col(f"i{k}"), vocab_size, *key, k, mask_prob=mask_prob) for k in (1, 2)
+    }
+    return assemble(truncate_pair(ids, seq_len).withColumns(codes), seq_len)
 
 
 def epoch_batches(
