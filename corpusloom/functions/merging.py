@@ -94,21 +94,41 @@ def ids_function(merges: Merges, first_ids: list[int], special: dict[str, int]):
     return ids_of
 
 
+def flat_values(lists: pa.Array, lengths: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """Values of the rows end to end; a null row of ``lengths`` values takes them from ``default``."""
+    given = lists.is_valid().to_numpy(zero_copy_only=False)
+    out = default.copy()
+    out[np.repeat(given, lengths)] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def spans_function(merges: Merges, first_ids: list[int], special: dict[str, int]):
-    """Column function from pieces, their prefix flags and character origins to ids and spans."""
+    """Column function from pieces, their prefix flags, character origins and the raw length to ids and spans."""
     held = []
 
     @F.arrow_udf("struct<ids:array<int>,offsets:array<struct<s:int,e:int>>>")
-    def spans_of(pieces: pa.Array, prefixed: pa.Array, origin: pa.Array) -> pa.Array:
+    def spans_of(pieces: pa.Array, prefixed: pa.Array, origin: pa.Array, length: pa.Array) -> pa.Array:
         if not held:
             held.append(piece_encoder(merges, first_ids, special))
         bounds, counts, (ids, first, last) = encode_batch(pieces, held[0])
-        extra = prefixed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        widths = pc.utf8_length(pieces.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) - extra
+        piece_bounds = row_bounds(pieces)
+        per_row = np.diff(piece_bounds)
+        widths = pc.utf8_length(pieces.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+        row_widths = np.diff(np.concatenate(([0], np.cumsum(widths)))[piece_bounds])
+        # Characters of each folded text; without a list of origins there are as many as in the raw text.
+        moved = origin.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw_length = length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars = np.where(moved >= 0, moved, raw_length)
+        only_first = np.zeros(len(widths), dtype=np.int64)
+        filled = per_row > 0
+        only_first[piece_bounds[:-1][filled]] = (row_widths - chars)[filled]
+        extra = flat_values(prefixed, per_row, only_first)
         # The folded texts of a batch lie end to end, and so do their origins.
+        char_bounds = np.cumsum(chars) - chars
+        raw = flat_values(origin, chars, np.arange(chars.sum()) - np.repeat(char_bounds, chars))
+        widths -= extra
         base = np.repeat(np.cumsum(widths) - widths, counts)
         shift = np.repeat(extra, counts)
-        raw = origin.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
         start = raw[base + np.maximum(first - shift, 0)]
         end = raw[base + np.maximum(last - shift, 0)] + 1
         spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["s", "e"])

@@ -129,7 +129,7 @@ def fold_is_one_to_one(c: Column) -> Column:
 
 def with_prefix_space(c: Column) -> Column:
     """A leading space for text that has none; empty text stays empty."""
-    return F.when((c == "") | c.startswith(" "), c).otherwise(F.concat(F.lit(" "), c))
+    return F.regexp_replace(c, r"\A(?=[^ ])", " ")
 
 
 def split_pieces(c: Column) -> Column:
@@ -162,33 +162,29 @@ def pieces_for_encoding(c: Column, lowercase: bool = True) -> Column:
 
 
 def prefixed(c: Column, lowercase: bool = True) -> Column:
-    """For each of :func:`pieces_for_encoding`, whether a space that the text does not have was put in front of it."""
+    """For each of :func:`pieces_for_encoding`, whether a space that the text does not have was put in front of it; null for
+    text without reserved tokens, where only the first piece can be."""
 
     def flags(s: Column) -> Column:
-        folded = fold(s, lowercase)
         rest = F.array_repeat(F.lit(False), F.greatest(F.size(pieces(s, lowercase)) - 1, F.lit(0)))
-        return F.when(folded == "", F.array().cast("array<boolean>")).otherwise(
-            F.concat(F.array(~folded.startswith(" ")), rest)
-        )
+        first = fold(s, lowercase).rlike(r"\A[^ ]")
+        return F.filter(F.concat(F.array(F.when(fold(s, lowercase) != "", first)), rest), lambda f: f.isNotNull())
 
     cut = F.flatten(
         F.transform(segments(c), lambda s: F.when(is_special(s), F.array(F.lit(False))).otherwise(flags(s)))
     )
-    return F.when(c.rlike(SPECIAL_PATTERN), cut).otherwise(flags(c))
+    return F.when(c.rlike(SPECIAL_PATTERN), cut)
 
 
 def origins(c: Column, lowercase: bool = True) -> Column:
-    """For each character of the folded text, the position of the character it came from."""
-    direct = F.when(F.length(c) == 0, F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(0), F.length(c) - 1).cast("array<int>")
-    )
+    """For each character of the folded text, the position of the character it came from; null where none has moved."""
     moved = F.flatten(
         F.transform(
             F.filter(F.split(c, ""), lambda ch: F.length(ch) > 0),
             lambda ch, i: F.array_repeat(i.cast("int"), F.length(fold(ch, lowercase))),
         )
     )
-    return F.when(fold_is_one_to_one(c), direct).otherwise(moved)
+    return F.when(~fold_is_one_to_one(c), moved)
 
 
 @functools.cache

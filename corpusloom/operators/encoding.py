@@ -41,7 +41,7 @@ def encode_with_offsets(text: Column, vocabulary: Vocabulary) -> Column:
     """
     run = spans_function(vocabulary.merges, byte_ids(), _SPECIAL_IDS)
     low = vocabulary.lowercase
-    return run(pieces_for_encoding(text, low), prefixed(text, low), origins(text, low))
+    return run(pieces_for_encoding(text, low), prefixed(text, low), origins(text, low), F.length(text))
 
 
 def decode(ids: Column, vocabulary: Vocabulary, skip_special_tokens: bool = True) -> Column:
