@@ -5,9 +5,7 @@ They are sent to the workers by value, so a worker does not need this package in
 
 from __future__ import annotations
 
-import functools
 import sys
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,43 +15,87 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CACHED_PIECES = 1 << 17
-
 Merges = tuple[tuple[int, int, int], ...]
 
+_NO_RULE = np.iinfo(np.int64).max
+
+
+class Rules:
+    """Merge rules as sorted arrays, so that all neighbouring symbols of a batch are looked up in one search."""
+
+    def __init__(self, merges: Merges, first_ids: list[int], special: dict[str, int]):
+        self.first_ids = np.array(first_ids, dtype=np.int64)
+        self.special = pa.array(list(special), pa.string())
+        self.special_ids = np.array(list(special.values()), dtype=np.int64)
+        table = np.array(merges, dtype=np.int64).reshape(-1, 3)
+        keys = (table[:, 0] << 32) | table[:, 1]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.merged, self.rank = keys[order], table[order, 2], order
 
-def piece_encoder(merges: Merges, first_ids: list[int], special: dict[str, int]) -> Callable:
-    """Function from a piece to its ids and, for each id, its first and last character."""
-    rules = {(left, right): (rank, merged) for rank, (left, right, merged) in enumerate(merges)}
-
-    @functools.lru_cache(maxsize=_CACHED_PIECES)
-    def encode(piece: str) -> tuple[list[int], list[int], list[int]]:
-        if piece in special:
-            return [special[piece]], [0], [len(piece) - 1]
-        ids, first, last = [], [], []
-        for at, char in enumerate(piece):
-            for byte in char.encode():
-                ids.append(first_ids[byte])
-                first.append(at)
-                last.append(at)
-        while len(ids) > 1:
-            found = [(*rules[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in rules]
-            if not found:
-                break
-            best, merged, _ = min(found)
-            # Every place of the best rule in one sweep; a place inside the one before is skipped.
-            free = -1
-            for at in [i for rank, _, i in found if rank == best]:
-                if at < free:
-                    continue
-                ids[at], ids[at + 1] = merged, -1
-                last[at] = last[at + 1]
-                free = at + 2
-            kept = [i for i, v in enumerate(ids) if v >= 0]
-            ids, first, last = ([values[i] for i in kept] for values in (ids, first, last))
-        return ids, first, last
-
-    return encode
+    def lookup(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the rule for each symbol and the one after it, and what it gives."""
+        if not len(self.keys):
+            return np.full(len(ids), _NO_RULE), ids
+        key = (ids[:-1] << 32) | ids[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        rank = np.where(self.keys[at] == key, self.rank[at], _NO_RULE)
+        return np.append(rank, _NO_RULE), np.append(self.merged[at], 0)
+
+
+def merged_symbols(rules: Rules, ids, piece, first, last):
+    """Merge the symbols of many pieces side by side, in each the best ranked rule first, until no rule applies.
+
+    ``piece`` numbers the piece of each symbol, ``first`` and ``last`` its characters; all four come back in order.
+    """
+    done = []
+    while len(ids):
+        rank, made = rules.lookup(ids)
+        rank[np.flatnonzero(piece[1:] != piece[:-1])] = _NO_RULE
+        starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        sizes = np.diff(np.append(starts, len(piece)))
+        best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+        ended = best == _NO_RULE
+        if ended.any():
+            done.append([a[ended] for a in (piece, ids, first, last)])
+            going = ~ended
+            piece, ids, first, last, rank, made, best = (a[going] for a in (piece, ids, first, last, rank, made, best))
+        at = np.flatnonzero(rank == best)
+        if len(at):
+            # Where places overlap, as in a run of one symbol, every other one is taken from the left.
+            run_start = np.append(True, np.diff(at) != 1)
+            in_run = at - np.maximum.accumulate(np.where(run_start, at, 0))
+            at = at[in_run % 2 == 0]
+            ids[at], last[at] = made[at], last[at + 1]
+            kept = np.ones(len(ids), dtype=bool)
+            kept[at + 1] = False
+            piece, ids, first, last = (a[kept] for a in (piece, ids, first, last))
+    piece, ids, first, last = (np.concatenate([d[k] for d in done]) for k in range(4)) if done else (ids,) * 4
+    order = np.argsort(piece, kind="stable")
+    return piece[order], ids[order], first[order], last[order]
+
+
+def encoded_pieces(rules: Rules, pieces: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many ids each piece gives, and the ids, first and last characters of all pieces end to end."""
+    raw = pc.cast(pieces, pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64, count=len(raw) + 1, offset=8 * raw.offset)
+    data = raw.buffers()[2]
+    content = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    char = np.cumsum((content & 0xC0) != 0x80) - 1
+    begins = (offsets[:-1] - offsets[0])[piece]
+    first = char - char[begins] if len(char) else char
+    ids, last = rules.first_ids[content], first.copy()
+    found = pc.index_in(pieces, rules.special).fill_null(-1).to_numpy(zero_copy_only=False)
+    if (found >= 0).any():
+        reserved = found[piece] >= 0
+        head = np.append(True, piece[1:] != piece[:-1])
+        ids[reserved] = rules.special_ids[found[piece[reserved]]]
+        last[reserved] = np.repeat(sizes, sizes)[reserved] - 1
+        kept = ~reserved | head
+        piece, ids, first, last = (a[kept] for a in (piece, ids, first, last))
+    piece, ids, first, last = merged_symbols(rules, ids, piece, first, last)
+    return np.bincount(piece, minlength=len(pieces)), [a.astype(np.int32) for a in (ids, first, last)]
 
 
 def row_bounds(lists: pa.Array) -> np.ndarray:
@@ -62,22 +104,20 @@ def row_bounds(lists: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)))
 
 
-def encode_batch(pieces: pa.Array, encode: Callable) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def encode_batch(pieces: pa.Array, rules: Rules, parts: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Encode the distinct pieces of a batch and gather them by position.
 
-    Returns where each row's ids begin, how many ids each piece gave, and the gathered ids, first and last characters.
+    Returns where each row's ids begin, how many ids each piece gave, and the first ``parts`` of ids, first and last
+    characters.
     """
     coded = pieces.flatten().dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    distinct = [encode(p) for p in coded.dictionary.to_pylist()]
-    lengths = np.array([len(d[0]) for d in distinct], dtype=np.int64)
+    lengths, values = encoded_pieces(rules, coded.dictionary)
     starts = np.cumsum(lengths) - lengths
     counts = lengths[at]
     ends = np.cumsum(counts)
-    total = int(counts.sum())
-    take = np.repeat(starts[at] - (ends - counts), counts) + np.arange(total)
-    columns = [np.array([v for d in distinct for v in d[part]], dtype=np.int32)[take] for part in range(3)]
-    return np.concatenate(([0], ends))[row_bounds(pieces)], counts, columns
+    take = np.repeat(starts[at] - (ends - counts), counts) + np.arange(int(counts.sum()))
+    return np.concatenate(([0], ends))[row_bounds(pieces)], counts, [v[take] for v in values[:parts]]
 
 
 def ids_function(merges: Merges, first_ids: list[int], special: dict[str, int]):
@@ -87,8 +127,8 @@ def ids_function(merges: Merges, first_ids: list[int], special: dict[str, int]):
     @F.arrow_udf("array<int>")
     def ids_of(pieces: pa.Array) -> pa.Array:
         if not held:
-            held.append(piece_encoder(merges, first_ids, special))
-        bounds, _, (ids, _, _) = encode_batch(pieces, held[0])
+            held.append(Rules(merges, first_ids, special))
+        bounds, _, (ids,) = encode_batch(pieces, held[0], 1)
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
     return ids_of
@@ -109,8 +149,8 @@ def spans_function(merges: Merges, first_ids: list[int], special: dict[str, int]
     @F.arrow_udf("struct<ids:array<int>,offsets:array<struct<s:int,e:int>>>")
     def spans_of(pieces: pa.Array, prefixed: pa.Array, origin: pa.Array, length: pa.Array) -> pa.Array:
         if not held:
-            held.append(piece_encoder(merges, first_ids, special))
-        bounds, counts, (ids, first, last) = encode_batch(pieces, held[0])
+            held.append(Rules(merges, first_ids, special))
+        bounds, counts, (ids, first, last) = encode_batch(pieces, held[0], 3)
         piece_bounds = row_bounds(pieces)
         per_row = np.diff(piece_bounds)
         widths = pc.utf8_length(pieces.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -53,7 +53,9 @@ def dense_index(df: DataFrame, order: tuple[str, ...], group: str | None = None,
     spark = df.sparkSession
     path = path or scratch_path(spark, "indexed")
     keys = ([group] if group else []) + list(order)
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # A fixed number keeps small tables spread over all cores, which merged partitions would not be.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     writer = ordered.write.mode("overwrite")
     (writer.partitionBy(group) if group else writer).parquet(path)
     return read_indexed(spark, path, df, group)
