@@ -71,6 +71,8 @@ def main() -> None:
     indexed = once("d1_index", lambda: index_pairs(pairs))
     timed("d2_next_sentence", lambda: samples.sample_second_sentences(indexed, 1))
     timed("d7_samples", lambda: samples.pretraining_samples(indexed, vocabulary, SEQ_LEN, 1))
+    encoded_pairs = once("d7_encode_pairs", lambda: samples.encoded_pairs(indexed, vocabulary))
+    timed("d7_epoch_samples", lambda: samples.epoch_samples(encoded_pairs, len(vocabulary), SEQ_LEN, 1))
     timed("d8_shuffled_batches", lambda: QUERIES["d8_shuffled_batches"](spark, SF_DIR))
     examples = D.qa_examples(spark, SF_DIR).rows
     encoded = qa_features.encode_examples(examples, vocabulary)

@@ -126,9 +126,10 @@ def ids_of(c: str) -> str:
 
 ORACLES["c1_normalized_text"] = f"WITH {ALL_DOCS} SELECT source, doc_id, {FOLDED.format('text')} AS text FROM all_docs"
 ORACLES["c1_accents_only"] = f"WITH {ALL_DOCS} SELECT source, doc_id, strip_accents(text) AS text FROM all_docs"
-PIECES = f"""{ALL_DOCS},
+PIECE_CTES = f"""
 cut_docs AS (SELECT source, doc_id, {pieces_of('text')} AS p FROM all_docs),
 pieces AS (SELECT source, doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS piece FROM cut_docs)"""
+PIECES = f"{ALL_DOCS}, {PIECE_CTES}"
 ORACLES["c2_pieces"] = f"WITH {PIECES} SELECT source, doc_id, pos, piece FROM pieces"
 ORACLES["c3_piece_frequencies"] = f"WITH {PIECES} SELECT piece, count(*) AS freq FROM pieces GROUP BY piece"
 ORACLES["c4_byte_symbol_usage"] = f"""WITH {ALL_DOCS}, {BYTE_MAP},
@@ -138,9 +139,9 @@ SELECT id::INTEGER AS id, token, false AS is_special, n FROM counted JOIN byte_i
 WORDS = f"""{PIECES}, {BYTE_MAP},
 words AS (SELECT piece, count(*) AS freq FROM pieces WHERE source = 'wiki' GROUP BY piece),
 coded AS (SELECT piece, freq, list_transform({bytes_of('piece')},
-                 lambda x: m[('0x' || x)::INTEGER + 1]) AS ids FROM words, byte_map),
+                 lambda x: m[('0x' || x)::INTEGER + 1]) ::BIGINT[] AS ids FROM words, byte_map),
 neighbours AS (SELECT unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, freq FROM coded WHERE len(ids) > 1),
-pair_counts AS (SELECT l AS "left", r AS "right", sum(freq)::BIGINT AS n FROM neighbours GROUP BY l, r)"""
+pair_counts AS (SELECT l::INTEGER AS "left", r::INTEGER AS "right", sum(freq)::BIGINT AS n FROM neighbours GROUP BY l, r)"""
 ORACLES["c5_pair_counts"] = f"WITH {WORDS} SELECT * FROM pair_counts"
 ORACLES["c6_next_merges"] = f'WITH {WORDS} SELECT * FROM pair_counts ORDER BY n DESC, "left", "right" LIMIT 50'
 ORACLES["c7_merged_words"] = f"""WITH {WORDS},
@@ -192,8 +193,47 @@ FROM spread LEFT JOIN tokens ON tokens.id = spread.id GROUP BY conv_id, turn"""
 ORACLES["c15_vocabulary_size"] = f"""SELECT {D.VOCAB_SIZE}::BIGINT AS size, 5::BIGINT AS n_special
 WHERE EXISTS (SELECT 1 FROM documents)"""
 
-# Whole training by recursion: every step counts all pairs of all words and replaces the most frequent one.
-_N_MERGES = D.VOCAB_SIZE - 261
+# Whole training by recursion: every step counts all pairs of all words and replaces the most frequent one. Pieces of other
+# texts are carried along uncounted, so that the last step also holds their encoding.
+_STEPS = D.VOCAB_SIZE - 261
+_NO_PIECES = "SELECT NULL::VARCHAR AS piece WHERE false"
+
+
+def trained_ctes(extra: str = _NO_PIECES) -> str:
+    """Training on ``pieces``, with the pieces of the statement ``extra`` carried along."""
+    return f"""{PIECE_CTES}, {BYTE_MAP},
+all_pieces AS (SELECT source, piece FROM pieces UNION ALL SELECT NULL, piece FROM ({extra})),
+words AS (SELECT piece, count(*) FILTER (source = 'wiki') AS freq FROM all_pieces GROUP BY piece),
+coded AS (SELECT piece, freq, list_transform({bytes_of('piece')},
+                 lambda x: m[('0x' || x)::INTEGER + 1])::BIGINT[] AS ids FROM words, byte_map),
+train AS (SELECT 0 AS step, 0::BIGINT AS l, 0::BIGINT AS r, piece, ids, freq FROM coded
+  UNION ALL
+  SELECT step + 1, best.l, best.r, piece, string_split(replace(array_to_string(list_transform(ids, lambda i: '<' || i || '>'),
+      ''), '<' || best.l || '><' || best.r || '>', '<' || (261 + step) || '>')[2:-2], '><')::BIGINT[], freq
+  FROM train, (SELECT l, r FROM (SELECT unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, freq FROM train WHERE len(ids) > 1)
+    GROUP BY l, r ORDER BY sum(freq) DESC, l, r LIMIT 1) best
+  WHERE step < {_STEPS}),
+steps AS MATERIALIZED (SELECT DISTINCT step, l, r FROM train WHERE step > 0),
+spelt AS (SELECT 0 AS step, (SELECT list(token ORDER BY id) FROM (VALUES {_RESERVED} UNION ALL SELECT id, token FROM byte_ids)
+    t(id, token)) AS tokens
+  UNION ALL
+  SELECT s.step, tokens || [tokens[s.l + 1] || tokens[s.r + 1]] FROM spelt JOIN steps s ON s.step = spelt.step + 1),
+vocab AS (SELECT unnest(range(len(tokens))) AS id, unnest(tokens) AS token FROM spelt WHERE step = {_STEPS}),
+learnt AS (SELECT piece, ids FROM train WHERE step = {_STEPS}),
+encoded AS (SELECT source, doc_id, pos, ids FROM pieces JOIN learnt USING (piece))"""
+
+
+TRAINED = f"RECURSIVE {ALL_DOCS}, {trained_ctes()}"
+ORACLES["c8_trained_merges"] = f"""WITH {TRAINED}
+SELECT (step - 1)::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", (260 + step)::INTEGER AS merged FROM steps"""
+ORACLES["c8_trained_vocabulary"] = f"WITH {TRAINED} SELECT id::INTEGER AS id, token, id < 5 AS is_special FROM vocab"
+ORACLES["a8_vocabulary_store"] = ORACLES["c8_trained_vocabulary"]
+ORACLES["c10_encode"] = f"""WITH {TRAINED},
+joined AS (SELECT source, doc_id, string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos) AS ids FROM encoded GROUP BY ALL)
+SELECT source, doc_id, coalesce(ids, '') AS ids FROM all_docs LEFT JOIN joined USING (source, doc_id)"""
+ORACLES["c15_token_usage"] = f"""WITH {TRAINED}, used AS (SELECT unnest(ids) AS id FROM encoded)
+SELECT id::INTEGER AS id, token, id < 5 AS is_special, count(*) AS n FROM used JOIN vocab USING (id) GROUP BY ALL"""
+
 
 # ---------------------------------------------------------------- samples
 
@@ -246,7 +286,7 @@ def hash_ctes(source: str, number: str, out: str, keep: str = "*") -> str:
     return ",\n".join([first, *rest])
 
 
-def masked_ctes(source: str, sides: int) -> str:
+def masked_ctes(source: str, sides: int, replacements: int = 256) -> str:
     """``masked(split, idx, side, i, input, label)`` of ``source(split, idx, i1, i2)``, a row per token."""
     row = f"('0x' || substr(md5(concat_ws('|', 'mask', {SEED}, 0, split, idx, side)), 1, 15))::BIGINT"
     lists = " UNION ALL ".join(f"SELECT split, idx, {k} AS side, i{k} AS ids FROM {source}" for k in range(1, sides + 1))
@@ -258,7 +298,7 @@ picked AS (SELECT split, idx, side, i, id, x, id >= 5 AND ({low}) < {math.floor(
 {hash_ctes('(SELECT split, idx, side, i, x AS y FROM picked WHERE picked)',
            'y', 'g', 'split, idx, side, i')},
 masked AS (SELECT p.split, p.idx, p.side, p.i, CASE WHEN NOT picked THEN id WHEN (g.{low}) < {math.floor(0.8 * 2**32)}::UHUGEINT THEN 4
-    WHEN (g.{low}) < {math.floor(0.9 * 2**32)}::UHUGEINT THEN (5 + (g.{high}) % 256::UHUGEINT)::INTEGER ELSE id END AS input,
+    WHEN (g.{low}) < {math.floor(0.9 * 2**32)}::UHUGEINT THEN (5 + (g.{high}) % {replacements}::UHUGEINT)::INTEGER ELSE id END AS input,
     CASE WHEN picked THEN id ELSE 0 END AS label
   FROM picked p LEFT JOIN g ON g.split = p.split AND g.idx = p.idx AND g.side = p.side AND g.i = p.i)"""
 
@@ -295,16 +335,37 @@ _SEGMENT = f"""array_to_string({padded('list_resize(CAST([] AS INTEGER[]), n1 +
     'list_resize(CAST([] AS INTEGER[]), n2 + 1, 2)', D.SEQ_LEN)}, ' ')"""
 ORACLES["d6_assembled"] = f"""WITH {IDS}, short AS (SELECT *, {lengths('len(i1)', 'len(i2)')} FROM pair_ids)
 SELECT split, idx, 1 AS is_next, {assembled('i1', 'i2', 3, 2)} AS bert_input, {_SEGMENT} AS segment_label FROM short"""
-SAMPLES = f"""{NSP}, {BYTE_MAP},
-pair_ids AS (SELECT split, idx, is_next, {ids_of('s1')} AS i1, {ids_of('s2')} AS i2 FROM sampled, byte_map),
-{masked_ctes('pair_ids', 2)},
+
+
+def sample_ctes(replacements: int) -> str:
+    """``samples`` from ``pair_ids``."""
+    return f"""{masked_ctes('pair_ids', 2, replacements)},
 parted AS (SELECT split, idx, any_value(is_next) AS is_next, coalesce(list(input ORDER BY i) FILTER (side = 1), []) AS x1,
     coalesce(list(label ORDER BY i) FILTER (side = 1), []) AS y1, coalesce(list(input ORDER BY i) FILTER (side = 2), []) AS x2,
     coalesce(list(label ORDER BY i) FILTER (side = 2), []) AS y2 FROM masked JOIN pair_ids USING (split, idx) GROUP BY split, idx),
 short AS (SELECT *, {lengths('len(x1)', 'len(x2)')} FROM parted),
 samples AS (SELECT split, idx, is_next, {assembled('x1', 'x2', 3, 2)} AS bert_input, {assembled('y1', 'y2', 0, 0)} AS bert_label,
     {_SEGMENT} AS segment_label FROM short)"""
+
+
+SAMPLES = f"""{NSP}, {BYTE_MAP},
+pair_ids AS (SELECT split, idx, is_next, {ids_of('s1')} AS i1, {ids_of('s2')} AS i2 FROM sampled, byte_map),
+{sample_ctes(256)}"""
 ORACLES["d7_samples"] = f"WITH {SAMPLES} SELECT * FROM samples"
+ORACLES["d7_epoch_samples"] = ORACLES["d7_samples"]
+
+_SIDES = " UNION ALL ".join(f"SELECT split, idx, {k} AS side, {pieces_of(f's{k}')} AS p FROM sampled" for k in (1, 2))
+SUBWORD_SAMPLES = f"""RECURSIVE {NSP},
+side_lists AS ({_SIDES}),
+side_pieces AS (SELECT split, idx, side, generate_subscripts(p, 1) AS pos, unnest(p) AS piece FROM side_lists),
+{trained_ctes('SELECT piece FROM side_pieces')},
+side_ids AS (SELECT split, idx, side, flatten(list(ids ORDER BY pos)) AS ids FROM side_pieces JOIN learnt USING (piece)
+  GROUP BY split, idx, side),
+pair_ids AS (SELECT s.split, s.idx, s.is_next, a.ids AS i1, b.ids AS i2 FROM sampled s
+  JOIN side_ids a ON a.split = s.split AND a.idx = s.idx AND a.side = 1
+  JOIN side_ids b ON b.split = s.split AND b.idx = s.idx AND b.side = 2),
+{sample_ctes(D.VOCAB_SIZE - 5)}"""
+ORACLES["d7_subword_samples"] = f"WITH {SUBWORD_SAMPLES} SELECT * FROM samples"
 
 TRAIN_BATCHES = f"""{INDEXED},
 train AS (SELECT idx, count(*) OVER () AS n FROM indexed WHERE split = 'train'),

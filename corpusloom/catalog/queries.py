@@ -373,6 +373,12 @@ def d7_subword_samples(spark, sf):
     return _shown_sample(made)
 
 
+@query
+def d7_epoch_samples(spark, sf):
+    encoded = samples.encoded_pairs(D.indexed_pairs(spark, sf), D.bytes_only())
+    return _shown_sample(samples.epoch_samples(encoded, len(D.bytes_only()), D.SEQ_LEN, SEED))
+
+
 def _train_batches(spark, sf) -> DataFrame:
     pairs = D.indexed_pairs(spark, sf)
     train = pairs.rows.filter("split = 'train'").select("idx")

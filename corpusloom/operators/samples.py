@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bind import let
 from ..functions.draws import DIGITS, below, digest, high_integer, integer, low_below, position_draw, row_key
 from ..functions.text import EOS, MASK, N_SPECIAL, PAD, SOS
+from ..session import written
 from .encoding import encode
 from .indexing import Indexed, shuffled_rank
 from .vocabulary import Vocabulary
@@ -21,11 +22,13 @@ MASKED = 0.8
 MASKED_OR_REPLACED = 0.9
 
 
-def sample_second_sentences(pairs: Indexed, seed: int = 0, epoch: int = 0, group: str | None = "split") -> DataFrame:
+def sample_second_sentences(
+    pairs: Indexed, seed: int = 0, epoch: int = 0, group: str | None = "split", second: str = "s2"
+) -> DataFrame:
     """Adds ``is_next``; half of the rows get the second sentence of another pair of their group instead of their own.
 
     The other pair is drawn uniformly, so the join key has no hot value. Rows that keep their sentence take no part in the
-    join. A lone pair keeps its own sentence but is marked as not next.
+    join. A lone pair keeps its own sentence but is marked as not next. ``second`` may hold text or ids.
     """
     same = [group] if group else []
     scope = [F.col(group)] if group else []
@@ -35,8 +38,8 @@ def sample_second_sentences(pairs: Indexed, seed: int = 0, epoch: int = 0, group
     n = pairs.size_of_group(F.col(group) if group else None)
     step = integer(draw, F.greatest(n - 1, F.lit(1)), at=DIGITS + 1) + F.lit(1)
     other = F.pmod(F.col("idx") + step, n)
-    left = rows.filter(~below(draw, KEEP_PAIR)).drop("s2").withColumn("other", other)
-    seconds = rows.select(*same, F.col("idx").alias("other"), "s2")
+    left = rows.filter(~below(draw, KEEP_PAIR)).drop(second).withColumn("other", other)
+    seconds = rows.select(*same, F.col("idx").alias("other"), second)
     replaced = left.join(seconds, [*same, "other"]).drop("other").withColumn("is_next", F.lit(0))
     return kept.unionByName(replaced)
 
@@ -112,13 +115,21 @@ def assemble(samples: DataFrame, seq_len: int) -> DataFrame:
     )
 
 
+def encoded_pairs(pairs: Indexed, vocabulary: Vocabulary) -> Indexed:
+    """Pairs with ids in place of their sentences, written once so that every epoch can draw from them."""
+    rows = pairs.rows.select(
+        "split", "idx", encode(F.col("s1"), vocabulary).alias("i1"), encode(F.col("s2"), vocabulary).alias("i2")
+    )
+    return Indexed(written(rows, "encoded-pairs"), pairs.counts)
+
+
 def pretraining_samples(
     pairs: Indexed, vocabulary: Vocabulary, seq_len: int = 128, seed: int = 0, epoch: int = 0, mask_prob: float = MASK_PROB
 ) -> DataFrame:
     """One sample per pair and epoch: ``split, idx, is_next, bert_input, bert_label, segment_label``.
 
     Another epoch draws other negatives and other masks. The only shuffle is the join that fetches the negatives; sentences
-    are encoded after it, once per sample.
+    are encoded after it, once per sample. For many epochs encode first and use :func:`epoch_samples`, which gives the same.
     """
     drawn = sample_second_sentences(pairs, seed, epoch)
     ids = drawn.select(
@@ -127,6 +138,14 @@ def pretraining_samples(
     return samples_from_ids(ids, len(vocabulary), seq_len, seed, epoch, mask_prob)
 
 
+def epoch_samples(
+    encoded: Indexed, vocab_size: int, seq_len: int = 128, seed: int = 0, epoch: int = 0, mask_prob: float = MASK_PROB
+) -> DataFrame:
+    """The samples of one epoch from :func:`encoded_pairs`, without running the encoder again."""
+    drawn = sample_second_sentences(encoded, seed, epoch, second="i2")
+    return samples_from_ids(drawn, vocab_size, seq_len, seed, epoch, mask_prob)
+
+
 def samples_from_ids(
     ids: DataFrame, vocab_size: int, seq_len: int, seed: int, epoch: int, mask_prob: float = MASK_PROB
 ) -> DataFrame:
