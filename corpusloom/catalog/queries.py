@@ -100,21 +100,23 @@ def a9_metric_log(spark, sf):
     )
 
 
+def _written_evaluation(spark, sf) -> str:
+    path = scratch_path(spark, "evaluation")
+    predicted = evaluation.write_predictions(D.gold_predictions(spark, sf), path)
+    evaluation.write_metrics(qa_eval.qa_metrics(predicted, D.qa_examples(spark, sf).rows), path)
+    return path
+
+
 @query
 def a10_evaluation_sink(spark, sf):
-    predicted = D.gold_predictions(spark, sf)
-    path = scratch_path(spark, "evaluation")
-    evaluation.write_evaluation(qa_eval.qa_metrics(predicted, D.qa_examples(spark, sf).rows), predicted, path)
+    path = _written_evaluation(spark, sf)
     written, _ = evaluation.read_evaluation(spark, path)
     return written.select(F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "count")
 
 
 @query
 def a10_predictions(spark, sf):
-    predicted = D.gold_predictions(spark, sf)
-    path = scratch_path(spark, "evaluation")
-    evaluation.write_evaluation(qa_eval.qa_metrics(predicted, D.qa_examples(spark, sf).rows), predicted, path)
-    return evaluation.read_evaluation(spark, path)[1]
+    return evaluation.read_evaluation(spark, _written_evaluation(spark, sf))[1]
 
 
 # ---------------------------------------------------------------- corpus
@@ -515,8 +517,7 @@ def f3_best_span(spark, sf):
 
 def _texts(spark, sf, max_answer_tokens: int) -> DataFrame:
     spans = qa_eval.decode_spans(_scored(spark, sf), max_answer_tokens)
-    asked = D.qa_examples(spark, sf).rows.select(F.col("ex_idx").alias("example_index"), "qid", "context")
-    return qa_eval.span_text(spans.join(asked, "example_index"))
+    return qa_eval.span_text(qa_eval.span_characters(spans), D.qa_examples(spark, sf).rows)
 
 
 @query

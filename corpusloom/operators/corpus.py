@@ -73,5 +73,7 @@ def route_split(pairs: DataFrame, test_ratio: float = TEST_RATIO, seed: int = SE
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
-    """Pairs per source and split, per source, and in total (null marks the summed-over column)."""
-    return pairs.rollup("source", "split").agg(F.count("*").alias("n_pairs"))
+    """Pairs per source and split, per source, and in total (null marks the summed-over column). Rows are counted once;
+    only the few counts are rolled up."""
+    counts = pairs.groupBy("source", "split").agg(F.count("*").alias("n"))
+    return counts.rollup("source", "split").agg(F.sum("n").alias("n_pairs"))

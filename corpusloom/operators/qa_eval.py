@@ -78,12 +78,25 @@ def decode_spans(scored: DataFrame, max_answer_tokens: int = MAX_ANSWER_TOKENS,
     return scored.withColumn("span", best_span(starts, ends, max_answer_tokens))
 
 
-def span_text(decoded: DataFrame) -> DataFrame:
-    """``feature_index, qid, text``: the stripped raw text of the span in ``context``, empty without a legal span."""
-    first = F.get("context_token_offsets", F.col("span.s"))["s"]
-    last = F.get("context_token_offsets", F.col("span.e"))["e"]
-    text = strip(F.substr("context", first + 1, F.greatest(last - first, F.lit(0))))
-    return decoded.select("feature_index", "qid", F.coalesce(text, F.lit("")).alias("text"))
+def span_characters(decoded: DataFrame) -> DataFrame:
+    """``feature_index, example_index, first, last``: the raw-text characters of the span, null without a legal span."""
+    return decoded.select(
+        "feature_index",
+        "example_index",
+        F.get("context_token_offsets", F.col("span.s"))["s"].alias("first"),
+        F.get("context_token_offsets", F.col("span.e"))["e"].alias("last"),
+    )
+
+
+def span_text(characters: DataFrame, examples: DataFrame) -> DataFrame:
+    """``feature_index, qid, text``: the stripped text of the span, empty without a legal span. Only four numbers per feature
+    travel to the examples."""
+    asked = examples.select(F.col("ex_idx").alias("example_index"), "qid", "context")
+    length = F.greatest(F.col("last") - F.col("first"), F.lit(0))
+    text = strip(F.substr("context", F.col("first") + 1, length))
+    return characters.join(asked, "example_index").select(
+        "feature_index", "qid", F.coalesce(text, F.lit("")).alias("text")
+    )
 
 
 def predictions(texts: DataFrame) -> DataFrame:
@@ -96,9 +109,7 @@ def predict(
 ) -> DataFrame:
     """Answers per question from evaluation features, logits and examples."""
     decoded = decode_spans(context_scores(features, logits), max_answer_tokens)
-    narrow = decoded.select("feature_index", "example_index", "context_token_offsets", "span")
-    asked = examples.select(F.col("ex_idx").alias("example_index"), "qid", "context")
-    return predictions(span_text(narrow.join(asked, "example_index")))
+    return predictions(span_text(span_characters(decoded), examples))
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:

@@ -10,7 +10,7 @@ from ..operators.indexing import Indexed
 from ..operators.samples import epoch_batches, pretraining_samples
 from ..operators.vocabulary import Vocabulary
 from ..sources.documents import concat_sources, scan_documents, take_documents
-from ..sources.evaluation import write_evaluation
+from ..sources.evaluation import write_metrics, write_predictions
 from ..sources.pair_corpus import index_pairs, training_text, write_pairs
 from ..sources.squad import first_examples, read_qa_examples
 
@@ -76,7 +76,5 @@ def finetuning_features(
 
 def evaluate(features: DataFrame, logits: DataFrame, examples: DataFrame, out: str) -> DataFrame:
     """Answers and their metrics, written below ``out``; returns the metrics row."""
-    predicted = qa_eval.predict(features, logits, examples)
-    metrics = qa_eval.qa_metrics(predicted, examples)
-    write_evaluation(metrics, predicted, out)
-    return metrics
+    predicted = write_predictions(qa_eval.predict(features, logits, examples), out)
+    return write_metrics(qa_eval.qa_metrics(predicted, examples), out)

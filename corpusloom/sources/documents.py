@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indexing import dense_index
+from ..session import stored_bytes
 
 
 _SMALL_BYTES_PER_CORE = 16 << 20
@@ -17,13 +18,11 @@ def spread(df: DataFrame, path: str, key: str) -> DataFrame:
     """Deal the rows of a small table to all cores.
 
     A small file is often one row group, and so one task however long its texts take. Large tables keep the splits they
-    have and are not shuffled; the size is read from the file listing, not from the data.
+    have and are not shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    size = listed.agg(F.sum("length").alias("size")).first()["size"] or 0
-    return df.repartition(cores, key) if size < _SMALL_BYTES_PER_CORE * cores else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = stored_bytes(df.sparkSession, path)
+    return df.repartition(cores, key) if size is not None and size < _SMALL_BYTES_PER_CORE * cores else df
 
 
 def scan_documents(spark: SparkSession, path: str, source: str, id_column: str = "doc_id") -> DataFrame:

@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 _DOCUMENT_LIMIT = 1_000_000
 
 
-def write_evaluation(metrics: DataFrame, predictions: DataFrame, path: str) -> None:
-    """Replace the ``metrics`` and ``predictions`` tables below ``path``."""
-    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+_METRICS = "exact_match double, f1 double, count bigint"
+_PREDICTIONS = "qid string, text string"
+
+
+def write_predictions(predictions: DataFrame, path: str) -> DataFrame:
+    """Replace the ``predictions`` table below ``path``; returns it, so that scoring does not decode again."""
     predictions.select("qid", "text").write.mode("overwrite").parquet(f"{path}/predictions")
+    return predictions.sparkSession.read.schema(_PREDICTIONS).parquet(f"{path}/predictions")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> DataFrame:
+    """Replace the ``metrics`` table below ``path``; returns it."""
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    return metrics.sparkSession.read.schema(_METRICS).parquet(f"{path}/metrics")
 
 
 def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The ``metrics`` and ``predictions`` tables."""
     return (
-        spark.read.schema("exact_match double, f1 double, count bigint").parquet(f"{path}/metrics"),
-        spark.read.schema("qid string, text string").parquet(f"{path}/predictions"),
+        spark.read.schema(_METRICS).parquet(f"{path}/metrics"),
+        spark.read.schema(_PREDICTIONS).parquet(f"{path}/predictions"),
     )
 
 
