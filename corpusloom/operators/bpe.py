@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.text import byte_ids, pieces
 from ..session import written
 from .vocabulary import Vocabulary, seed_tokens
@@ -24,6 +25,8 @@ VOCAB_SIZE = 30_000
 MIN_FREQUENCY = 2
 # Pairs fetched at a recount.
 CANDIDATES = 2_000
+# Merges tried in one round.
+PLANNED = 8
 # Rounds between two written states of the word table; the states in between are cached and can be derived again.
 ROUNDS_PER_TABLE = 16
 
@@ -57,9 +60,10 @@ def symbol_words(frequencies: DataFrame) -> DataFrame:
 
 
 def _pairs(word: Column) -> Column:
-    symbols = F.split(word, "")
-    n = F.greatest(F.length(word) - 1, F.lit(0))
-    return F.zip_with(F.slice(symbols, 1, n), F.slice(symbols, 2, n), lambda a, b: F.concat(a, b))
+    def neighbours(t: Column) -> Column:
+        return F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, b))
+
+    return let(F.split(word, ""), neighbours)
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -82,38 +86,51 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.orderBy(F.desc("n"), "pair").limit(k)
 
 
-def _merged(word: str, merges: list[tuple[int, int, int]]) -> str:
-    pairs = ",".join(symbol(a) + symbol(b) for a, b, _ in merges)
-    made = ",".join(symbol(c) for *_, c in merges)
-    rules = f"arrays_zip(split('{pairs}', ','), split('{made}', ','))"
-    return f"aggregate({rules}, {word}, (w, rule) -> replace(w, rule.`0`, rule.`1`))"
-
-
 def _affected(merges: list[tuple[int, int, int]]) -> str:
     return " or ".join(f"contains(word, '{symbol(a) + symbol(b)}')" for a, b, _ in merges)
 
 
+def _states(merges: list[tuple[int, int, int]]) -> list[str]:
+    """Columns ``w0, w1, ...``: the word before and after each of the merges, applied from left to right."""
+    replaced = [
+        f"replace(w{i}, '{symbol(a) + symbol(b)}', '{symbol(c)}') as w{i + 1}" for i, (a, b, c) in enumerate(merges)
+    ]
+    return ["word as w0", *replaced]
+
+
 def merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """Words with the merges applied one after the other, each from left to right; symbols of different merges must not
-    overlap within one call. Words without any of the pairs are passed on after a plain text search."""
-    merged = f"case when {_affected(merges)} then {_merged('word', merges)} else word end"
-    return words.select(F.expr(merged).alias("word"), "freq")
+    """Words with the merges applied one after the other."""
+    return words.selectExpr("freq", *_states(merges)).selectExpr(f"w{len(merges)} as word", "freq")
 
 
 _PAIRS_OF = (
-    "zip_with(slice(split({0}, ''), 1, greatest(length({0}) - 1, 0)), slice(split({0}, ''), 2, greatest(length({0}) - 1, 0)),"
-    " (a, b) -> named_struct('pair', concat(a, b), 'sign', {1}))"
+    "element_at(transform(array(split({0}, '')), t -> zip_with(slice(t, 1, size(t) - 1), slice(t, 2, size(t) - 1),"
+    " (a, b) -> named_struct('pair', concat(a, b), 'sign', {1}))), 1)"
 )
 
 
-def _changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> dict[str, int]:
-    """Pair counts that the merges change. Only words they touch are expanded; the result has at most a few entries per
-    vocabulary id and merge."""
-    gained = f"element_at(transform(array({_merged('word', merges)}), after -> {_PAIRS_OF.format('after', 1)}), 1)"
-    signed = f"explode_outer(concat({_PAIRS_OF.format('word', -1)}, {gained})) as c"
-    seen = words.filter(_affected(merges)).selectExpr(signed, "freq")
-    moved = seen.selectExpr("c.pair", "c.sign * freq as n").groupBy("pair").agg(F.sum("n").alias("n"))
-    return {r["pair"]: r["n"] for r in moved.filter("n <> 0").collect()}
+def _changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    """Pair counts that each of the merges changes when they are applied in turn.
+
+    Only words they touch are expanded; the result has at most a few entries per vocabulary id and merge.
+    """
+    steps = [
+        f"if(w{i + 1} <> w{i}, named_struct('step', {i}, 'old', w{i}, 'new', w{i + 1}), null)" for i in range(len(merges))
+    ]
+    both = f"explode_outer(concat({_PAIRS_OF.format('s.old', -1)}, {_PAIRS_OF.format('s.new', 1)})) as c"
+    moved = (
+        words.filter(_affected(merges))
+        .selectExpr("freq", *_states(merges))
+        .selectExpr("freq", f"explode_outer(array_compact(array({', '.join(steps)}))) as s")
+        .selectExpr("freq", "s.step", both)
+        .selectExpr("step", "c.pair", "c.sign * freq as n")
+        .groupBy("step", "pair")
+        .agg(F.sum("n").alias("n"))
+    )
+    changes: list[dict[str, int]] = [{} for _ in merges]
+    for r in moved.filter("n <> 0").collect():
+        changes[r["step"]][r["pair"]] = r["n"]
+    return changes
 
 
 @dataclass
@@ -138,54 +155,96 @@ class _Candidates:
     def ordered(self) -> list[tuple[int, str]]:
         return sorted((-n, p) for p, n in self.counts.items() if n > 0 and self.known((-n, p)))
 
-    def apply(self, changes: dict[str, int], fresh: set[str]) -> None:
+    def first(self) -> tuple[int, str] | None:
+        """The pair that is certainly next, as negative count and symbols."""
+        top = min(((-n, p) for p, n in self.counts.items() if n > 0), default=None)
+        return top if top and self.known(top) else None
+
+    def apply(self, changes: dict[str, int], made: str) -> None:
+        """Take over the changes of one merge; pairs of the symbol it made are counted completely by them."""
         for pair, change in changes.items():
             if pair in self.counts:
                 self.counts[pair] += change
-            elif fresh.intersection(pair):
+            elif made in pair:
                 self.counts[pair] = change
 
 
-def _next_merges(
-    candidates: _Candidates, tokens: list[str], ids: dict[str, int], vocab_size: int, min_frequency: int
-) -> tuple[list[tuple[int, int, int]], bool]:
-    """Merges that are certainly next, in order, and whether one of them re-used an existing token.
+def _certain(candidates: _Candidates, min_frequency: int) -> list[str]:
+    """Pairs that are certainly next, in order.
 
     Walking down the order, pairs are taken while they share no symbol with one taken before. At the first that does, only
     pairs counted strictly more often than it are sure: merging can bring new pairs up to its count, not above. A pair of
-    equal symbols, or a token that exists already, ends the batch as well.
+    equal symbols ends the walk as well.
     """
-    taken: list[tuple[int, int, int]] = []
+    taken: list[tuple[str, int]] = []
     used: set[str] = set()
-    made: set[str] = set()
     bound = None
     for negative, pair in candidates.ordered():
-        if -negative < min_frequency or len(tokens) + len(made) >= vocab_size:
+        if -negative < min_frequency or len(taken) >= PLANNED:
             break
         if used.intersection(pair):
             bound = -negative
             break
-        left, right = _ids_of(pair)
-        token = tokens[left] + tokens[right]
-        taken.append((left, right, -negative))
+        taken.append((pair, -negative))
         used.update(pair)
-        if left == right or token in ids or token in made:
+        if pair[0] == pair[1]:
             break
-        made.add(token)
     else:
         bound = -candidates.last[0] if candidates.last else None
     if bound is not None:
-        taken = taken[: max(1, sum(n > bound for *_, n in taken))]
-    merges, reused = [], False
-    for left, right, _ in taken:
-        token = tokens[left] + tokens[right]
-        if token in ids:
-            reused = True
+        taken = taken[: max(1, sum(n > bound for _, n in taken))]
+    return [pair for pair, _ in taken]
+
+
+def _expect(counts: dict[str, float], pair: str, made: str) -> None:
+    """Update counts as if neighbours were independent: the share of ``xa`` that is followed by ``b`` becomes ``x(ab)``, the
+    share of ``by`` that follows ``a`` becomes ``(ab)y``."""
+    a, b = pair
+    n = counts.pop(pair, 0.0)
+    after_a = sum((v for p, v in counts.items() if p[0] == a), n) or 1.0
+    before_b = sum((v for p, v in counts.items() if p[1] == b), n) or 1.0
+    for p, v in list(counts.items()):
+        if p[1] == a:
+            moved, new = v * n / after_a, p[0] + made
+        elif p[0] == b:
+            moved, new = v * n / before_b, made + p[1]
+        else:
+            continue
+        counts[p] -= moved
+        counts[new] = counts.get(new, 0.0) + moved
+
+
+def _plan(
+    candidates: _Candidates, tokens: list[str], ids: dict[str, int], room: int, min_frequency: int
+) -> tuple[list[tuple[int, int, int]], int]:
+    """Merges to try in one round, and how many of them are certain; the others are a guess that the round checks."""
+    pairs = _certain(candidates, min_frequency)[:room]
+    expected = {p: float(n) for p, n in candidates.counts.items() if n > 0}
+    merges: list[tuple[int, int, int]] = []
+    names, fresh = list(tokens), dict(ids)
+    sure = 0
+    while len(merges) < min(PLANNED, room):
+        if len(merges) < len(pairs):
+            pair = pairs[len(merges)]
+            sure += 1
+        elif expected and merges:
+            pair = min(expected, key=lambda p: (-expected[p], p))
+            if expected[pair] < min_frequency:
+                break
         else:
-            ids[token] = len(tokens)
-            tokens.append(token)
-        merges.append((left, right, ids[token]))
-    return merges, reused
+            break
+        left, right = _ids_of(pair)
+        token = names[left] + names[right]
+        reused = token in fresh
+        if not reused:
+            fresh[token] = len(names)
+            names.append(token)
+        merges.append((left, right, fresh[token]))
+        if reused:
+            # It adds to pairs that were already counted, so nothing after it can be told.
+            break
+        _expect(expected, pair, symbol(fresh[token]))
+    return merges, sure
 
 
 def train(
@@ -211,20 +270,31 @@ def train(
             last = (-top[-1]["n"], top[-1]["pair"]) if len(top) == candidates else None
             known = _Candidates({r["pair"]: r["n"] for r in top}, last)
             recounts += 1
-        batch, reused = _next_merges(known, tokens, ids, vocab_size, floor)
-        if not batch:
+        plan, sure = _plan(known, tokens, ids, vocab_size - len(tokens), floor)
+        if not plan:
             if recounted or known.last is None or -known.last[0] < floor:
                 break
             known = None
             continue
         rounds += 1
+        changes = _changes(words, plan)
+        batch = []
+        for step, (left, right, merged) in enumerate(plan):
+            if step >= sure:
+                following = known.first()
+                if following is None or -following[0] < floor or following[1] != symbol(left) + symbol(right):
+                    break
+            batch.append((left, right, merged))
+            if merged < len(tokens):
+                # A re-used token adds to pairs that were already counted, also to unknown ones.
+                known = None
+                break
+            ids[tokens[left] + tokens[right]] = merged
+            tokens.append(tokens[left] + tokens[right])
+            known.apply(changes[step], symbol(merged))
         merges.extend(batch)
         if len(tokens) >= vocab_size:
             break
-        known.apply(_changes(words, batch), {symbol(c) for *_, c in batch})
-        # A re-used token adds to pairs that were already counted, also to unknown ones.
-        if reused:
-            known = None
         words = merge_words(words, batch)
         if rounds % ROUNDS_PER_TABLE == 0:
             words = written(words.filter(F.length("word") > 1), "words")
