@@ -14,7 +14,7 @@ from ..operators.indexing import Indexed
 from ..operators.qa_features import encode_examples
 from ..operators.vocabulary import Vocabulary, byte_vocabulary
 from ..session import scratch_path
-from ..sources.documents import concat_sources, scan_documents, spread
+from ..sources.documents import concat_sources, scan_documents
 from ..sources.pair_corpus import index_pairs
 from ..sources.squad import read_qa_examples
 
@@ -173,8 +173,7 @@ def gold_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric_events(spark: SparkSession, sf: str) -> DataFrame:
     """Step records from ``events``: an epoch per day, a run per event type."""
-    events = spread(table(spark, sf, "events"), f"{sf}/events.parquet", "event_id")
-    return events.select(
+    return table(spark, sf, "events").select(
         F.col("event_type").alias("run"),
         F.lit("step").alias("event"),
         (F.dayofyear("ts") - 1).alias("epoch"),

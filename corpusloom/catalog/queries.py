@@ -406,7 +406,8 @@ def d9_step_plan(spark, sf):
 
 @query
 def d9_step_boundaries(spark, sf):
-    return samples.step_boundaries(_train_batches(spark, sf), ACCUMULATION)
+    n = samples.batch_count(D.indexed_pairs(spark, sf).counts["train"], BATCH)
+    return samples.step_boundaries(_train_batches(spark, sf), n, ACCUMULATION)
 
 
 @query

@@ -57,25 +57,33 @@ def qa_batch_losses(rows: DataFrame) -> DataFrame:
     return rows.groupBy("batch_id").agg(((start + end) * 0.5).alias("loss"))
 
 
-def _block_scan(
-    events: DataFrame, by: list[str], order: str, sums: dict[str, Column], inclusive: bool = True
-) -> DataFrame:
-    """Running sums in ``order`` within ``by``, over blocks of ``BLOCK`` consecutive values of a whole-number order."""
+def _block_scan(events: DataFrame, by: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """Running sums in ``order`` within ``by``, over blocks of ``BLOCK`` consecutive values of a whole-number order, and
+    whether the row ``is_last``."""
     blocked = events.withColumn("_block", F.floor(F.col(order) / BLOCK))
     totals = blocked.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = W.partitionBy(*by).orderBy("_block")
+    before = blocks.rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(
-        *by, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums]
+        *by,
+        "_block",
+        F.lead("_block").over(blocks).isNull().alias("_last_block"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
+    )
+    steps = W.partitionBy(*by, "_block").orderBy(order)
+    inside = steps.rowsBetween(W.unboundedPreceding, 0)
+    local = blocked.withColumns(
+        {**{f"_l_{n}": F.sum(c).over(inside) for n, c in sums.items()}, "_end": F.lead(order).over(steps).isNull()}
     )
-    inside = W.partitionBy(*by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    local = blocked.withColumns({f"_l_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
     joined = local.join(starts, [*by, "_block"])
-    made = joined.withColumns({n: F.col(f"_s_{n}") + F.col(f"_l_{n}") for n in sums})
-    return made.select(*events.columns, *sums)
+    made = {n: F.col(f"_s_{n}") + F.col(f"_l_{n}") for n in sums}
+    return joined.withColumns({**made, "is_last": F.col("_end") & F.col("_last_block")}).select(
+        *events.columns, *sums, "is_last"
+    )
 
 
 def running_means(events: DataFrame, order: str = "step", by: tuple[str, ...] = ("epoch",)) -> DataFrame:
-    """Adds the batch number ``i`` and the mean loss of the epoch so far."""
+    """Adds the batch number ``i``, the mean loss of the epoch so far and whether the batch ``is_last`` in its epoch."""
     scanned = _block_scan(
         events, list(by), order, {"_sum": F.col("batch_loss"), "_n": F.lit(1).cast("bigint")}
     )
@@ -88,7 +96,7 @@ def running_accuracy(
 ) -> DataFrame:
     """Adds the accuracy in percent of the epoch so far, weighted by elements."""
     scanned = _block_scan(events, list(by), order, {"_c": F.col(correct), "_e": F.col(total)})
-    return scanned.withColumn(name, F.col("_c").cast("double") / F.greatest(F.lit(1), F.col("_e")) * 100).drop("_c", "_e")
+    return scanned.withColumn(name, F.col("_c").cast("double") / F.greatest(F.lit(1), F.col("_e")) * 100).drop("_c", "_e", "is_last")
 
 
 def epoch_summary(batches: DataFrame) -> DataFrame:
@@ -101,11 +109,9 @@ def epoch_summary(batches: DataFrame) -> DataFrame:
     return batches.groupBy("epoch").agg(*losses, *accuracies)
 
 
-def logged_steps(steps: DataFrame, log_freq: int, by: str = "epoch") -> DataFrame:
-    """Every ``log_freq``-th batch of an epoch and its last one."""
-    last = steps.groupBy(by).agg(F.max("i").alias("_last"))
-    flagged = steps.join(last, by)
-    return flagged.filter((F.pmod("i", F.lit(log_freq)) == 0) | (F.col("i") == F.col("_last"))).drop("_last")
+def logged_steps(steps: DataFrame, log_freq: int) -> DataFrame:
+    """Every ``log_freq``-th batch of an epoch and its last one, from the result of :func:`running_means`."""
+    return steps.filter((F.pmod("i", F.lit(log_freq)) == 0) | F.col("is_last"))
 
 
 def improvements(epochs: DataFrame, metric: str, lower_is_better: bool = True, start: float | None = None) -> DataFrame:

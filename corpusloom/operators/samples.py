@@ -191,15 +191,18 @@ def step_plan(batches: DataFrame, batch_size: int, accumulation: int = 1, epochs
     )
 
 
-def step_boundaries(batches: DataFrame, accumulation: int = 1) -> DataFrame:
+def batch_count(n: int, batch_size: int, drop_last: bool = True) -> int:
+    """Batches that :func:`epoch_batches` makes of ``n`` rows."""
+    return n // batch_size if drop_last else -(-n // batch_size)
+
+
+def step_boundaries(batches: DataFrame, n_batches: int, accumulation: int = 1) -> DataFrame:
     """Per batch, its size, whether the optimizer steps after it, and the number of that step."""
     a = F.lit(max(1, accumulation))
+    number = F.col("batch_id") + 1
+    boundary = (F.pmod(number, a) == 0) | (number == n_batches)
     sizes = batches.groupBy("batch_id").agg(F.count("*").alias("n"))
-    last = F.broadcast(sizes.agg(F.max("batch_id").alias("batch_id"), F.lit(True).alias("is_last")))
-    flagged = sizes.join(last, "batch_id", "left")
-    boundary = (F.pmod(F.col("batch_id") + 1, a) == 0) | F.coalesce("is_last", F.lit(False))
-    step = F.ceil((F.col("batch_id") + 1) / a).cast("bigint")
-    return flagged.select("batch_id", "n", boundary.alias("is_boundary"), step.alias("step"))
+    return sizes.select("batch_id", "n", boundary.alias("is_boundary"), F.ceil(number / a).cast("bigint").alias("step"))
 
 
 def masked_positions(samples: DataFrame, *keep: str) -> DataFrame:

@@ -71,9 +71,11 @@ def test_improvements(spark):
     assert [r["is_best"] for r in high.orderBy("epoch").collect()] == [True, False, False, False]
 
 
-def test_logged_steps(spark):
-    steps = spark.createDataFrame([(0, i) for i in range(8)], "epoch int, i int")
-    assert sorted(r["i"] for r in G.logged_steps(steps, 3).collect()) == [0, 3, 6, 7]
+def test_logged_steps(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 3)
+    events = spark.createDataFrame([(e, 10 * e + s, 1.0) for e in range(2) for s in range(8)], "epoch int, step bigint, batch_loss double")
+    logged = G.logged_steps(G.running_means(events), 3)
+    assert sorted((r["epoch"], r["i"]) for r in logged.collect()) == [(e, i) for e in range(2) for i in (0, 3, 6, 7)]
 
 
 def test_event_log(spark, tmp_path):
