@@ -25,8 +25,9 @@ VOCAB_SIZE = 30_000
 MIN_FREQUENCY = 2
 # Pairs fetched at a recount.
 CANDIDATES = 2_000
-# Merges tried in one round.
+# Merges tried in the first round, and the most that are ever tried in one. Rounds grow while their guesses come true.
 PLANNED = 8
+MOST_PLANNED = 32
 # Rounds between two written states of the word table; the states in between are cached and can be derived again.
 ROUNDS_PER_TABLE = 16
 
@@ -169,7 +170,7 @@ class _Candidates:
                 self.counts[pair] = change
 
 
-def _certain(candidates: _Candidates, min_frequency: int) -> list[str]:
+def _certain(candidates: _Candidates, min_frequency: int, most: int) -> list[str]:
     """Pairs that are certainly next, in order.
 
     Walking down the order, pairs are taken while they share no symbol with one taken before. At the first that does, only
@@ -180,7 +181,7 @@ def _certain(candidates: _Candidates, min_frequency: int) -> list[str]:
     used: set[str] = set()
     bound = None
     for negative, pair in candidates.ordered():
-        if -negative < min_frequency or len(taken) >= PLANNED:
+        if -negative < min_frequency or len(taken) >= most:
             break
         if used.intersection(pair):
             bound = -negative
@@ -215,15 +216,15 @@ def _expect(counts: dict[str, float], pair: str, made: str) -> None:
 
 
 def _plan(
-    candidates: _Candidates, tokens: list[str], ids: dict[str, int], room: int, min_frequency: int
+    candidates: _Candidates, tokens: list[str], ids: dict[str, int], most: int, min_frequency: int
 ) -> tuple[list[tuple[int, int, int]], int]:
     """Merges to try in one round, and how many of them are certain; the others are a guess that the round checks."""
-    pairs = _certain(candidates, min_frequency)[:room]
+    pairs = _certain(candidates, min_frequency, most)
     expected = {p: float(n) for p, n in candidates.counts.items() if n > 0}
     merges: list[tuple[int, int, int]] = []
     names, fresh = list(tokens), dict(ids)
     sure = 0
-    while len(merges) < min(PLANNED, room):
+    while len(merges) < most:
         if len(merges) < len(pairs):
             pair = pairs[len(merges)]
             sure += 1
@@ -263,6 +264,7 @@ def train(
     kept = [words]
     known: _Candidates | None = None
     rounds = recounts = 0
+    planned = PLANNED
     while len(tokens) < vocab_size:
         recounted = known is None
         if known is None:
@@ -270,7 +272,7 @@ def train(
             last = (-top[-1]["n"], top[-1]["pair"]) if len(top) == candidates else None
             known = _Candidates({r["pair"]: r["n"] for r in top}, last)
             recounts += 1
-        plan, sure = _plan(known, tokens, ids, vocab_size - len(tokens), floor)
+        plan, sure = _plan(known, tokens, ids, min(planned, vocab_size - len(tokens)), floor)
         if not plan:
             if recounted or known.last is None or -known.last[0] < floor:
                 break
@@ -293,6 +295,7 @@ def train(
             tokens.append(tokens[left] + tokens[right])
             known.apply(changes[step], symbol(merged))
         merges.extend(batch)
+        planned = min(2 * planned, MOST_PLANNED) if len(batch) == len(plan) else max(PLANNED, len(batch))
         if len(tokens) >= vocab_size:
             break
         words = merge_words(words, batch)
