@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_ONE_MACHINE = re.compile(r"local(\[[^\]]*\])?")
+_local_roots: dict[str, str] = {}
 
 
 def local_session(cpus: str = "*", app: str = "corpusloom", memory: str = "12g") -> SparkSession:
@@ -34,14 +37,17 @@ def local_session(cpus: str = "*", app: str = "corpusloom", memory: str = "12g")
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only a local session may fall back to a fresh temporary folder: on a cluster that folder would exist on one machine.
+    Only a session on one machine may fall back to a fresh temporary folder, one for each application: elsewhere that folder
+    would exist on one machine only.
     """
-    root = spark.conf.get(_CHECKPOINT_KEY, None)
+    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _ONE_MACHINE.fullmatch(spark.sparkContext.master):
             raise ValueError(f"{_CHECKPOINT_KEY} must name a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+        application = spark.sparkContext.applicationId
+        if application not in _local_roots:
+            _local_roots[application] = tempfile.mkdtemp(prefix="corpusloom-")
+        root = _local_roots[application]
     return root.rstrip("/")
 
 
