@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, dedup, fingerprints, language, packing, warc
+from . import decontamination, dedup, fingerprints, language, packing, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.text_form(base), 256).alias("base_sha256"), pii.text_form(F.col("spans")).alias("spans"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     digest = F.sha2(F.array_join("items", ","), 256)
