@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, dedup, fingerprints, language, packing, pii, warc
+from . import decontamination, dedup, fingerprints, language, packing, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Documents with a label, without those held out: ``doc_id, text, label``."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(~language.held_out(4, 2))
+    return docs.join(labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]), "doc_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    examples = toxicity.fit(_labelled(spark, sf_dir, "toxic"), docs)
+    told = toxicity.score(docs, examples, carry=["doc_id"])
+    return told.select("doc_id", language.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
     text = fingerprints.text_form

@@ -136,3 +136,19 @@ def shingles_of(hashes: np.ndarray, text: np.ndarray, k: int, n_texts: int) -> t
         order = np.argsort(owners, kind="stable")
         runs, owners = runs[order], owners[order]
     return runs, owners
+
+
+def prefixes_of(texts: pa.Array, table: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of their longer-than-that prefixes (lengths in bytes), and the text of each."""
+    data, offsets = data_of(texts)
+    hashes, text, start, end = words_of(texts, table)
+    found, owners = [hashes], [text]
+    size = end - start
+    for k in lengths:
+        at = start[size > k]
+        run = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            run = run * _STEP + _BYTE[table[data[at + j]]]
+        found.append(mix(run))
+        owners.append(text[size > k])
+    return np.concatenate(found), np.concatenate(owners)
