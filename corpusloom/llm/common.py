@@ -78,6 +78,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return leaves.unionByName(heads.join(leaves.select("node"), "node", "left_anti"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """About ``per_class`` labelled rows of each class (``id, label, text``), and how many rows each class has.
+
+    ``labels`` has ``doc_id`` and ``label`` (0 or 1; other rows don't count, of repeated ids the larger label does). Rows are
+    drawn by a hash of the id, so the drawn ids are bounded by the parameter and are broadcast: no text is shuffled.
+    """
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("label") == 1, per_class / max(1, sizes.get(1, 0))).otherwise(per_class / max(1, sizes.get(0, 0)))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < share)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("doc_id").alias("id"), "label", "text")
+    return rows, sizes
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """The groups of rows with equal ``key`` of a partition sorted by it, each as one table."""
     rest: list[pa.Table] = []

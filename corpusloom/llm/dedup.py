@@ -16,7 +16,7 @@ SIMILARITY = (80, 100)
 def near_documents(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Groups of near copies: per row ``doc_id, n_shingles, copies, class_id, component_id, links, kept``.
+    """Groups of near copies: per row ``doc_id, n_shingles, copies, class_id, component_id, kept``.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says whether the document is that one. Null and empty
     texts, and texts without words, have no shingles and are linked with nothing. A row without id keeps a null component
@@ -31,7 +31,6 @@ def near_documents(
         "copies",
         "class_id",
         F.col("component").alias("component_id"),
-        "links",
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
 

@@ -22,8 +22,10 @@ from .words import SPACED, mix, shingles_of, words_of
 
 _SIGNED = "id long, n_shingles long, high long, low long, signature binary"
 _SETS = "id long, shingles binary"
-#: Rows of a bucket that meet the rows of another block; larger buckets are dealt to more tasks.
-_BLOCK = 1500
+_LINKS = "a long, b long"
+_KEYS = ["bucket", "block", "other"]
+#: Rows of a bucket that meet the rows of another block, and their word runs; larger buckets are dealt to more tasks.
+_BLOCK, _BLOCK_SHINGLES = 1500, 4_000_000
 
 
 def distinct_per_text(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,59 +97,116 @@ def _least_agreement(similarity: float, n_hashes: int) -> int:
     return int(n_hashes * similarity - 6 * (n_hashes * similarity * (1 - similarity)) ** 0.5)
 
 
-def bucket_pairs(bands: int, rows: int, similarity: float, nearest_only: bool) -> Callable:
-    """Task function over sorted (bucket, block, other, band, own_block, id, size, component, signature): pairs to check.
+class _Bucket:
+    """Rows of two blocks of one bucket, and which of their pairs may be similar."""
 
-    Pairs whose set sizes or signatures rule the similarity out are left, and so are pairs of one component. With
-    ``nearest_only`` each row gets its most similar partner, otherwise all of them, each pair in its first common band.
-    """
-    least = _least_agreement(similarity, bands * rows)
+    def __init__(self, group: pa.Table, bands: int, rows: int, similarity: float, least: int):
+        self.ids, self.sizes, self.components, self.own = (group[c].to_numpy() for c in ("id", "size", "component", "own_block"))
+        self.components = self.components.copy()
+        self.block, self.other, self.band = (group[c][0].as_py() for c in ("block", "other", "band"))
+        self.signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(self.ids), -1)
+        self.rows, self.similarity, self.least = rows, similarity, least
+        self.first, self.second = np.flatnonzero(self.own == self.block), np.flatnonzero(self.own == self.other)
+
+    def alike(self, i: int, partners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Partners in other components that size and signature allow, their equal minima, and whether no earlier band has the pair."""
+        partners = partners[self.components[partners] != self.components[i]]
+        s = self.sizes[partners]
+        partners = partners[np.minimum(s, self.sizes[i]) >= self.similarity * np.maximum(s, self.sizes[i])]
+        same = self.signatures[partners] == self.signatures[i]
+        agree = same.sum(1)
+        keep = agree >= self.least
+        partners, same, agree = partners[keep], same[keep], agree[keep]
+        new = ~same[:, : self.band * self.rows].reshape(len(partners), self.band, self.rows).all(2).any(1)
+        return partners, agree, new
+
+    def new_pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Every pair of the two blocks at most once, by its first row."""
+        for i in self.first.tolist():
+            partners, agree, new = self.alike(i, self.second[self.second > i] if self.block == self.other else self.second)
+            if new.any():
+                yield i, partners[new], agree[new]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], *how) -> Iterator[tuple[pa.Table, _Bucket]]:
+    for group in runs(batches, ["bucket", "block", "other"]):
+        components = group["component"].to_numpy()
+        if len(components) > 1 and not (components == components[0]).all():
+            yield group, _Bucket(group, *how)
+
+
+def nearest_pairs(*how) -> Callable:
+    """Task function over rows of buckets: each row with its most similar partner, as far as signatures allow any."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, waiting = [], [], 0
-        for group in runs(batches, ["bucket", "block", "other"]):
-            ids, sizes, comps, own = (group[c].to_numpy() for c in ("id", "size", "component", "own_block"))
-            if len(ids) < 2 or (comps == comps[0]).all():
-                continue
-            block, other, band = (group[c][0].as_py() for c in ("block", "other", "band"))
-            signatures = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
-            first, second = (np.flatnonzero(own == block), np.flatnonzero(own == other))
-            seekers = [(i, second) for i in first.tolist()]
-            if nearest_only and block != other:
-                seekers += [(i, first) for i in second.tolist()]
+        left, right = [], []
+        for _, bucket in _buckets(batches, *how):
+            seekers = [(i, bucket.second) for i in bucket.first.tolist()]
+            if bucket.block != bucket.other:
+                seekers += [(i, bucket.first) for i in bucket.second.tolist()]
             for i, partners in seekers:
-                if block == other and not nearest_only:
-                    partners = partners[partners > i]
-                partners = partners[comps[partners] != comps[i]]
-                s = sizes[partners]
-                partners = partners[np.minimum(s, sizes[i]) >= similarity * np.maximum(s, sizes[i])]
-                if not len(partners):
-                    continue
-                same = signatures[partners] == signatures[i]
-                agree = same.sum(1)
-                keep = agree >= least
-                if not keep.any():
-                    continue
-                if nearest_only:
-                    partners = partners[[int(np.argmax(agree))]]
-                else:
-                    earlier = same[:, : band * rows].reshape(len(partners), band, rows).all(2).any(1)
-                    partners = partners[keep & ~earlier]
-                left.append(np.minimum(ids[partners], ids[i]))
-                right.append(np.maximum(ids[partners], ids[i]))
-                waiting += len(partners)
-                if waiting > 20_000:
-                    yield _pairs(left, right)
-                    left, right, waiting = [], [], 0
-        if waiting:
+                partners, agree, _ = bucket.alike(i, partners)
+                if len(partners):
+                    best = bucket.ids[partners[int(np.argmax(agree))]]
+                    left.append(min(best, bucket.ids[i]))
+                    right.append(max(best, bucket.ids[i]))
+            if len(left) > 20_000:
+                yield _pairs(left, right)
+                left, right = [], []
+        if left:
             yield _pairs(left, right)
 
     return pairs
 
 
-def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+def open_rows(*how) -> Callable:
+    """Task function over rows of buckets: those with a pair in different components that signatures allow."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bucket in _buckets(batches, *how):
+            keep = np.zeros(len(bucket.ids), bool)
+            for i, partners, _ in bucket.new_pairs():
+                keep[i] = True
+                keep[partners] = True
+            if keep.any():
+                yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return rows_of
+
+
+def bucket_links(numerator: int, denominator: int, *how) -> Callable:
+    """Task function over rows of buckets with their full sets: links between different components.
+
+    A link joins its ends' components within the task, so a bucket of n rows gives fewer than n links. Every pair that stays
+    in different components has been compared in full.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bucket in _buckets(batches, *how):
+            sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+            left, right = [], []
+            for i, partners, agree in bucket.new_pairs():
+                for j in partners[np.argsort(-agree, kind="stable")].tolist():
+                    here, there = bucket.components[i], bucket.components[j]
+                    if here != there and _similar(sets[i], sets[j], numerator, denominator):
+                        bucket.components[bucket.components == there] = here
+                        left.append(min(bucket.ids[i], bucket.ids[j]))
+                        right.append(max(bucket.ids[i], bucket.ids[j]))
+            if left:
+                yield _pairs(left, right)
+
+    return links
+
+
+def _similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return denominator * common >= numerator * (len(x) + len(y) - common)
+
+
+def _pairs(left: list[int], right: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _confirm(numerator: int, denominator: int) -> Callable:
@@ -155,9 +214,7 @@ def _confirm(numerator: int, denominator: int) -> Callable:
         for batch in batches:
             keep = []
             for one, two in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(denominator * common >= numerator * (len(x) + len(y) - common))
+                keep.append(_similar(np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64), numerator, denominator))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
@@ -175,8 +232,7 @@ def near_classes(
 
     ``items`` has ``id: long`` and ``text``. Returns (1) one row per item: ``id, n_shingles, high, low`` (digest of the set,
     null where there is no word), (2) one row per set: ``high, low, copies, class_id`` (smallest id with that set),
-    ``component`` (smallest ``class_id`` reachable over links), ``links`` (checked links of the class). Two sets are linked
-    if their Jaccard similarity is at least ``similarity``; every link found by the bands is confirmed on the full sets.
+    ``component`` (smallest ``class_id`` reachable over links). Two sets are linked if their Jaccard similarity is at least ``similarity``; every link found by the bands is confirmed on the full sets.
     With 28 bands of 5 minima a pair of similarity 0.85 is missed by the bands once in 13 million.
     """
     ratio = similarity[0] / similarity[1]
@@ -193,25 +249,28 @@ def near_classes(
     )
     members = written(_members(classes, bands, rows), "members")
     one = classes.select(F.col("class_id").alias("id"), "size", "signature").dropDuplicates(["id"])
-    alone = F.col("id")
-    near = written(_pairs_of(members, one.withColumn("component", alone), bands, rows, ratio, True).distinct(), "near")
+    how = (bands, rows, ratio, _least_agreement(ratio, bands * rows))
+    alone = one.withColumn("component", F.col("id"))
+    near = written(_dealt(members, alone).mapInArrow(nearest_pairs(*how), _LINKS).distinct(), "near")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    sets = written(plain.join(wanted, "id", "left_semi").mapInArrow(shingle_sets(shingle_words, table), _SETS).dropDuplicates(["id"]), "sets")
+    # texts are shuffled here at every size, so that the plan is the same on a small table
+    texts = plain.join(wanted.hint("merge"), "id", "left_semi")
+    sets = written(texts.mapInArrow(shingle_sets(shingle_words, table), _SETS).dropDuplicates(["id"]), "sets")
     links = written(_checked(near, sets, similarity), "links")
     first = components(links)
-    tied = members.join(wanted, "id", "left_semi")
-    named = one.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", alone))
-    rest = written(_pairs_of(tied, named, bands, rows, ratio, False), "rest")
-    links = written(links.unionByName(_checked(rest.join(near, ["a", "b"], "left_anti"), sets, similarity)).distinct(), "all_links")
-    final = written(components(links), "components")
-    ends = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id")))
-    degree = ends.groupBy("class_id").agg(F.count("*").alias("links"))
+    named = one.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tied = written(members.join(wanted, "id", "left_semi").join(named.select("id", "component"), "id"), "tied")
+    several = tied.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    open_members = tied.join(several, "bucket", "left_semi").drop("component")
+    dealt = _dealt(open_members, named)
+    still = written(dealt.mapInArrow(open_rows(*how), dealt.schema), "open")
+    full = still.join(sets.hint("merge"), "id").select(*dealt.columns, "shingles")
+    more = full.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(bucket_links(*similarity, *how), _LINKS)
+    final = written(components(written(links.unionByName(more).distinct(), "all_links")), "components")
     result = (
         classes.select("high", "low", "copies", "class_id")
         .join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .join(degree, "class_id", "left")
         .withColumn("component", F.coalesce("component", "class_id"))
-        .withColumn("links", F.coalesce("links", F.lit(0)))
     )
     return signed.select("id", "n_shingles", "high", "low"), written(result, "components_of_classes")
 
@@ -221,9 +280,9 @@ def membership(signed: DataFrame, classes: DataFrame) -> DataFrame:
     total = signed.count()
     told = lookup(signed.where("high is not null and id is not null"), classes, ["high", "low"], "copies", total)
     alone = signed.where("high is null or id is null").select(
-        "id", "n_shingles", F.lit(1).cast("bigint").alias("copies"), F.col("id").alias("class_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("links")
+        "id", "n_shingles", F.lit(1).cast("bigint").alias("copies"), F.col("id").alias("class_id"), F.col("id").alias("component")
     )
-    return told.select("id", "n_shingles", "copies", "class_id", "component", F.col("links").cast("bigint").alias("links")).unionByName(alone)
+    return told.select("id", "n_shingles", "copies", "class_id", "component").unionByName(alone)
 
 
 def _band_key(band: Column, rows: int) -> Column:
@@ -231,36 +290,23 @@ def _band_key(band: Column, rows: int) -> Column:
 
 
 def _members(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, band, n, id): the classes of every band value that two classes or more share."""
-    cut = classes.select(F.col("class_id").alias("id"), "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    thin = cut.select(_band_key(F.col("band"), rows).alias("bucket"), F.col("band").cast("smallint").alias("band"), "id")
-    buckets = written(thin.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    """(bucket, band, n, shingles, id): the classes of every band value that two classes or more share."""
+    cut = classes.select(F.col("class_id").alias("id"), "size", "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    thin = cut.select(_band_key(F.col("band"), rows).alias("bucket"), F.col("band").cast("smallint").alias("band"), "id", "size")
+    buckets = thin.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     total = classes.count() * bands
-    return lookup(thin, buckets, ["bucket"], "n", total)
+    return lookup(thin.drop("size"), written(buckets, "buckets"), ["bucket"], "n", total)
 
 
-def _pairs_of(members: DataFrame, named: DataFrame, bands: int, rows: int, ratio: float, nearest_only: bool) -> DataFrame:
-    """Deals buckets as pairs of blocks to tasks."""
-    blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
+def _dealt(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Buckets as pairs of blocks, each pair in one task: all of ``_KEYS`` together and in order."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / _BLOCK), F.ceil(F.col("shingles") / _BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
     met = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows_of = members.withColumn("own_block", own).select("bucket", "band", "id", "own_block", met.alias("met"))
-    if not nearest_only:
-        several = written(members.join(named.select("id", "component"), "id").groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "several")
-        rows_of = rows_of.join(several, "bucket", "left_semi")
-    dealt = rows_of.join(named, "id").select(
-        "bucket",
-        F.least("own_block", "met").alias("block"),
-        F.greatest("own_block", "met").alias("other"),
-        "band",
-        "own_block",
-        "id",
-        "size",
-        "component",
-        "signature",
-    )
-    keys = ["bucket", "block", "other"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(bucket_pairs(bands, rows, ratio, nearest_only), "a long, b long")
+    rows_of = members.select("bucket", "band", "id", own.alias("own_block"), met.alias("met")).join(named, "id")
+    pair = (F.least("own_block", "met").alias("block"), F.greatest("own_block", "met").alias("other"))
+    dealt = rows_of.select("bucket", *pair, "band", "own_block", "id", "size", "component", "signature")
+    return dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -270,4 +316,4 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")).join(copies_a, "a")
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")).join(copies_b, "b")
     both = pairs.join(one, ["a", "a_salt"]).join(two, ["b", "b_salt"])
-    return both.select("a", "b", "one", "two").mapInArrow(_confirm(*similarity), "a long, b long")
+    return both.select("a", "b", "one", "two").mapInArrow(_confirm(*similarity), _LINKS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, dedup, fingerprints, language, packing, pii, toxicity, warc
+from . import decontamination, dedup, fingerprints, language, packing, pii, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +24,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Documents with a label, without those held out: ``doc_id, text, label``."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(~language.held_out(4, 2))
-    return docs.join(labels.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]), "doc_id")
+def _labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labels without those held out: ``doc_id, label``."""
+    return _table(spark, sf_dir, "labels").where(~language.held_out(4, 2)).select("doc_id", F.col(label).alias("label"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    examples = toxicity.fit(_labelled(spark, sf_dir, "toxic"), docs)
+    examples = toxicity.fit(docs, _labels(spark, sf_dir, "toxic"))
     told = toxicity.score(docs, examples, carry=["doc_id"])
     return told.select("doc_id", language.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
@@ -46,6 +44,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir, "quality")), carry=["doc_id"])
+    return told.select("doc_id", language.held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "passage", "attention")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
     page = lambda c: F.substring_index(c, ":", -1).try_cast("bigint")
@@ -70,7 +74,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.near_documents(_table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import written
+from .common import labelled_sample
 from .words import ALNUM, prefixes_of, shingles_of, words_of
 
 #: Labelled rows of each class that examples are drawn from (about; by a hash of the id), and terms that tell the classes apart.
@@ -181,8 +182,8 @@ def _ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * (part(a, n1, p) + part(b, n0, p))
 
 
-def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Examples:
-    """Examples from ``labelled`` (``doc_id, text, label`` 0 or 1) with document frequencies over all ``docs`` (``text``).
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Examples:
+    """Examples from ``docs`` (``doc_id, text``) by ``labels`` (``doc_id, label`` 0 or 1), document frequencies over all ``docs``.
 
     About ``sample`` rows of each class are drawn by a hash of the id; of near copies (equal least hash of word runs) in a
     class one stays. Terms are words and prefixes of words; those that the positive class has significantly more often, at
@@ -191,10 +192,8 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE, terms: int =
     receives ``terms`` counts and the examples' vectors, bounded by both parameters.
     """
     spark = docs.sparkSession
-    known = labelled.where("text is not null and label in (0, 1)").select(F.col("doc_id").alias("id"), F.col("label").cast("int").alias("label"), "text")
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("label") == 1, sample / max(1, sizes.get(1, 0))).otherwise(sample / max(1, sizes.get(0, 0)))
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < share)
+    rows, sizes = labelled_sample(docs, labels, sample, 3)
+    drawn = rows.where("text is not null")
     told = drawn.mapInArrow(_describe, "id long, label int, least long, terms array<long>")
     chosen = written(told.groupBy("label", F.coalesce("least", F.lit(0)).alias("least")).agg(F.min(F.struct("id", "terms")).alias("x")).select("label", "x.id", "x.terms"), "examples")
     n = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
