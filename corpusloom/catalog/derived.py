@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from ..operators.corpus import adjacent_pairs, route_split
 from ..operators.indexing import Indexed
 from ..operators.qa_features import encode_examples
 from ..operators.vocabulary import Vocabulary, byte_vocabulary
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.documents import concat_sources, scan_documents
 from ..sources.pair_corpus import index_pairs
 from ..sources.squad import read_qa_examples
@@ -54,12 +52,13 @@ def routed_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def _once_per_session(build):
     """Build a written table or model once per Spark application and folder, as its users would."""
 
-    @functools.lru_cache(maxsize=16)
-    def by_key(app: str, sf: str):
-        return build(SparkSession.getActiveSession(), sf)
+    made: dict[tuple[str, str], object] = {}
 
     def get(spark: SparkSession, sf: str):
-        return by_key(spark.sparkContext.applicationId, sf)
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in made:
+            made[key] = build(spark, sf)
+        return made[key]
 
     return get
 
@@ -69,6 +68,19 @@ def indexed_pairs(spark: SparkSession, sf: str) -> Indexed:
     return index_pairs(routed_pairs(spark, sf))
 
 
+@_once_per_session
+def symbol_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct pieces of all documents as symbols, written once."""
+    return written(bpe.symbol_words(bpe.piece_frequencies(documents(spark, sf))), "words")
+
+
+@_once_per_session
+def first_pair(spark: SparkSession, sf: str) -> tuple[int, int]:
+    """Ids of the most frequent pair of symbols."""
+    found = bpe.pair_ids(bpe.top_pairs(bpe.pair_counts(symbol_words(spark, sf)), 1)).first()
+    return found[0], found[1]
+
+
 @_once_per_session
 def trained(spark: SparkSession, sf: str) -> bpe.Training:
     return bpe.train(bpe.piece_frequencies(documents(spark, sf)), VOCAB_SIZE)

@@ -428,6 +428,11 @@ ORACLES["e6_drop_counts"] = f"WITH {FITTED} SELECT outcome, count(*) AS n FROM j
 ORACLES["e7_train_features"] = f"""WITH {FITTED}
 SELECT ex_idx AS example_index, {_INPUT}, (len(q_ids) + 2 + tok_start)::INTEGER AS start_position,
   (len(q_ids) + 2 + tok_end)::INTEGER AS end_position FROM judged WHERE outcome = 'kept'"""
+ORACLES["d8_qa_batches"] = f"""WITH {FITTED}, r AS (SELECT ex_idx, row_number() OVER (ORDER BY ex_idx) - 1 AS r FROM fitted WHERE budget > 0)
+SELECT ex_idx AS example_index, r // {BATCH} AS batch_id, (r % {BATCH})::INTEGER AS in_batch FROM r"""
+ORACLES["d8_qa_training_batches"] = f"""WITH {FITTED}, k AS (SELECT ex_idx, count(*) OVER () AS n FROM judged WHERE outcome = 'kept'),
+r AS (SELECT ex_idx, n, row_number() OVER (ORDER BY md5(concat_ws('|', 'shuffle', {SEED}, 0, ex_idx))) - 1 AS r FROM k)
+SELECT ex_idx AS example_index, r // {BATCH} AS batch_id, (r % {BATCH})::INTEGER AS in_batch FROM r WHERE r < n // {BATCH} * {BATCH}"""
 ORACLES["e7_eval_features"] = f"""WITH {FITTED}
 SELECT ex_idx AS feature_index, (len(q_ids) + 2)::INTEGER AS context_start, array_to_string(offs, ' ') AS offsets
 FROM fitted WHERE budget > 0"""
@@ -506,6 +511,8 @@ ORACLES["f9_turn_overlap"] = f"""WITH {QA}, {overlap('turns', 'qid', 'question',
 SELECT qid, round(f1, 6) AS f1 FROM scored"""
 ORACLES["f10_qa_metrics"] = f"WITH {METRICS}"
 ORACLES["a10_evaluation_sink"] = f"WITH {METRICS}"
+ORACLES["a10_evaluation_lines"] = f"""WITH {PREDICTED} SELECT to_json({{'qid': qid, 'text': text}})::VARCHAR AS value FROM predicted"""
+ORACLES["a10_evaluation_event"] = f"""SELECT 'evaluation' AS run, 'epoch' AS event, -1 AS epoch, 'dev' AS split, * FROM (WITH {METRICS}) m"""
 ORACLES["a10_predictions"] = f"WITH {PREDICTED} SELECT qid, text FROM predicted"
 
 # ---------------------------------------------------------------- training events
@@ -539,20 +546,20 @@ SELECT batch_id, round(nsp_loss, 6) AS nsp_loss, round(coalesce(mlm_loss, 0), 6)
   round(nsp_loss + coalesce(mlm_loss, 0), 6) AS loss FROM nsp LEFT JOIN mlm USING (batch_id)"""
 ORACLES["g3_qa_losses"] = f"""WITH r AS (SELECT vec_id // 16 AS batch_id, embedding AS x, label FROM embeddings)
 SELECT batch_id, round((avg({loss_of('x', 'label')}) + avg({loss_of('x', '(label + 3)')})) / 2, 6) AS loss FROM r GROUP BY 1"""
-_OVER = "OVER (PARTITION BY epoch ORDER BY step ROWS UNBOUNDED PRECEDING)"
+_OVER = "OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING)"
 ORACLES["g4_running_loss"] = f"""WITH {STEPS}
-SELECT epoch, step, count(*) {_OVER} - 1 AS i, (sum(batch_loss) {_OVER})::DOUBLE / count(*) {_OVER} AS running_loss FROM steps"""
+SELECT run, epoch, step, count(*) {_OVER} - 1 AS i, (sum(batch_loss) {_OVER})::DOUBLE / count(*) {_OVER} AS running_loss FROM steps"""
 ORACLES["g4_running_accuracy"] = f"""WITH {STEPS}
-SELECT epoch, step, (sum(user_id % 5) {_OVER})::DOUBLE / (count(*) {_OVER} * 4) * 100 AS running_acc FROM steps"""
-ORACLES["g5_epoch_summary"] = f"""WITH {STEPS}, b AS (SELECT epoch, step // 16 AS batch, avg(batch_loss::DOUBLE) AS loss,
-    avg((batch_loss * 2)::DOUBLE) AS mlm, avg((batch_loss * 3)::DOUBLE) AS nsp, count(*) FILTER (run = 'click') AS mc,
-    count(*) FILTER (run <> 'view') AS mt, count(*) FILTER (user_id % 2 = 0) AS nc, count(*) AS nt FROM steps GROUP BY 1, 2)
-SELECT epoch, round(avg(loss), 6) AS avg_loss, round(avg(mlm), 6) AS avg_mlm_loss, round(avg(nsp), 6) AS avg_nsp_loss,
+SELECT run, epoch, step, (sum(user_id % 5) {_OVER})::DOUBLE / (count(*) {_OVER} * 4) * 100 AS running_acc FROM steps"""
+ORACLES["g5_epoch_summary"] = f"""WITH {STEPS}, b AS (SELECT run, epoch, step // 16 AS batch, avg(batch_loss::DOUBLE) AS loss,
+    avg((batch_loss * 2)::DOUBLE) AS mlm, avg((batch_loss * 3)::DOUBLE) AS nsp, count(*) FILTER (user_id % 3 = 0) AS mc,
+    count(*) FILTER (user_id % 3 < 2) AS mt, count(*) FILTER (user_id % 2 = 0) AS nc, count(*) AS nt FROM steps GROUP BY 1, 2, 3)
+SELECT run, epoch, round(avg(loss), 6) AS avg_loss, round(avg(mlm), 6) AS avg_mlm_loss, round(avg(nsp), 6) AS avg_nsp_loss,
   round(sum(mc)::DOUBLE / greatest(1, sum(mt)) * 100, 6) AS mlm_acc, round(sum(nc)::DOUBLE / greatest(1, sum(nt)) * 100, 6) AS nsp_acc
-FROM b GROUP BY epoch"""
-ORACLES["g6_logged_steps"] = f"""WITH {STEPS}, n AS (SELECT epoch, step, count(*) {_OVER} - 1 AS i,
-    count(*) OVER (PARTITION BY epoch) - 1 AS last FROM steps)
-SELECT epoch, step, i FROM n WHERE i % 50 = 0 OR i = last"""
+FROM b GROUP BY run, epoch"""
+ORACLES["g6_logged_steps"] = f"""WITH {STEPS}, n AS (SELECT run, epoch, step, count(*) {_OVER} - 1 AS i,
+    count(*) OVER (PARTITION BY run, epoch) - 1 AS last FROM steps)
+SELECT run, epoch, step, i FROM n WHERE i % 50 = 0 OR i = last"""
 TEST_EPOCHS = f"{STEPS}, t AS (SELECT run, epoch, avg_loss FROM epochs WHERE split = 'test')"
 ORACLES["g7_improvements"] = f"""WITH {TEST_EPOCHS}
 SELECT run, epoch, NOT EXISTS (SELECT 1 FROM t p WHERE p.run = t.run AND p.epoch < t.epoch AND p.avg_loss <= t.avg_loss) AS is_best

@@ -114,6 +114,19 @@ def a10_evaluation_sink(spark, sf):
     return written.select(F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "count")
 
 
+@query
+def a10_evaluation_lines(spark, sf):
+    found = evaluation.evaluation_lines(*evaluation.read_evaluation(spark, _written_evaluation(spark, sf)))
+    return found.where("value not like '{\"metrics\"%'")
+
+
+@query
+def a10_evaluation_event(spark, sf):
+    metrics, _ = evaluation.read_evaluation(spark, _written_evaluation(spark, sf))
+    event = evaluation.evaluation_event(metrics, "evaluation")
+    return event.withColumns({c: F.round(c, 6) for c in ("exact_match", "f1")})
+
+
 @query
 def a10_predictions(spark, sf):
     return evaluation.read_evaluation(spark, _written_evaluation(spark, sf))[1]
@@ -208,8 +221,8 @@ def c6_next_merges(spark, sf):
 
 @query
 def c7_merged_words(spark, sf):
-    words = bpe.symbol_words(bpe.piece_frequencies(D.documents(spark, sf))).persist()
-    left, right = bpe.pair_ids(bpe.top_pairs(bpe.pair_counts(words), 1)).first()[:2]
+    words = D.symbol_words(spark, sf)
+    left, right = D.first_pair(spark, sf)
     merged = bpe.merge_words(words, [(left, right, len(D.bytes_only()))])
     return merged.select(F.array_join(bpe.word_ids(F.col("word")), " ").alias("ids"), "freq")
 
@@ -399,9 +412,22 @@ def d8_ordered_batches(spark, sf):
     return samples.epoch_batches(test, pairs.counts["test"], BATCH, shuffle=False, drop_last=False)
 
 
+@query
+def d8_qa_batches(spark, sf):
+    features = _eval_features(spark, sf).select(F.col("feature_index").alias("example_index"))
+    return samples.epoch_batches(features, features.count(), BATCH, shuffle=False, drop_last=False, key="example_index", dense=False)
+
+
+@query
+def d8_qa_training_batches(spark, sf):
+    made = qa_features.train_features(qa_features.judged_features(D.encoded_examples(spark, sf), True))
+    features = made.select("example_index")
+    return samples.epoch_batches(features, features.count(), BATCH, SEED, key="example_index")
+
+
 @query
 def d9_step_plan(spark, sf):
-    return samples.step_plan(_train_batches(spark, sf), BATCH, ACCUMULATION, epochs=3)
+    return samples.step_plan(spark, D.indexed_pairs(spark, sf).counts["train"], BATCH, ACCUMULATION, epochs=3)
 
 
 @query
@@ -616,38 +642,38 @@ def g3_qa_losses(spark, sf):
 @query
 def g4_running_loss(spark, sf):
     means = run_metrics.running_means(D.metric_events(spark, sf))
-    return means.select("epoch", "step", "i", "running_loss")
+    return means.select("run", "epoch", "step", "i", "running_loss")
 
 
 @query
 def g4_running_accuracy(spark, sf):
     batches = D.metric_events(spark, sf).select(
-        "epoch", "step", F.pmod("user_id", F.lit(5)).alias("correct"), F.lit(4).cast("bigint").alias("total")
+        "run", "epoch", "step", F.pmod("user_id", F.lit(5)).alias("correct"), F.lit(4).cast("bigint").alias("total")
     )
     made = run_metrics.running_accuracy(batches, "correct", "total", "running_acc")
-    return made.select("epoch", "step", "running_acc")
+    return made.select("run", "epoch", "step", "running_acc")
 
 
 @query
 def g5_epoch_summary(spark, sf):
     batch = F.floor(F.col("step") / 16).alias("batch")
-    batches = D.metric_events(spark, sf).groupBy("epoch", batch).agg(
+    batches = D.metric_events(spark, sf).groupBy("run", "epoch", batch).agg(
         F.avg(F.col("batch_loss").cast("double")).alias("loss"),
         F.avg((F.col("batch_loss") * 2).cast("double")).alias("mlm_loss"),
         F.avg((F.col("batch_loss") * 3).cast("double")).alias("nsp_loss"),
-        F.count_if(F.col("run") == "click").alias("mlm_correct"),
-        F.count_if(F.col("run") != "view").alias("mlm_total"),
+        F.count_if(F.pmod("user_id", F.lit(3)) == 0).alias("mlm_correct"),
+        F.count_if(F.pmod("user_id", F.lit(3)) < 2).alias("mlm_total"),
         F.count_if(F.pmod("user_id", F.lit(2)) == 0).alias("nsp_correct"),
         F.count("*").alias("nsp_total"),
     )
     made = run_metrics.epoch_summary(batches)
-    return made.select("epoch", *[F.round(c, 6).alias(c) for c in made.columns if c != "epoch"])
+    return made.select("run", "epoch", *[F.round(c, 6).alias(c) for c in made.columns if c not in ("run", "epoch")])
 
 
 @query
 def g6_logged_steps(spark, sf):
     steps = run_metrics.running_means(D.metric_events(spark, sf))
-    return run_metrics.logged_steps(steps, 50).select("epoch", "step", "i")
+    return run_metrics.logged_steps(steps, 50).select("run", "epoch", "step", "i")
 
 
 def _test_epochs(spark, sf) -> DataFrame:

@@ -14,7 +14,6 @@ from ..session import scratch_path
 
 _PART = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?\.[^/]*$")
 _ROWS_PER_BUCKET = 200_000
-_MAX_BUCKET_DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -73,8 +72,7 @@ def read_indexed(spark: SparkSession, path: str, like: DataFrame, group: str | N
         counts[name] = counts.get(name, 0) + row["count"]
     if not offsets:
         return Indexed(like.limit(0).withColumn("idx", F.lit(0).cast("bigint")), {})
-    # One row per file of the table, so its size follows the number of files and not that of rows.
-    starts = F.broadcast(spark.createDataFrame(offsets, "file string, first bigint"))
+    starts = spark.createDataFrame(offsets, "file string, first bigint")
     rows = stored.withColumn("file", file).withColumn("in_file", F.col("_metadata.row_index")).join(starts, "file")
     idx = (F.col("first") + F.col("in_file")).alias("idx")
     return Indexed(rows.select(*like.columns, idx), counts)
@@ -84,15 +82,16 @@ def shuffled_rank(df: DataFrame, n: int, *key: Column | str | int, name: str = "
     """Adds the dense rank of each row in the order of a hash of its unique key.
 
     Hashes are uniform whatever the data, so their leading digits cut the rows into even buckets; each bucket is numbered on
-    its own and starts where the counts of the earlier ones end. At most 65,536 bucket counts are broadcast.
+    its own and starts where the counts of the earlier ones end. There are 256 buckets at least, and so many that one holds
+    about 200,000 rows at most; only their counts meet in one task.
     """
-    digits = 0
-    while digits < _MAX_BUCKET_DIGITS and n > _ROWS_PER_BUCKET * 16**digits:
+    digits = 2
+    while n > _ROWS_PER_BUCKET * 16**digits:
         digits += 1
     drawn = df.withColumn("_h", digest(*key)).withColumn("_b", F.substring("_h", 1, digits))
     counts = drawn.groupBy("_b").agg(F.count("*").alias("_n"))
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = F.row_number().over(W.partitionBy("_b").orderBy("_h", *[k for k in key if isinstance(k, Column)])) - 1
-    ranked = drawn.withColumn("_in", inside).join(F.broadcast(starts), "_b")
+    ranked = drawn.withColumn("_in", inside).join(starts, "_b")
     return ranked.withColumn(name, F.col("_first") + F.col("_in")).drop("_h", "_b", "_n", "_in", "_first")

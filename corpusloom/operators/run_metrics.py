@@ -60,7 +60,7 @@ def qa_batch_losses(rows: DataFrame) -> DataFrame:
 def _block_scan(events: DataFrame, by: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
     """Running sums in ``order`` within ``by``, over blocks of ``BLOCK`` consecutive values of a whole-number order, and
     whether the row ``is_last``."""
-    blocked = events.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    blocked = events.withColumn("_block", F.expr(f"`{order}` div {BLOCK}"))
     totals = blocked.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     blocks = W.partitionBy(*by).orderBy("_block")
     before = blocks.rowsBetween(W.unboundedPreceding, -1)
@@ -82,8 +82,8 @@ def _block_scan(events: DataFrame, by: list[str], order: str, sums: dict[str, Co
     )
 
 
-def running_means(events: DataFrame, order: str = "step", by: tuple[str, ...] = ("epoch",)) -> DataFrame:
-    """Adds the batch number ``i``, the mean loss of the epoch so far and whether the batch ``is_last`` in its epoch."""
+def running_means(events: DataFrame, order: str = "step", by: tuple[str, ...] = ("run", "epoch")) -> DataFrame:
+    """Adds the batch number ``i``, the mean loss of the run's epoch so far and whether the batch ``is_last`` in it."""
     scanned = _block_scan(
         events, list(by), order, {"_sum": F.col("batch_loss"), "_n": F.lit(1).cast("bigint")}
     )
@@ -92,21 +92,21 @@ def running_means(events: DataFrame, order: str = "step", by: tuple[str, ...] =
 
 
 def running_accuracy(
-    events: DataFrame, correct: str, total: str, name: str, order: str = "step", by: tuple[str, ...] = ("epoch",)
+    events: DataFrame, correct: str, total: str, name: str, order: str = "step", by: tuple[str, ...] = ("run", "epoch")
 ) -> DataFrame:
-    """Adds the accuracy in percent of the epoch so far, weighted by elements."""
+    """Adds the accuracy in percent of the run's epoch so far, weighted by elements."""
     scanned = _block_scan(events, list(by), order, {"_c": F.col(correct), "_e": F.col(total)})
     return scanned.withColumn(name, F.col("_c").cast("double") / F.greatest(F.lit(1), F.col("_e")) * 100).drop("_c", "_e", "is_last")
 
 
-def epoch_summary(batches: DataFrame) -> DataFrame:
-    """Per epoch the mean of the batch losses, whatever their sizes, and accuracies weighted by elements."""
+def epoch_summary(batches: DataFrame, by: tuple[str, ...] = ("run", "epoch")) -> DataFrame:
+    """Per run and epoch the mean of the batch losses, whatever their sizes, and accuracies weighted by elements."""
     losses = [F.avg(c).alias(f"avg_{c}") for c in ("loss", "mlm_loss", "nsp_loss")]
     accuracies = [
         (F.sum(f"{t}_correct") / F.greatest(F.lit(1), F.sum(f"{t}_total")) * 100).alias(f"{t}_acc")
         for t in ("mlm", "nsp")
     ]
-    return batches.groupBy("epoch").agg(*losses, *accuracies)
+    return batches.groupBy(*by).agg(*losses, *accuracies)
 
 
 def logged_steps(steps: DataFrame, log_freq: int) -> DataFrame:

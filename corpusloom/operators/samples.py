@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
@@ -12,7 +12,7 @@ from ..functions.draws import DIGITS, below, digest, high_integer, integer, low_
 from ..functions.text import EOS, MASK, N_SPECIAL, PAD, SOS
 from ..session import written
 from .encoding import encode
-from .indexing import Indexed, shuffled_rank
+from .indexing import Indexed, dense_index, shuffled_rank
 from .vocabulary import Vocabulary
 
 # Shares of pairs kept, of tokens selected, and of selected tokens masked and (up to) replaced.
@@ -162,33 +162,42 @@ def samples_from_ids(
 
 
 def epoch_batches(
-    rows: DataFrame, n: int, batch_size: int, seed: int = 0, epoch: int = 0, shuffle: bool = True, drop_last: bool = True
+    rows: DataFrame, n: int, batch_size: int, seed: int = 0, epoch: int = 0, shuffle: bool = True, drop_last: bool = True, key: str = "idx", dense: bool = True
 ) -> DataFrame:
-    """Adds ``batch_id`` and the place ``in_batch``: shuffled by a keyed hash of ``idx``, or in the order of ``idx``."""
+    """Adds ``batch_id`` and the place ``in_batch``: shuffled by a keyed hash of ``key``, or in the order of ``key``.
+
+    ``key`` is unique. If it has gaps (``dense=False``), as that of features after some were dropped, rows are ranked first.
+    """
     if shuffle:
-        ranked = shuffled_rank(rows, n, "shuffle", seed, epoch, F.col("idx"))
+        ranked = shuffled_rank(rows, n, "shuffle", seed, epoch, F.col(key))
+    elif not dense:
+        ranked = _ranked(rows, key)
     else:
-        ranked = rows.withColumn("rank", F.col("idx"))
+        ranked = rows.withColumn("rank", F.col(key))
     if drop_last:
         ranked = ranked.filter(F.col("rank") < n // batch_size * batch_size)
     size = F.lit(batch_size).cast("bigint")
-    batch = F.floor(F.col("rank") / size).cast("bigint")
-    return ranked.withColumns({"batch_id": batch, "in_batch": F.pmod("rank", size).cast("int")}).drop("rank")
+    return ranked.withColumns({"batch_id": F.expr(f"rank div {int(batch_size)}"), "in_batch": F.pmod("rank", size).cast("int")}).drop("rank")
+
 
+def _ranked(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with the ``rank`` of their ``key``."""
+    free = dense_index(rows.withColumnRenamed(key, "_key"), ("_key",)).rows
+    return free.withColumnRenamed("idx", "rank").withColumnRenamed("_key", key)
 
-def step_plan(batches: DataFrame, batch_size: int, accumulation: int = 1, epochs: int = 1) -> DataFrame:
-    """One row: batches and optimizer steps per epoch, total steps, effective batch size."""
+
+def step_plan(
+    spark: SparkSession, n: int, batch_size: int, accumulation: int = 1, epochs: int = 1, drop_last: bool = True, at_least: int = 0
+) -> DataFrame:
+    """One row: batches and optimizer steps per epoch, total steps, effective batch size, of ``n`` rows.
+
+    A set smaller than a batch has no batch and no step, unless ``at_least`` asks for some, as fine-tuning does.
+    """
     a = max(1, accumulation)
-    n = F.greatest(F.coalesce(F.max("batch_id") + 1, F.lit(0)), F.lit(1)).cast("bigint")
-    per_epoch = batches.agg(n.alias("batches_per_epoch")).withColumn(
-        "steps_per_epoch", F.ceil(F.col("batches_per_epoch") / a).cast("bigint")
-    )
-    return per_epoch.withColumns(
-        {
-            "total_steps": F.greatest(F.lit(1).cast("bigint"), F.col("steps_per_epoch") * epochs),
-            "effective_batch": F.lit(batch_size * a),
-        }
-    )
+    batches = max(at_least, batch_count(n, batch_size, drop_last))
+    steps = -(-batches // a)
+    row = (batches, steps, max(at_least, steps * epochs), batch_size * a)
+    return spark.createDataFrame([row], "batches_per_epoch bigint, steps_per_epoch bigint, total_steps bigint, effective_batch int")
 
 
 def batch_count(n: int, batch_size: int, drop_last: bool = True) -> int:

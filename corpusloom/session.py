@@ -61,12 +61,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored_bytes(spark: SparkSession, path: str) -> int | None:
-    """Size of the files below ``path`` as the file system reports it, without a job; null if it cannot be asked."""
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    except AttributeError:
-        return None

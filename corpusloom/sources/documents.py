@@ -7,48 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.indexing import dense_index
-from ..session import stored_bytes
 
 
-_SMALL_BYTES_PER_CORE = 16 << 20
+def scan_documents(spark: SparkSession, path: str, source: str, id_column: str = "doc_id", partitions: int | None = None) -> DataFrame:
+    """``source, doc_id, text`` of a Parquet table; a missing text is empty. Only the two columns are read.
 
-
-def spread(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Deal the rows of a small table to all cores.
-
-    A small file is often one row group, and so one task however long its texts take. Large tables keep the splits they
-    have and are not shuffled.
+    The splits of the files stay as they are. ``partitions`` deals the rows anew, for a file of one row group.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = stored_bytes(df.sparkSession, path)
-    return df.repartition(cores, key) if size is not None and size < _SMALL_BYTES_PER_CORE * cores else df
-
-
-def scan_documents(spark: SparkSession, path: str, source: str, id_column: str = "doc_id") -> DataFrame:
-    """``source, doc_id, text`` of a Parquet table; a missing text is empty. Only the two columns are read."""
     docs = spark.read.parquet(path).select(
         F.lit(source).alias("source"),
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return spread(docs, path, "doc_id")
+    return docs.repartition(partitions, "doc_id") if partitions else docs
 
 
 def take_documents(docs: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` documents by id; a negative ``n`` means all.
+    """The first ``n`` documents by id; a negative ``n`` means all. Of rows that repeat the last id some stay, ``n`` in all.
 
-    Only ids are numbered, to find the last id that belongs; the texts stay where they are and are filtered by that id.
+    Each task keeps its own first ``n`` before they meet.
     """
-    if n < 0:
-        return docs
-    if n == 0:
-        return docs.limit(0)
-    ids = dense_index(docs.select("doc_id"), ("doc_id",))
-    if ids.total <= n:
-        return docs
-    last = ids.rows.filter(F.col("idx") == n - 1).first()["doc_id"]
-    return docs.filter(F.col("doc_id") <= last)
+    return docs if n < 0 else docs.orderBy("doc_id").limit(n)
 
 
 def concat_sources(*sources: DataFrame | None) -> DataFrame:

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DOCUMENT_LIMIT = 1_000_000
-
-
 _METRICS = "exact_match double, f1 double, count bigint"
 _PREDICTIONS = "qid string, text string"
 
@@ -32,18 +29,12 @@ def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     )
 
 
-def evaluation_document(metrics: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One JSON document with metrics and all predictions, as one row of ``value``.
+def evaluation_lines(metrics: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The evaluation as JSON lines (``value``): one line ``{"metrics": ...}``, and one line per prediction. No row is moved."""
+    scores = metrics.select(F.to_json(F.struct(F.struct("exact_match", "f1", "count").alias("metrics"))).alias("value"))
+    return scores.unionByName(predictions.select(F.to_json(F.struct("qid", "text")).alias("value")))
 
-    One document is one row in one task, so the number of predictions is checked first; the tables have no such limit.
-    """
-    n = predictions.count()
-    if n > _DOCUMENT_LIMIT:
-        raise ValueError(f"{n} predictions do not fit one document; use the tables")
-    found = predictions.agg(F.map_from_entries(F.collect_list(F.struct("qid", "text"))).alias("predictions"))
-    # Both sides are single aggregate rows.
-    return (
-        metrics.select(F.struct("exact_match", "f1", "count").alias("metrics"), F.lit(1).alias("one"))
-        .join(F.broadcast(found.withColumn("one", F.lit(1))), "one")
-        .select(F.to_json(F.struct("metrics", "predictions")).alias("value"))
-    )
+
+def evaluation_event(metrics: DataFrame, run: str) -> DataFrame:
+    """The log record of an evaluation outside training: epoch -1 of the split ``dev``."""
+    return metrics.select(F.lit(run).alias("run"), F.lit("epoch").alias("event"), F.lit(-1).alias("epoch"), F.lit("dev").alias("split"), "exact_match", "f1", "count")

@@ -80,6 +80,7 @@ def test_cap_and_concatenation(spark):
     assert sorted(r["doc_id"] for r in take_documents(given, 3).collect()) == [0, 1, 2]
     assert take_documents(given, -1).count() == 8 and take_documents(given, 0).count() == 0
     assert take_documents(given, 50).count() == 8
+    assert take_documents(given.unionByName(given), 3).count() == 3
     assert concat_sources(given, None).count() == 8
     with pytest.raises(ValueError):
         concat_sources(None, None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import qa_eval, qa_features
 from corpusloom.operators.vocabulary import byte_vocabulary
 from corpusloom.plans import evaluate, finetuning_features
-from corpusloom.sources.evaluation import evaluation_document, read_evaluation
+from corpusloom.sources.evaluation import evaluation_event, evaluation_lines, read_evaluation
 from corpusloom.sources.squad import first_examples, read_qa_examples
 
 V = byte_vocabulary()
@@ -158,5 +158,7 @@ def test_evaluation_end_to_end(spark, squad, tmp_path):
     got = {r["qid"]: r["text"] for r in predicted.collect()}
     assert got["q0"] == "cat" and got["q3"] == "Dogs"
     assert tuple(stored.first()) == tuple(metrics.first()) == (50.0, 50.0, 4)
-    document = json.loads(evaluation_document(stored, predicted).first()["value"])
-    assert document["metrics"] == {"exact_match": 50.0, "f1": 50.0, "count": 4} and document["predictions"] == got
+    lines = [json.loads(r["value"]) for r in evaluation_lines(stored, predicted).collect()]
+    assert [x["metrics"] for x in lines if "metrics" in x] == [{"exact_match": 50.0, "f1": 50.0, "count": 4}]
+    assert {x["qid"]: x["text"] for x in lines if "qid" in x} == got
+    assert tuple(evaluation_event(stored, "r").first()) == ("r", "epoch", -1, "dev", 50.0, 50.0, 4)

@@ -12,7 +12,7 @@ def test_running_means_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK", 16)
     draw = random.Random(1)
     rows = [(0 if i % 3 else i % 5, i, draw.randrange(100) / 4) for i in range(900)]
-    events = spark.createDataFrame(rows, "epoch int, step bigint, batch_loss double").repartition(5)
+    events = spark.createDataFrame([("r", *r) for r in rows], "run string, epoch int, step bigint, batch_loss double").repartition(5)
     got = {(r["epoch"], r["step"]): (r["i"], r["running_loss"]) for r in G.running_means(events).collect()}
     seen = {}
     for epoch, step, loss in rows:
@@ -22,7 +22,7 @@ def test_running_means_over_many_blocks(spark, monkeypatch):
 
 
 def test_running_accuracy(spark):
-    events = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 2), (0, 2, 2, 2)], "epoch int, step bigint, c bigint, t bigint")
+    events = spark.createDataFrame([("r", 0, 0, 0, 0), ("r", 0, 1, 1, 2), ("r", 0, 2, 2, 2)], "run string, epoch int, step bigint, c bigint, t bigint")
     got = [r["acc"] for r in G.running_accuracy(events, "c", "t", "acc").orderBy("step").collect()]
     assert got == [0.0, 50.0, 75.0]
 
@@ -56,12 +56,23 @@ def test_accuracies(spark):
 
 
 def test_epoch_summary_weighs_batches_alike_and_elements_alike(spark):
-    rows = [(0, 1.0, 4.0, 2.0, 1, 2, 8, 8), (0, 3.0, 0.0, 2.0, 0, 0, 0, 2)]
-    names = "epoch int, loss double, mlm_loss double, nsp_loss double, mlm_correct int, mlm_total int, nsp_correct int, nsp_total int"
+    rows = [("r", 0, 1.0, 4.0, 2.0, 1, 2, 8, 8), ("r", 0, 3.0, 0.0, 2.0, 0, 0, 0, 2)]
+    names = "run string, epoch int, loss double, mlm_loss double, nsp_loss double, mlm_correct int, mlm_total int, nsp_correct int, nsp_total int"
     row = G.epoch_summary(spark.createDataFrame(rows, names)).first()
     assert (row["avg_loss"], row["avg_mlm_loss"], row["mlm_acc"], row["nsp_acc"]) == (2.0, 2.0, 50.0, 80.0)
 
 
+def test_runs_with_equal_steps_stay_apart(spark):
+    rows = [(run, 0, step, loss) for run, loss in (("a", 1.0), ("b", 100.0)) for step in range(4)]
+    events = spark.createDataFrame(rows, "run string, epoch int, step bigint, batch_loss double")
+    means = G.running_means(events)
+    got = {(r["run"], r["step"]): (r["i"], r["running_loss"], r["is_last"]) for r in means.collect()}
+    assert got == {(run, s): (s, loss, s == 3) for run, _, s, loss in rows}
+    assert sorted((r["run"], r["i"]) for r in G.logged_steps(means, 2).collect()) == [(x, i) for x in "ab" for i in (0, 2, 3)]
+    batches = events.selectExpr("run", "epoch", "batch_loss as loss", "batch_loss as mlm_loss", "batch_loss as nsp_loss", "1 as mlm_correct", "1 as mlm_total", "1 as nsp_correct", "1 as nsp_total")
+    assert {r["run"]: r["avg_loss"] for r in G.epoch_summary(batches).collect()} == {"a": 1.0, "b": 100.0}
+
+
 def test_improvements(spark):
     df = spark.createDataFrame([("r", e, v) for e, v in enumerate([3.0, 2.0, 2.0, 1.0])], "run string, epoch int, v double")
     low = G.improvements(df, "v")
@@ -73,7 +84,7 @@ def test_improvements(spark):
 
 def test_logged_steps(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK", 3)
-    events = spark.createDataFrame([(e, 10 * e + s, 1.0) for e in range(2) for s in range(8)], "epoch int, step bigint, batch_loss double")
+    events = spark.createDataFrame([("r", e, 10 * e + s, 1.0) for e in range(2) for s in range(8)], "run string, epoch int, step bigint, batch_loss double")
     logged = G.logged_steps(G.running_means(events), 3)
     assert sorted((r["epoch"], r["i"]) for r in logged.collect()) == [(e, i) for e in range(2) for i in (0, 3, 6, 7)]
 

@@ -145,10 +145,16 @@ def test_batches(spark):
 
 def test_step_plan(spark):
     kept = samples.epoch_batches(spark.range(103).withColumnRenamed("id", "idx"), 103, 10, shuffle=False, drop_last=False)
-    plan = samples.step_plan(kept, 10, accumulation=4, epochs=2).first()
+    plan = samples.step_plan(spark, 103, 10, accumulation=4, epochs=2, drop_last=False).first()
     assert tuple(plan) == (11, 3, 6, 40)
     flags = {r["batch_id"]: (r["n"], r["is_boundary"], r["step"]) for r in samples.step_boundaries(kept, samples.batch_count(103, 10, drop_last=False), 4).collect()}
     assert [b for b, f in flags.items() if f[1]] and sorted(b for b, f in flags.items() if f[1]) == [3, 7, 10]
     assert flags[10] == (3, True, 3)
-    empty = samples.step_plan(kept.filter("idx < 0"), 10, 4, 2).first()
-    assert tuple(empty) == (1, 1, 2, 40)
+    assert tuple(samples.step_plan(spark, 9, 10, 4, 2).first()) == (0, 0, 0, 40)
+    assert tuple(samples.step_plan(spark, 9, 10, 4, 2, at_least=1).first()) == (1, 1, 2, 40)
+
+
+def test_ordered_batches_of_keys_with_gaps(spark):
+    rows = spark.createDataFrame([(k,) for k in (40, 3, 7, 90, 12)], "feature bigint")
+    got = samples.epoch_batches(rows, 5, 2, shuffle=False, drop_last=False, key="feature", dense=False).collect()
+    assert sorted((r["feature"], r["batch_id"], r["in_batch"]) for r in got) == [(3, 0, 0), (7, 0, 1), (12, 1, 0), (40, 1, 1), (90, 2, 0)]
