@@ -55,21 +55,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    state = _state(edges)
     for _ in range(rounds):
-        before = edges
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        total = 2 * edges.count()
-        if total == 0:
+        if not state[0]:
             break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        total = 2 * state[0]
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
         large = lookup(both, least, ["u"], "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = lookup(large, least, ["u"], "n", large.count())
+        joined = lookup(large, least, ["u"], "n", total)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "edges")
-        changed = edges.join(before, ["u", "v"], "left_anti").limit(1).count() + (1 if edges.count() != before.count() else 0)
-        if not changed:
+        before, state = state, _state(edges)
+        if state == before:
             break
     else:
         raise RuntimeError(f"components are not stable after {rounds} rounds")
@@ -78,6 +78,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return leaves.unionByName(heads.join(leaves.select("node"), "node", "left_anti"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and two digests of them."""
+    key = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(key), F.sum(key % (1 << 32))).first())
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
     """About ``per_class`` labelled rows of each class (``id, label, text``), and how many rows each class has.
 

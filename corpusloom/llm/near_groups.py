@@ -175,23 +175,23 @@ def open_rows(*how) -> Callable:
 
 
 def bucket_links(numerator: int, denominator: int, *how) -> Callable:
-    """Task function over rows of buckets with their full sets: links between different components.
+    """Task function over rows of buckets with their full sets: pairs of components with a link between them.
 
-    A link joins its ends' components within the task, so a bucket of n rows gives fewer than n links. Every pair that stays
+    A link joins its ends' components within the task, so a bucket of n rows gives fewer than n pairs. Every pair that stays
     in different components has been compared in full.
     """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, bucket in _buckets(batches, *how):
             sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-            left, right = [], []
+            left, right, named = [], [], bucket.components.copy()
             for i, partners, agree in bucket.new_pairs():
                 for j in partners[np.argsort(-agree, kind="stable")].tolist():
                     here, there = bucket.components[i], bucket.components[j]
                     if here != there and _similar(sets[i], sets[j], numerator, denominator):
                         bucket.components[bucket.components == there] = here
-                        left.append(min(bucket.ids[i], bucket.ids[j]))
-                        right.append(max(bucket.ids[i], bucket.ids[j]))
+                        left.append(min(named[i], named[j]))
+                        right.append(max(named[i], named[j]))
             if left:
                 yield _pairs(left, right)
 
@@ -257,7 +257,7 @@ def near_classes(
     texts = plain.join(wanted.hint("merge"), "id", "left_semi")
     sets = written(texts.mapInArrow(shingle_sets(shingle_words, table), _SETS).dropDuplicates(["id"]), "sets")
     links = written(_checked(near, sets, similarity), "links")
-    first = components(links)
+    first = written(components(links), "components")
     named = one.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     tied = written(members.join(wanted, "id", "left_semi").join(named.select("id", "component"), "id"), "tied")
     several = tied.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
@@ -266,11 +266,13 @@ def near_classes(
     still = written(dealt.mapInArrow(open_rows(*how), dealt.schema), "open")
     full = still.join(sets.hint("merge"), "id").select(*dealt.columns, "shingles")
     more = full.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(bucket_links(*similarity, *how), _LINKS)
-    final = written(components(written(links.unionByName(more).distinct(), "all_links")), "components")
+    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     result = (
         classes.select("high", "low", "copies", "class_id")
-        .join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+        .join(first.withColumnRenamed("node", "class_id"), "class_id", "left")
         .withColumn("component", F.coalesce("component", "class_id"))
+        .join(second, "component", "left")
+        .select("high", "low", "copies", "class_id", F.coalesce("joined", "component").alias("component"))
     )
     return signed.select("id", "n_shingles", "high", "low"), written(result, "components_of_classes")
 
