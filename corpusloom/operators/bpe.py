@@ -23,8 +23,10 @@ _BASE = 0x10000
 # Size of the vocabulary and least count of a merge, unless the caller says otherwise.
 VOCAB_SIZE = 30_000
 MIN_FREQUENCY = 2
-# Pairs fetched at a recount.
+# Pairs fetched at a recount; the driver never holds more than twice as many. A matter of effort: no result depends on it.
 CANDIDATES = 2_000
+# Pairs among which the merges of a round are guessed.
+GUESSED = 300
 # Merges tried in the first round, and the most that are ever tried in one. Rounds grow while their guesses come true.
 PLANNED = 8
 MOST_PLANNED = 32
@@ -110,10 +112,11 @@ _PAIRS_OF = (
 )
 
 
-def _changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> list[dict[str, int]]:
-    """Pair counts that each of the merges changes when they are applied in turn.
+def _changes(words: DataFrame, merges: list[tuple[int, int, int]], known: _Candidates) -> list[dict[str, int]]:
+    """Counts of known pairs, and of new ones, that each of the merges changes when they are applied in turn.
 
-    Only words they touch are expanded; the result has at most a few entries per vocabulary id and merge.
+    Only words they touch are expanded. Changes of pairs that the driver doesn't know stay where they are, and so do new
+    pairs that are too rare to be known.
     """
     steps = [
         f"if(w{i + 1} <> w{i}, named_struct('step', {i}, 'old', w{i}, 'new', w{i + 1}), null)" for i in range(len(merges))
@@ -128,8 +131,11 @@ def _changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> list[dict[
         .groupBy("step", "pair")
         .agg(F.sum("n").alias("n"))
     )
+    made = "|".join(symbol(c) for _, _, c in merges)
+    least = max(known.floor, -known.last[0] if known.last else 0)
+    told = F.col("pair").isin(list(known.counts)) | (F.col("pair").rlike(made) & ((F.col("n") >= least) | (F.col("n") < 0)))
     changes: list[dict[str, int]] = [{} for _ in merges]
-    for r in moved.filter("n <> 0").collect():
+    for r in moved.filter("n <> 0").filter(told).collect():
         changes[r["step"]][r["pair"]] = r["n"]
     return changes
 
@@ -149,6 +155,8 @@ class _Candidates:
 
     counts: dict[str, int] = field(default_factory=dict)
     last: tuple[int, str] | None = None
+    floor: int = 1
+    most: int = 2 * CANDIDATES
 
     def known(self, key: tuple[int, str]) -> bool:
         return self.last is None or key <= self.last
@@ -162,12 +170,24 @@ class _Candidates:
         return top if top and self.known(top) else None
 
     def apply(self, changes: dict[str, int], made: str) -> None:
-        """Take over the changes of one merge; pairs of the symbol it made are counted completely by them."""
+        """Take over the changes of one merge; pairs of the symbol it made are counted completely by them.
+
+        A count only falls once its symbols are made, so what is too rare, or comes after ``last``, is forgotten for good. If
+        too many are left, ``last`` moves up.
+        """
         for pair, change in changes.items():
             if pair in self.counts:
                 self.counts[pair] += change
             elif made in pair:
                 self.counts[pair] = change
+            else:
+                continue
+            n = self.counts[pair]
+            if n < self.floor or not self.known((-n, pair)):
+                del self.counts[pair]
+        if len(self.counts) > self.most:
+            kept = self.ordered()[: self.most // 2]
+            self.counts, self.last = {p: -n for n, p in kept}, kept[-1]
 
 
 def _certain(candidates: _Candidates, min_frequency: int, most: int) -> list[str]:
@@ -220,7 +240,7 @@ def _plan(
 ) -> tuple[list[tuple[int, int, int]], int]:
     """Merges to try in one round, and how many of them are certain; the others are a guess that the round checks."""
     pairs = _certain(candidates, min_frequency, most)
-    expected = {p: float(n) for p, n in candidates.counts.items() if n > 0}
+    expected = {p: float(-n) for n, p in candidates.ordered()[:GUESSED]}
     merges: list[tuple[int, int, int]] = []
     names, fresh = list(tokens), dict(ids)
     sure = 0
@@ -270,7 +290,7 @@ def train(
         if known is None:
             top = top_pairs(pair_counts(words), candidates).collect()
             last = (-top[-1]["n"], top[-1]["pair"]) if len(top) == candidates else None
-            known = _Candidates({r["pair"]: r["n"] for r in top}, last)
+            known = _Candidates({r["pair"]: r["n"] for r in top}, last, floor, 2 * candidates)
             recounts += 1
         plan, sure = _plan(known, tokens, ids, min(planned, vocab_size - len(tokens)), floor)
         if not plan:
@@ -279,7 +299,7 @@ def train(
             known = None
             continue
         rounds += 1
-        changes = _changes(words, plan)
+        changes = _changes(words, plan, known)
         batch = []
         for step, (left, right, merged) in enumerate(plan):
             if step >= sure:
