@@ -36,8 +36,8 @@ def _letter_table() -> np.ndarray:
 def gram_counts(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, 32-bit hash and count of the character n-grams of up to 256 texts, sorted by text and hash.
 
-    Letters are lower-cased, everything else between two words is one boundary; an n-gram lies in a word, with the
-    boundary before it or behind it.
+    Letters are lower-cased, everything else between two words is one boundary; an n-gram lies in a word, with at
+    most one of the boundaries before and behind it.
     """
     codes = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -45,6 +45,7 @@ def gram_counts(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray,
     c = _letter_table()[codes]
     keep = c != 0
     keep[1:] |= c[:-1] != 0
+    keep[:1] = True
     c, text = c[keep], text[keep]
     word = c != 0
     found = []
