@@ -71,7 +71,7 @@ def indexed_pairs(spark: SparkSession, sf: str) -> Indexed:
 @_once_per_session
 def symbol_words(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct pieces of all documents as symbols, written once."""
-    return written(bpe.symbol_words(bpe.piece_frequencies(documents(spark, sf))), "words")
+    return written(bpe.symbol_words(bpe.piece_frequencies(all_documents(spark, sf))), "words")
 
 
 @_once_per_session
@@ -83,7 +83,7 @@ def first_pair(spark: SparkSession, sf: str) -> tuple[int, int]:
 
 @_once_per_session
 def trained(spark: SparkSession, sf: str) -> bpe.Training:
-    return bpe.train(bpe.piece_frequencies(documents(spark, sf)), VOCAB_SIZE)
+    return bpe.train(bpe.piece_frequencies(all_documents(spark, sf)), VOCAB_SIZE)
 
 
 def vocabulary(spark: SparkSession, sf: str) -> Vocabulary:

@@ -137,7 +137,7 @@ used AS (SELECT unnest({bytes_of(prefixed('text'))}) AS x FROM all_docs),
 counted AS (SELECT ('0x' || x)::INTEGER AS b, count(*) AS n FROM used GROUP BY x)
 SELECT id::INTEGER AS id, token, false AS is_special, n FROM counted JOIN byte_ids USING (b)"""
 WORDS = f"""{PIECES}, {BYTE_MAP},
-words AS (SELECT piece, count(*) AS freq FROM pieces WHERE source = 'wiki' GROUP BY piece),
+words AS (SELECT piece, count(*) AS freq FROM pieces GROUP BY piece),
 coded AS (SELECT piece, freq, list_transform({bytes_of('piece')},
                  lambda x: m[('0x' || x)::INTEGER + 1]) ::BIGINT[] AS ids FROM words, byte_map),
 neighbours AS (SELECT unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, freq FROM coded WHERE len(ids) > 1),
@@ -150,8 +150,9 @@ spelt AS (SELECT '<' || array_to_string(ids, '><') || '>' AS w, freq FROM coded)
 merged AS (SELECT replace(w, (SELECT pair FROM best), '<261>') AS w, freq FROM spelt)
 SELECT replace(w[2:-2], '><', ' ') AS ids, freq FROM merged"""
 _RESERVED = ", ".join(f"({i}, {_lit(t)})" for i, t in enumerate(SPECIAL_TOKENS))
-ORACLES["c9_reserved_ids"] = f"""SELECT id::INTEGER AS id, expected, expected AS found
-FROM (VALUES {_RESERVED}) t(id, expected) WHERE NOT EXISTS (SELECT 1 FROM documents)"""
+ORACLES["c9_reserved_ids"] = f"""WITH reserved(id, token) AS (VALUES {_RESERVED}),
+swapped AS (SELECT CASE token WHEN '<eos>' THEN 3 WHEN '<sos>' THEN 2 ELSE id END AS id, token AS found FROM reserved)
+SELECT id::INTEGER AS id, token AS expected, found FROM reserved JOIN swapped USING (id) WHERE token <> found"""
 ORACLES["c10_encode_bytes"] = f"""WITH {ALL_DOCS}, {BYTE_MAP}
 SELECT source, doc_id, array_to_string({ids_of('text')}, ' ') AS ids FROM all_docs, byte_map"""
 
@@ -190,8 +191,6 @@ tokens AS (SELECT id, token FROM byte_ids UNION ALL VALUES {_RESERVED}),
 spread AS (SELECT conv_id, turn, generate_subscripts(seq, 1) AS place, unnest(seq) AS id FROM seqs)
 SELECT conv_id, turn, string_agg(coalesce(token, '<' || spread.id || '>'), ' ' ORDER BY place) AS tokens
 FROM spread LEFT JOIN tokens ON tokens.id = spread.id GROUP BY conv_id, turn"""
-ORACLES["c15_vocabulary_size"] = f"""SELECT {D.VOCAB_SIZE}::BIGINT AS size, 5::BIGINT AS n_special
-WHERE EXISTS (SELECT 1 FROM documents)"""
 
 # Whole training by recursion: every step counts all pairs of all words and replaces the most frequent one. Pieces of other
 # texts are carried along uncounted, so that the last step also holds their encoding.
@@ -203,7 +202,7 @@ def trained_ctes(extra: str = _NO_PIECES) -> str:
     """Training on ``pieces``, with the pieces of the statement ``extra`` carried along."""
     return f"""{PIECE_CTES}, {BYTE_MAP},
 all_pieces AS (SELECT source, piece FROM pieces UNION ALL SELECT NULL, piece FROM ({extra})),
-words AS (SELECT piece, count(*) FILTER (source = 'wiki') AS freq FROM all_pieces GROUP BY piece),
+words AS (SELECT piece, count(source) AS freq FROM all_pieces GROUP BY piece),
 coded AS (SELECT piece, freq, list_transform({bytes_of('piece')},
                  lambda x: m[('0x' || x)::INTEGER + 1])::BIGINT[] AS ids FROM words, byte_map),
 train AS (SELECT 0 AS step, 0::BIGINT AS l, 0::BIGINT AS r, piece, ids, freq FROM coded
@@ -228,6 +227,17 @@ ORACLES["c8_trained_merges"] = f"""WITH {TRAINED}
 SELECT (step - 1)::INTEGER AS rank, l::INTEGER AS "left", r::INTEGER AS "right", (260 + step)::INTEGER AS merged FROM steps"""
 ORACLES["c8_trained_vocabulary"] = f"WITH {TRAINED} SELECT id::INTEGER AS id, token, id < 5 AS is_special FROM vocab"
 ORACLES["a8_vocabulary_store"] = ORACLES["c8_trained_vocabulary"]
+ORACLES["c15_vocabulary_size"] = f"WITH {TRAINED} SELECT count(*) AS size, count(*) FILTER (id < 5) AS n_special FROM vocab"
+ORACLES["c11_offsets"] = f"""WITH {TRAINED},
+flat AS (SELECT source, doc_id, pos, generate_subscripts(ids, 1) AS k, unnest(ids) AS id FROM encoded),
+sized AS (SELECT flat.*, length(token) AS n FROM flat JOIN vocab USING (id)),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY source, doc_id ORDER BY pos, k) AS past FROM sized),
+prep AS (SELECT source, doc_id, {prefixed('text')} AS p, {shift_of('text')} AS shift FROM all_docs),
+byte_spans AS (SELECT source, doc_id, {spans_of('p', 'shift')} AS spans FROM prep),
+joined AS (SELECT source, doc_id, string_agg(id::VARCHAR, ' ' ORDER BY pos, k) AS ids,
+    string_agg(split_part(spans[(past - n + 1)::BIGINT], ':', 1) || ':' || split_part(spans[past::BIGINT], ':', 2), ' ' ORDER BY pos, k) AS offsets
+  FROM placed JOIN byte_spans USING (source, doc_id) GROUP BY source, doc_id)
+SELECT source, doc_id, coalesce(ids, '') AS ids, coalesce(offsets, '') AS offsets FROM all_docs LEFT JOIN joined USING (source, doc_id)"""
 ORACLES["c10_encode"] = f"""WITH {TRAINED},
 joined AS (SELECT source, doc_id, string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos) AS ids FROM encoded GROUP BY ALL)
 SELECT source, doc_id, coalesce(ids, '') AS ids FROM all_docs LEFT JOIN joined USING (source, doc_id)"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest
-from ..functions.text import MASK, collapse, fold, normalize_answer, pieces_for_encoding
+from ..functions.text import EOS, MASK, SOS, collapse, fold, normalize_answer, pieces_for_encoding
 from ..operators import bpe, corpus, encoding, qa_eval, qa_features, run_metrics, samples
 from ..operators.vocabulary import Vocabulary, special_mismatches, token_usage
 from ..session import scratch_path
@@ -209,13 +209,13 @@ def c4_byte_symbol_usage(spark, sf):
 
 @query
 def c5_pair_counts(spark, sf):
-    words = bpe.symbol_words(bpe.piece_frequencies(D.documents(spark, sf)))
+    words = D.symbol_words(spark, sf)
     return bpe.pair_ids(bpe.pair_counts(words))
 
 
 @query
 def c6_next_merges(spark, sf):
-    words = bpe.symbol_words(bpe.piece_frequencies(D.documents(spark, sf)))
+    words = D.symbol_words(spark, sf)
     return bpe.pair_ids(bpe.top_pairs(bpe.pair_counts(words), 50))
 
 
@@ -239,7 +239,9 @@ def c8_trained_vocabulary(spark, sf):
 
 @query
 def c9_reserved_ids(spark, sf):
-    return special_mismatches(spark, D.vocabulary(spark, sf).vocab_table(spark))
+    vocab = D.vocabulary(spark, sf).vocab_table(spark)
+    swapped = F.when(F.col("id") == EOS, SOS).when(F.col("id") == SOS, EOS).otherwise(F.col("id")).alias("id")
+    return special_mismatches(spark, vocab.select(swapped, "token"))
 
 
 @query

@@ -28,10 +28,9 @@ def seed_tokens() -> list[str]:
 
 
 def validate_specials(tokens: list[str]) -> None:
-    for i, expected in enumerate(SPECIAL_TOKENS):
-        found = tokens[i] if i < len(tokens) else None
-        if found != expected:
-            raise ValueError(f"reserved id {i} must be {expected!r}, found {found!r}; train the vocabulary again")
+    leading = tuple(tokens[:N_SPECIAL])
+    if leading != SPECIAL_TOKENS:
+        raise ValueError(f"a vocabulary starts with {' '.join(SPECIAL_TOKENS)}, this one with {' '.join(leading) or 'nothing'}")
 
 
 @dataclass(frozen=True)
@@ -97,6 +96,51 @@ class Vocabulary:
         ranked = [(r["left"], r["right"], r["merged"]) for r in sorted(merges, key=lambda r: r["rank"])]
         return cls(tuple(tokens), tuple(ranked), lowercase)
 
+    def to_tokenizer_json(self) -> str:
+        """The vocabulary as the JSON artefact of the public tokenizer library: byte-level pieces, accents folded."""
+        added = [
+            {"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+            for i, t in enumerate(SPECIAL_TOKENS)
+        ]
+        folding = [{"type": "NFD"}, {"type": "StripAccents"}, *([{"type": "Lowercase"}] if self.lowercase else [])]
+        byte_level = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+        model = {
+            "type": "BPE",
+            "unk_token": "<unk>",
+            "fuse_unk": False,
+            "byte_fallback": False,
+            "vocab": {t: i for i, t in enumerate(self.tokens)},
+            "merges": [[self.tokens[a], self.tokens[b]] for a, b, _ in self.merges],
+        }
+        made = {"version": "1.0", "added_tokens": added, "normalizer": {"type": "Sequence", "normalizers": folding}}
+        return json.dumps({**made, "pre_tokenizer": byte_level, "decoder": byte_level, "model": model}, ensure_ascii=False)
+
+    @classmethod
+    def from_tokenizer_json(cls, text: str) -> Vocabulary:
+        """A vocabulary from such an artefact; its ids must be dense and start with the reserved tokens."""
+        told = json.loads(text)
+        model = told["model"]
+        if model.get("type") != "BPE":
+            raise ValueError(f"a model of type {model.get('type')} holds no merges")
+        ids = {**{x["content"]: x["id"] for x in told.get("added_tokens") or []}, **model["vocab"]}
+        if sorted(ids.values()) != list(range(len(ids))):
+            raise ValueError("the ids of the vocabulary are not dense")
+        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ranked = tuple((ids[a], ids[b], ids[a + b]) for a, b in merges)
+        steps = (told.get("normalizer") or {}).get("normalizers") or [told.get("normalizer") or {}]
+        lowercase = any(step.get("type") == "Lowercase" for step in steps)
+        return cls(tuple(sorted(ids, key=ids.get)), ranked, lowercase)
+
+    def save_tokenizer(self, spark: SparkSession, path: str) -> None:
+        """Replace ``path`` by a folder with the artefact as its one text file."""
+        artefact = spark.createDataFrame([(self.to_tokenizer_json(),)], "value string")
+        artefact.coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load_tokenizer(cls, spark: SparkSession, path: str) -> Vocabulary:
+        """Read such an artefact, a file or the folder that :meth:`save_tokenizer` made."""
+        return cls.from_tokenizer_json(spark.read.text(path, wholetext=True).first()["value"])
+
 
 def byte_vocabulary(lowercase: bool = True) -> Vocabulary:
     """The vocabulary before any merge: reserved tokens and byte symbols."""

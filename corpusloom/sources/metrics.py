@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_METRICS = (
-    "lr batch_loss batch_nsp_loss batch_mlm_loss running_loss running_mlm_acc running_nsp_acc"
-    " avg_loss avg_mlm_loss avg_nsp_loss mlm_acc nsp_acc exact_match f1"
-).split()
-METRIC_SCHEMA = (
-    "run string, event string, epoch int, step bigint, split string, "
-    + ", ".join(f"{m} double" for m in _METRICS)
-    + ", count bigint, _ts string"
-)
+# The fields of a record.
+METRIC_SCHEMA = """
+    run string, event string, epoch int, step bigint, split string, lr double,
+    batch_loss double, batch_nsp_loss double, batch_mlm_loss double,
+    running_loss double, running_mlm_acc double, running_nsp_acc double,
+    avg_loss double, avg_mlm_loss double, avg_nsp_loss double, mlm_acc double, nsp_acc double,
+    exact_match double, f1 double, count bigint, _ts string
+"""
 
 
 def append_metrics(events: DataFrame, path: str) -> None:

@@ -113,7 +113,7 @@ def test_null_and_empty_text(spark):
 def test_reserved_ids_are_checked(spark):
     tokens = seed_tokens()
     tokens[2], tokens[3] = tokens[3], tokens[2]
-    with pytest.raises(ValueError, match="reserved id 2"):
+    with pytest.raises(ValueError, match="starts with <pad>"):
         Vocabulary(tuple(tokens))
     table = spark.createDataFrame([(i, t, i < 5) for i, t in enumerate(tokens)], "id int, token string, is_special boolean")
     assert sorted(r["id"] for r in special_mismatches(spark, table).collect()) == [2, 3]
@@ -129,6 +129,22 @@ def test_save_and_load(spark, tmp_path):
     assert all(loaded.itos[i] == t for t, i in loaded.stoi.items()) and loaded.special_indices == {0, 1, 2, 3, 4}
 
 
+def test_tokenizer_artefact(spark, tmp_path):
+    made, vocabulary = library(["low lower lowest the Café's low"] * 5, 290)
+    made.save(str(tmp_path / "tokenizer.json"))
+    assert Vocabulary.load_tokenizer(spark, str(tmp_path / "tokenizer.json")) == vocabulary
+    for _ in range(2):
+        vocabulary.save_tokenizer(spark, str(tmp_path / "folder"))
+    assert Vocabulary.load_tokenizer(spark, str(tmp_path / "folder")) == vocabulary
+    again = type(made).from_str(vocabulary.to_tokenizer_json())
+    for text in [*ODD, "Lowest <mask> CAFÉ"]:
+        assert again.encode(text).ids == made.encode(text).ids
+    with pytest.raises(ValueError, match="not dense"):
+        Vocabulary.from_tokenizer_json('{"model": {"type": "BPE", "vocab": {"<pad>": 7}, "merges": []}}')
+    with pytest.raises(ValueError, match="no merges"):
+        Vocabulary.from_tokenizer_json('{"model": {"type": "Unigram"}}')
+
+
 @pytest.mark.parametrize("n,want", [(2, [3, 10]), (5, [3, 10, 11, 12, 2]), (7, [3, 10, 11, 12, 2, 0, 0])])
 def test_to_seq(spark, n, want):
     ids = F.array(F.lit(10), F.lit(11), F.lit(12))
