@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ FAN_IN = 8
 #: emitted as they are.
 WINDOW, OPEN_PIECES = 50_000, 200_000
 #: Words whose ids a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 1_000_000
 
 _PIECES = "piece int, start long, length long, ids binary"
 
@@ -35,8 +36,9 @@ _PIECES = "piece int, start long, length long, ids binary"
 class _Encoder:
     """Ids of texts by a tokenizer file. Words repeat, so each distinct one is encoded once and remembered.
 
-    Texts are cut at spaces and line ends only, where this kind of tokenizer (white space dropped, words by pattern) cuts
-    anyway; a file of another kind is used on whole texts.
+    Texts are cut at spaces and line ends only, where a tokenizer of this kind (white space dropped, words by pattern, word
+    ends marked) cuts anyway; a file of another kind is used on whole texts. Most words are letters with some signs behind:
+    these are two tokens' runs of their own for the tokenizer, and letters count in lower case, as it lowers them first.
     """
 
     def __init__(self, path: str | None):
@@ -46,18 +48,57 @@ class _Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as file:
-            model = json.load(file)
-        drops_space = any(
-            step.get("type") == "Split" and step.get("behavior") == "Removed" and step.get("invert")
-            for step in (model.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        )
-        self.by_word = drops_space and (model.get("model") or {}).get("end_of_word_suffix") == "</w>"
+            told = json.load(file)
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        drops_space = any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps)
+        suffix = (told.get("model") or {}).get("end_of_word_suffix")
+        self.by_word = drops_space and suffix == "</w>"
+        self.lowers = any(x.get("type") == "Lowercase" for x in (told.get("normalizer") or {}).get("normalizers", []))
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Runs of letters only or of signs only: encoded side by side, told apart by the word ends."""
+        for at in range(0, len(runs), 4096):
+            part = runs[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            past = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            if len(past) == len(part) and past[-1] == len(ids):
+                self.runs.update(zip(part, (data[4 * a : 4 * z] for a, z in zip([0, *past], past))))
+            else:
+                self.runs.update(zip(part, self._ids(part)))
+
+    def _learn(self, words: set[str]) -> None:
+        simple, other, needed = [], [], set()
+        for word in words:
+            found = _SIMPLE.fullmatch(word)
+            if not found:
+                other.append(word)
+                continue
+            letters, signs = found.groups()
+            if self.lowers and (letters.isascii() or max(letters) < "\u0300"):
+                letters = letters.lower()
+            simple.append((word, letters, signs))
+            needed.add(letters)
+            if signs:
+                needed.add(signs)
+        if len(self.runs) > _REMEMBERED:
+            self.runs.clear()
+        self._learn_runs(list(needed.difference(self.runs)))
+        runs = self.runs
+        for word, letters, signs in simple:
+            self.known[word] = runs[letters] + runs[signs] if signs else runs[letters]
+        self.known.update(zip(other, self._ids(other)))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
@@ -66,12 +107,15 @@ class _Encoder:
             self.known.clear()
         new = set().union(*cut).difference(self.known)
         if new:
-            words = list(new)
-            self.known.update(zip(words, self._ids(words)))
+            self.known[""] = b""
+            new.discard("")
+            self._learn(new)
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in cut]
 
 
+#: Letters, then signs that stand in no shorthand of the tokenizer and start none of its special tokens.
+_SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?*%$#&]*)")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _encoders: dict[str | None, _Encoder] = {}
 
@@ -199,6 +243,7 @@ def _pack(capacity: int, level: int, last: bool) -> Callable:
         group = None
         for table in groups:
             schema = table.schema
+            table = pa.Table.from_arrays(table.columns, names=table.column_names)  # all columns nullable, as new ones are
             part = table["part"][0].as_py() if level else task
             if group is not None and part != group:
                 yield from _out([packer.open], schema, last, group)
