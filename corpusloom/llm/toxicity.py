@@ -18,7 +18,7 @@ from .words import ALNUM, prefixes_of, shingles_of, words_of
 #: Labelled rows of each class that examples are drawn from (about; by a hash of the id), and terms that tell the classes apart.
 SAMPLE, TERMS = 4000, 4096
 #: Prefixes of words that count as terms, in bytes.
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 #: Log-likelihood ratio, ratio of its shares in both classes, and documents that a term needs to be kept.
 LEAST_RATIO, LEAST_ODDS, LEAST_DOCS = 20.0, 8, 4
 NEIGHBOURS, BLOCK = 15, 64
