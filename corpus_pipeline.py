@@ -44,9 +44,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
-    found = pii.find(docs)
-    text = pii.redact(F.col("text"), F.col("spans"))
-    columns = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))}
+    found = pii.find(docs).withColumn("_redacted", pii.redact(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") > 0, F.char_length("_redacted").cast("bigint")).otherwise(F.col("n_chars"))
+    columns = {"text": F.col("_redacted"), "n_chars": n_chars}
     return found.select(*[columns[c].alias(c) if c in columns else c for c in docs.columns])
 
 

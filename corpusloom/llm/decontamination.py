@@ -19,6 +19,7 @@ WINDOW, GRAM = 13, 5
 BLOCK_WORDS = 1 << 22
 #: Items longer than this are cut into segments that overlap by a window less a word, so each window is in one segment.
 SEGMENT_WORDS = 1 << 16
+_ADDED = ("n_words", "n_hit", "hit_spans", "items", "n_items", "contaminated")
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -206,9 +207,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
     strings), ``n_items``, ``contaminated`` (a twentieth of the words or more are hit). A word is hit if it lies in a window
     of 13 words that an item has too; an item of fewer words is one window. Every shared window is found: both sides keep
     the minimal hash of its runs of five words. Null and empty texts have no words; rows may repeat; items without words
-    match nothing, and a null item id counts as ``null``. The benchmark is sent to tasks in blocks of bounded size.
+    match nothing, and a null item id counts as ``null``; a column that is called like an added one gives way to it. The benchmark is sent to tasks in blocks of bounded size.
     """
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
+    carry = [c for c in carry if c not in _ADDED]
     kept = [c for c in carry if c != "text"]
     raw = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     parts = written(raw.mapInArrow(_segments, "item string, segment int, words binary").where("length(words) > 0"), "benchmark")

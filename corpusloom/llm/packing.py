@@ -154,9 +154,11 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
 
     Columns: ``carry`` (all but text by default), ``piece`` from 0, ``start`` (ids of the text before it), ``length``, ``ids``
     (little-endian unsigned 32-bit). Null and empty texts have one piece that holds the end only. ``tokenizer`` is the path
-    of a tokenizer file on every executor; by default the public word-level one that is installed.
+    of a tokenizer file on every executor; by default the public word-level one that is installed. A column that is called
+    like an added one gives way to it.
     """
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
+    carry = [c for c in carry if c not in ("piece", "start", "length", "ids")]
     kept = docs.select(*carry)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, {_PIECES}".lstrip(", ")
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)

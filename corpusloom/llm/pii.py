@@ -172,7 +172,8 @@ class Reliability:
 def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[Reliability, dict[str, float]]:
     """Expectation-maximisation over counts of vote patterns; also the probability of a true span for each pattern.
 
-    It begins from the belief that votes are right more often than not, which tells the two classes apart.
+    It begins from the belief that votes are right more often than not, which tells the two classes apart. What fails a strict
+    pattern's own test is false for sure: it shows how the other labelers vote on false spans.
     """
     n = len(VOTES)
     true = [{"+": 0.7, "0": 0.2, "-": 0.1} for _ in range(n)]
@@ -182,7 +183,7 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> tuple[Reliability,
         for votes in counts:
             a = math.log(prior) + sum(math.log(true[i][v]) for i, v in enumerate(votes))
             b = math.log(1 - prior) + sum(math.log(false[i][v]) for i, v in enumerate(votes))
-            belief[votes] = 1 / (1 + math.exp(max(-700.0, min(700.0, b - a))))
+            belief[votes] = 0.0 if votes[0] == "-" else 1 / (1 + math.exp(max(-700.0, min(700.0, b - a))))
         total = sum(counts.values())
         mass = sum(c * belief[v] for v, c in counts.items())
         prior = (mass + 1) / (total + 2)
@@ -228,7 +229,7 @@ class Labelers:
                 vote = F.substring(votes, i + 1, 1)
                 z = z + F.when(vote == "+", float(w[1 + 2 * i])).when(vote == "-", float(w[2 + 2 * i])).otherwise(0.0)
             out = F.when(kind == k, 1 / (1 + F.exp(-z))).otherwise(out)
-        return out
+        return F.when(F.substring(votes, 1, 1) == "-", 0.0).otherwise(out)
 
 
 def learn(proposed: DataFrame) -> Labelers:
@@ -249,10 +250,11 @@ def find(docs: DataFrame, carry: list[str] | None = None, least: float = 0.9) ->
     """Personal data in every whole text: ``carry`` (all columns by default) and ``spans``, sorted by place and kind.
 
     A span is ``struct<start, kind, past, base, probability>``: code points from 0, ``past`` exclusive, ``kind`` the number
-    in ``KINDS``. Every match of a strict pattern that passes its test stays (``base``); other proposals are added from a
-    probability of ``least`` on. Null and empty texts have none; rows may repeat; an empty table learns nothing.
+    in ``KINDS``. Every match of a strict pattern that passes its test stays (``base``), one that fails is none; proposals of
+    the looser forms are added from a probability of ``least`` on. Null and empty texts have none; rows may repeat; an empty table learns
+    nothing; a column that is called like an added one gives way to it.
     """
-    carry = list(docs.columns) if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "spans"]
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     proposed = written(docs.select(*kept, proposals(F.coalesce(F.col("text"), F.lit(""))).alias("proposed")), "proposed")
     labelers = learn(proposed)

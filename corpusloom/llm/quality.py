@@ -214,9 +214,9 @@ def score(docs: DataFrame, model: Attention | float, carry: list[str] | None = N
 
     ``score`` (0 to 1) is the probability of label 1 from all passages of the whole text; ``passage`` is the number of the
     one with the largest weight, ``attention`` that weight. A null or empty text, or one without words, is one passage of
-    zeros. Rows may repeat.
+    zeros. Rows may repeat; a column that is called like an added one gives way to it.
     """
-    carry = list(docs.columns) if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "passage", "attention")]
     kept = [c for c in carry if c != "text"]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], "text")
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if "text" in carry or f.name != "text")

@@ -262,9 +262,10 @@ def score(docs: DataFrame, examples: Examples, carry: list[str] | None = None) -
 
     ``score`` (0 to 1) is the share of positive votes among the 15 nearest examples, by cosine squared; ``evidence`` their
     ids and ``cosines`` their similarities, nearest first. Null and empty texts, and texts without a known term, have no
-    neighbours and get the share of positives among such examples. Rows may repeat.
+    neighbours and get the share of positives among such examples. Rows may repeat;
+    a column that is called like an added one gives way to it.
     """
-    carry = list(docs.columns) if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "evidence", "cosines")]
     kept = [c for c in carry if c != "text"]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], "text")
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if "text" in carry or f.name != "text")

@@ -32,6 +32,8 @@ END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records after which a task begins a new archive, and bytes of index or records read at once.
 ARCHIVE_RECORDS, READ_BYTES = 100_000, 1 << 22
+#: Bytes of records that one task reads, about.
+STRETCH_BYTES = 1 << 23
 _DATE = "2000-01-01T00:00:00Z"
 
 
@@ -262,11 +264,14 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
 
     Columns: ``record_id, record_type, target_uri, refers_to, payload_bytes, payload_digest`` (base32 SHA-1; both of the full
     payload, also for a revisit), ``payload`` (null for a revisit, or without ``keep_payload``). Stretches of an archive are
-    read by different tasks, so one large archive is no single task. A damaged record raises.
+    read by different tasks, so one large archive is no single task; the bytes of all records say how many. A damaged record
+    raises.
     """
-    places = archives.select("archive").mapInArrow(_places, "archive string, at long, length long")
-    stretch = F.floor(F.col("at") / (8 * READ_BYTES))
-    dealt = places.withColumn("stretch", stretch).repartition("archive", "stretch").sortWithinPartitions("archive", "at").select("archive", "at", "length")
+    places = written(archives.select("archive").mapInArrow(_places, "archive string, at long, length long"), "places")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = int(total // STRETCH_BYTES) + 1
+    stretch = F.floor(F.col("at") / STRETCH_BYTES)
+    dealt = places.withColumn("stretch", stretch).repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "at").select("archive", "at", "length")
     schema = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
     return dealt.mapInArrow(_reader(keep_payload), schema)
 

