@@ -45,10 +45,13 @@ def train_vocabulary(
 def training_batches(
     pairs: DataFrame, vocabulary: Vocabulary, seq_len: int, batch_size: int, seed: int = 0, epoch: int = 0
 ) -> DataFrame:
-    """Shuffled full batches of the training split for one epoch."""
+    """Shuffled full batches of the training split for one epoch.
+
+    Places in the epoch are drawn for the bare indices, so samples are made once, and shuffled once to meet their place.
+    """
     train = index_pairs(pairs.filter("split = 'train'"))
-    samples = pretraining_samples(train, vocabulary, seq_len, seed, epoch)
-    return epoch_batches(samples, train.total, batch_size, seed, epoch)
+    places = epoch_batches(train.rows.select("idx"), train.total, batch_size, seed, epoch)
+    return pretraining_samples(train, vocabulary, seq_len, seed, epoch).join(places, "idx")
 
 
 def test_batches(pairs: DataFrame, vocabulary: Vocabulary, seq_len: int, batch_size: int, seed: int = 0) -> DataFrame:
@@ -68,10 +71,13 @@ def finetuning_features(
     seq_len: int = qa_features.SEQ_LEN,
     max_query_len: int = qa_features.MAX_QUERY_LEN,
 ) -> tuple[DataFrame, Indexed]:
-    """Features of a question-answering file, and its examples."""
+    """Features of a question-answering file, and its examples; an error if none can be trained on."""
     examples = read_qa_examples(spark, path, articles_per_line)
     chosen = first_examples(examples.rows, max_examples)
-    return qa_features.qa_features(chosen, vocabulary, is_training, seq_len, max_query_len), examples
+    features = qa_features.qa_features(chosen, vocabulary, is_training, seq_len, max_query_len)
+    if is_training and features.isEmpty():
+        raise ValueError("no example has an answer that fits: there is nothing to train on")
+    return features, examples
 
 
 def evaluate(features: DataFrame, logits: DataFrame, examples: DataFrame, out: str) -> DataFrame:

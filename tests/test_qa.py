@@ -143,6 +143,22 @@ def test_the_last_feature_wins(spark):
     assert [tuple(r) for r in qa_eval.predictions(texts).collect()] == [("q", "new")]
 
 
+def test_the_best_of_several_answers_counts(spark, squad):
+    examples = read_qa_examples(spark, squad).rows
+    predicted = spark.createDataFrame([("q0", "cat sat"), ("q3", "dogs")], "qid string, text string")
+    em, f1, n = qa_eval.qa_metrics(predicted, examples).first()
+    assert (em, round(f1, 4), n) == (50.0, 83.3333, 2)
+
+
+def test_nothing_to_train_on(spark, tmp_path):
+    path = tmp_path / "none.json"
+    path.write_text(json.dumps({"data": [{"paragraphs": [{"context": "x", "qas": [qa("q", "y?")]}]}]}))
+    with pytest.raises(ValueError, match="nothing to train on"):
+        finetuning_features(spark, str(path), V, True)
+    features, _ = finetuning_features(spark, str(path), V, False)
+    assert features.count() == 1
+
+
 def test_evaluation_end_to_end(spark, squad, tmp_path):
     features, examples = finetuning_features(spark, squad, V, False, seq_len=64)
     at = {0: (5, 7), 3: (0, 4)}
