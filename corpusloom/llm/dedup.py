@@ -38,8 +38,8 @@ def near_documents(
 def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
     """Lines with at least ``min_words`` words: ``doc_id, paragraph`` (number of the line from 0), ``n_words, text``."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text"))
-    n_words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    return lines.withColumn("n_words", F.when(F.trim("text") == "", 0).otherwise(n_words)).where(F.col("n_words") >= min_words)
+    lines = lines.where(F.octet_length("text") >= 2 * min_words - 1)  # so many words need so many bytes at least
+    return lines.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).where(F.col("n_words") >= min_words)
 
 
 def repeated_passages(
