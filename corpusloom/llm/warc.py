@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, written
-from .common import lookup
+from .common import lookup, map_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the format: ZIP signatures and the profile of records whose payload is stored elsewhere.
@@ -189,7 +189,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
     revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     records = told.select(name("page_id").alias("record_id"), "url", "payload", F.when(revisit, name("least")).alias("refers_to"))
-    return written(records.mapInArrow(_writer(root), "archive string, records long"), "archives")
+    return written(map_batches(records, _writer(root), "archive string, records long"), "archives")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +267,13 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     read by different tasks, so one large archive is no single task; the bytes of all records say how many. A damaged record
     raises.
     """
-    places = written(archives.select("archive").mapInArrow(_places, "archive string, at long, length long"), "places")
+    places = written(map_batches(archives.select("archive"), _places, "archive string, at long, length long"), "places")
     total = places.agg(F.sum("length")).first()[0] or 0
     tasks = int(total // STRETCH_BYTES) + 1
     stretch = F.floor(F.col("at") / STRETCH_BYTES)
     dealt = places.withColumn("stretch", stretch).repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "at").select("archive", "at", "length")
     schema = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-    return dealt.mapInArrow(_reader(keep_payload), schema)
+    return map_batches(dealt, _reader(keep_payload), schema)
 
 
 def archive_round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:
