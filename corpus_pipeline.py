@@ -52,7 +52,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their place in a sequence of at most 4096 tokens."""
-    return packing.pack(packing.token_pieces(docs, carry=["doc_id"]))
+    return packing.pack_texts(docs, carry=["doc_id"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

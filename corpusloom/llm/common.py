@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,34 @@ from ..session import written
 HOT_SHARE = 1000
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, and the setting's default, which is taken as not set.
+BATCH_BYTES, _DEFAULT_BYTES, _BYTES_KEY = 4 << 20, 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of about 4 MB, where the session has no size of its own: texts vary in length, and a batch
+    is held several times on its way."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES_KEY).rstrip("b") == str(_DEFAULT_BYTES):
+        conf.set(_BYTES_KEY, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its task, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lookup(many: DataFrame, one: DataFrame, key: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """Joins ``many`` with ``one``, whose rows are unique by ``key`` and count in ``n`` the rows of ``many`` they meet.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import written
+from .common import map_batches
 from .words import ALNUM, mix, words_of
 
 #: Words of a window, and of the runs whose hashes are compared. Each window has ``WINDOW - GRAM + 1`` runs.
@@ -213,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
     carry = [c for c in carry if c not in _ADDED]
     kept = [c for c in carry if c != "text"]
     raw = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    parts = written(raw.mapInArrow(_segments, "item string, segment int, words binary").where("length(words) > 0"), "benchmark")
+    parts = written(map_batches(raw, _segments, "item string, segment int, words binary").where("length(words) > 0"), "benchmark")
     total = parts.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     blocks = max(1, -int(-total // block_words))
     rows = docs.select(
@@ -226,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
     for block in range(blocks):
         own = parts.where(F.pmod(F.xxhash64("item", "segment"), F.lit(blocks)) == block).select("item", "words").collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([r["item"] for r in own], [bytes(r["words"]) for r in own]))
-        rows = rows.mapInArrow(_finder(index, len(kept), to_arrow_schema(rows.schema)), rows.schema)
+        rows = map_batches(rows, _finder(index, len(kept), to_arrow_schema(rows.schema)), rows.schema)
         if block < blocks - 1:
             rows = written(rows, "searched")
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["past"] - s["first"]))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Most frequent n-grams of a profile and of a document that are compared, and their longest length.
 TOP, LONGEST = 300, 4
 #: Labelled documents per language from which profiles are learned (about; chosen by a hash of their id).
@@ -118,7 +120,7 @@ def fit_profiles(docs: DataFrame, top: int = TOP, longest: int = LONGEST, sample
         return Profiles([], [], top, longest)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, sample / n)])[F.col("lang")]
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30) < share)
-    counts = drawn.select("lang", "text").mapInArrow(_counter(longest), "lang string, gram long, n long")
+    counts = map_batches(drawn.select("lang", "text"), _counter(longest), "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = total.withColumn("rank", rank).where(F.col("rank") <= top).collect()
@@ -172,7 +174,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_judge(shared), "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _judge(shared), "doc_id long, lang_pred string, score double")
 
 
 def held_out(parts: int, part: int, id_col: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import components, lookup, runs, salted
+from .common import components, lookup, map_batches, runs, salted
 from .words import SPACED, mix, shingles_of, words_of
 
 _SIGNED = "id long, n_shingles long, high long, low long, signature binary"
@@ -237,7 +237,7 @@ def near_classes(
     """
     ratio = similarity[0] / similarity[1]
     plain = items.select("id", "text")
-    signed = written(plain.mapInArrow(signer(shingle_words, bands, rows, table), _SIGNED), "signed")
+    signed = written(map_batches(plain, signer(shingle_words, bands, rows, table), _SIGNED), "signed")
     classes = (
         signed.where("high is not null and id is not null")
         .groupBy("high", "low")
@@ -251,11 +251,11 @@ def near_classes(
     one = classes.select(F.col("class_id").alias("id"), "size", "signature").dropDuplicates(["id"])
     how = (bands, rows, ratio, _least_agreement(ratio, bands * rows))
     alone = one.withColumn("component", F.col("id"))
-    near = written(_dealt(members, alone).mapInArrow(nearest_pairs(*how), _LINKS).distinct(), "near")
+    near = written(map_batches(_dealt(members, alone), nearest_pairs(*how), _LINKS).distinct(), "near")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     # texts are shuffled here at every size, so that the plan is the same on a small table
     texts = plain.join(wanted.hint("merge"), "id", "left_semi")
-    sets = written(texts.mapInArrow(shingle_sets(shingle_words, table), _SETS).dropDuplicates(["id"]), "sets")
+    sets = written(map_batches(texts, shingle_sets(shingle_words, table), _SETS).dropDuplicates(["id"]), "sets")
     links = written(_checked(near, sets, similarity), "links")
     first = written(components(links), "components")
     named = one.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -263,9 +263,9 @@ def near_classes(
     several = tied.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_members = tied.join(several, "bucket", "left_semi").drop("component")
     dealt = _dealt(open_members, named)
-    still = written(dealt.mapInArrow(open_rows(*how), dealt.schema), "open")
+    still = written(map_batches(dealt, open_rows(*how), dealt.schema), "open")
     full = still.join(sets.hint("merge"), "id").select(*dealt.columns, "shingles")
-    more = full.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(bucket_links(*similarity, *how), _LINKS)
+    more = map_batches(full.repartition(*_KEYS).sortWithinPartitions(*_KEYS), bucket_links(*similarity, *how), _LINKS)
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     result = (
         classes.select("high", "low", "copies", "class_id")
@@ -318,4 +318,4 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")).join(copies_a, "a")
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")).join(copies_b, "b")
     both = pairs.join(one, ["a", "a_salt"]).join(two, ["b", "b_salt"])
-    return both.select("a", "b", "one", "two").mapInArrow(_confirm(*similarity), _LINKS)
+    return map_batches(both.select("a", "b", "one", "two"), _confirm(*similarity), _LINKS)

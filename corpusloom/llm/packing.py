@@ -17,20 +17,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from ..session import written
-from .common import runs
+from .common import map_batches, runs
 
 SEQUENCE = 4096
 #: A bin with no more room than this is emitted as nearly full.
 SLACK = 8
 #: Partitions whose underfull bins meet in one task of the next round.
 FAN_IN = 8
-#: Pieces that a task packs at a time, and pieces in underfull bins that it passes on at most: the fullest bins beyond are
-#: emitted as they are.
-WINDOW, OPEN_PIECES = 50_000, 200_000
+#: Pieces that a task packs at a time, and tokens in underfull bins that it passes on at most: the fullest bins beyond are
+#: emitted as they are. With four bytes a token this bounds what a task holds, whatever the pieces carry along.
+WINDOW, OPEN_TOKENS = 5_000, 1 << 23
 #: Words whose ids a worker remembers.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 800_000
 
 _PIECES = "piece int, start long, length long, ids binary"
+_PLACED = ("sequence_id", "offset", "closed", "part")
+_PLACES = ", sequence_id long, offset long, closed boolean, part long"
 
 
 class _Encoder:
@@ -99,6 +101,11 @@ class _Encoder:
             self.known[word] = runs[letters] + runs[signs] if signs else runs[letters]
         self.known.update(zip(other, self._ids(other)))
 
+    def forget(self) -> None:
+        """Frees the remembered words: workers outlive their tasks."""
+        self.known.clear()
+        self.runs.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
@@ -120,13 +127,20 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _encoders: dict[str | None, _Encoder] = {}
 
 
-def _tokenize(path: str | None, end_id: int, longest: int, carried: int, schema: pa.Schema) -> Callable:
+def _tokenize(path: str | None, end_id: int, longest: int, carried: int, schema: pa.Schema, remember: bool) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = _Encoder(path)
         encode = _encoders[path]
+        try:
+            yield from cut(encode, batches)
+        finally:
+            if not remember:
+                encode.forget()
+
+    def cut(encode: _Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
@@ -149,20 +163,42 @@ def _tokenize(path: str | None, end_id: int, longest: int, carried: int, schema:
     return tokenize
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, longest: int = SEQUENCE, carry: list[str] | None = None) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, longest: int = SEQUENCE, carry: list[str] | None = None, remember: bool = True
+) -> DataFrame:
     """Token ids of every text, with ``end_id`` behind, cut into pieces of at most ``longest``.
 
     Columns: ``carry`` (all but text by default), ``piece`` from 0, ``start`` (ids of the text before it), ``length``, ``ids``
     (little-endian unsigned 32-bit). Null and empty texts have one piece that holds the end only. ``tokenizer`` is the path
     of a tokenizer file on every executor; by default the public word-level one that is installed. A column that is called
-    like an added one gives way to it.
+    like an added one gives way to it. With ``remember`` a worker keeps the ids of words from task to task (up to 0.2 GB).
     """
+    carry, schema, arrow = _piece_schema(docs, carry, "")
+    return map_batches(docs.select(*carry, "text"), _tokenize(tokenizer, end_id, longest, len(carry), arrow, remember), schema)
+
+
+def _piece_schema(docs: DataFrame, carry: list[str] | None, more: str) -> tuple[list[str], str, pa.Schema]:
+    """Carried columns, and the columns of pieces (with ``more`` behind) for Spark and Arrow."""
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
-    carry = [c for c in carry if c not in ("piece", "start", "length", "ids")]
-    kept = docs.select(*carry)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, {_PIECES}".lstrip(", ")
-    arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
-    return docs.select(*carry, "text").mapInArrow(_tokenize(tokenizer, end_id, longest, len(carry), arrow), schema)
+    carry = [c for c in carry if c not in ("piece", "start", "length", "ids", *_PLACED)]
+    told = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
+    schema = ", ".join([*told, _PIECES]) + more
+    return carry, schema, to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+
+
+def pack_texts(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = SEQUENCE, carry: list[str] | None = None) -> DataFrame:
+    """:func:`token_pieces` and :func:`pack` of texts in one pass: each task packs the pieces it makes."""
+    carry, schema, arrow = _piece_schema(docs, carry, _PLACES)
+    tokenize = _tokenize(tokenizer, end_id, capacity, len(carry), pa.schema(list(arrow)[: -len(_PLACED)]), remember=False)
+    local = _pack(capacity, 0, False)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tokenize(batches):
+            zero = pa.array(np.zeros(batch.num_rows, np.int64))
+            closed = pa.array(np.zeros(batch.num_rows, bool))
+            yield pa.RecordBatch.from_arrays([*batch.columns, zero, zero, closed, zero], schema=arrow)
+
+    return _rounds(map_batches(docs.select(*carry, "text"), lambda batches: local(placed(batches)), schema), capacity)
 
 
 class _Bins:
@@ -226,10 +262,9 @@ class _Packer:
         rows = rows.set_column(rows.column_names.index("sequence_id"), "sequence_id", pa.array(ids[item]))
         rows = rows.set_column(rows.column_names.index("offset"), "offset", pa.array(rows["offset"].to_numpy() + place[item]))
         done = (self.capacity - full) <= SLACK
-        pieces = np.bincount(number[item], minlength=len(full))
         order = np.argsort(full, kind="stable")  # the emptiest stay open
         order = order[~done[order]]
-        done[order[np.cumsum(pieces[order]) > OPEN_PIECES]] = True
+        done[order[np.cumsum(full[order]) > OPEN_TOKENS]] = True
         closed = done[number[item]]
         self.open = rows.filter(pa.array(~closed))
         yield rows.filter(pa.array(closed))
@@ -241,7 +276,7 @@ def _pack(capacity: int, level: int, last: bool) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         packer, names, schema = _Packer(capacity, (level << 54) + (task << 30)), 0, None
-        groups = runs(batches, ["part"]) if level else (pa.Table.from_batches([b]) for b in batches)
+        groups = runs(batches, ["part"]) if level else _gathered(batches)
         group = None
         for table in groups:
             schema = table.schema
@@ -264,6 +299,18 @@ def _pack(capacity: int, level: int, last: bool) -> Callable:
     return pack
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to tables of a window at least, but for the last."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= WINDOW:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def _out(tables, schema: pa.Schema, closed: bool, part: int) -> Iterator[pa.RecordBatch]:
     for table in tables:
         if table is None or not table.num_rows:
@@ -282,15 +329,17 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     in a task, and so on up to one task: only underfull bins move, and their rows are bounded in every task. Rounds are
     written tables, so a lost executor costs its tasks of one round. Other columns are carried; an empty table stays empty.
     """
-    spark = pieces.sparkSession
-    extra = ("sequence_id", "offset", "closed", "part")
-    clash = [c for c in pieces.columns if c in extra]
-    kept = [c for c in pieces.columns if c not in clash]
+    kept = [c for c in pieces.columns if c not in _PLACED]
     zero = F.lit(0).cast("bigint")
     rows = pieces.select(*kept, zero.alias("sequence_id"), zero.alias("offset"), F.lit(False).alias("closed"), zero.alias("part"))
+    return _rounds(map_batches(rows, _pack(capacity, 0, False), rows.schema), capacity)
+
+
+def _rounds(local: DataFrame, capacity: int) -> DataFrame:
+    """The rounds after the partitions' own."""
+    spark, schema = local.sparkSession, local.schema
+    packed = written(local, "packed")
     level, done = 0, []
-    schema = rows.schema
-    packed = written(rows.mapInArrow(_pack(capacity, 0, False), schema), "packed")
     while True:
         done.append(packed.where("closed"))
         left = packed.where("not closed")
@@ -299,7 +348,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
             break
         level += 1
         dealt = left.repartition(min(parts + 1, spark.sparkContext.defaultParallelism * 4), "part").sortWithinPartitions("part", "sequence_id")
-        packed = written(dealt.mapInArrow(_pack(capacity, level, parts == 0), schema), "packed")
+        packed = written(map_batches(dealt, _pack(capacity, level, parts == 0), schema), "packed")
     out = done[0]
     for one in done[1:]:
         out = out.unionByName(one)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import labelled_sample
+from .common import labelled_sample, map_batches
 from .words import SPACED, data_of, words_of
 
 #: Words of a passage; labelled rows of each class that the model is fitted on (about; by a hash of the id), and passages of
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = S
     drawn, sizes = labelled_sample(docs, labels, sample, 5)
     if len(sizes) < 2:
         return float(next(iter(sizes))) if sizes else 0.5
-    rows = sorted(drawn.mapInArrow(_bags, "id long, label int, bag binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
+    rows = sorted(map_batches(drawn, _bags, "id long, label int, bag binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
     label = np.array([r["label"] for r in rows], float)
     if len(set(label.tolist())) < 2:
         return sizes[1] / (sizes[0] + sizes[1])
@@ -223,5 +223,5 @@ def score(docs: DataFrame, model: Attention | float, carry: list[str] | None = N
     schema = f"{fields}score double, passage long, attention double"
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_scorer(shared, len(kept), arrow), schema)
+    out = map_batches(rows, _scorer(shared, len(kept), arrow), schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"c{kept.index(c)}").alias(c) for c in carry], "score", "passage", "attention")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import decontamination, dedup, fingerprints, language, packing, pii, quality, toxicity, warc
 
 
@@ -17,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     thin = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(thin)
+    return packing.pack(written(thin, "pieces"))  # so that a task holds a tokenizer or a packer, not both
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import written
-from .common import labelled_sample
+from .common import labelled_sample, map_batches
 from .words import ALNUM, prefixes_of, shingles_of, words_of
 
 #: Labelled rows of each class that examples are drawn from (about; by a hash of the id), and terms that tell the classes apart.
@@ -24,7 +24,7 @@ LEAST_RATIO, LEAST_ODDS, LEAST_DOCS = 20.0, 8, 4
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the belief without neighbours in a vote.
 SMOOTH = 0.5
-_REMEMBERED = 100_000
+_REMEMBERED = 20_000
 
 
 @dataclass
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     spark = docs.sparkSession
     rows, sizes = labelled_sample(docs, labels, sample, 3)
     drawn = rows.where("text is not null")
-    told = drawn.mapInArrow(_describe, "id long, label int, least long, terms array<long>")
+    told = map_batches(drawn, _describe, "id long, label int, least long, terms array<long>")
     chosen = written(told.groupBy("label", F.coalesce("least", F.lit(0)).alias("least")).agg(F.min(F.struct("id", "terms")).alias("x")).select("label", "x.id", "x.terms"), "examples")
     n = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positive = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     best = best[ratio[best] >= LEAST_RATIO]
     words = np.sort(table["term"].to_numpy(np.int64)[best].view(np.uint64))
     shared = spark.sparkContext.broadcast(words)
-    counts = docs.select("text").mapInArrow(_document_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = map_batches(docs.select("text"), _document_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     total = next((r["n"] for r in counts if r["term"] == -1), 0)
     found = np.zeros(len(words))
     for r in counts:
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             found[r["term"]] = r["n"]
     idf = np.log((1 + total) / (1 + found)) + 0.1
     picked = drawn.join(chosen.select("id", "label"), ["id", "label"], "left_semi").select("id", "label", "text")
-    rows = picked.mapInArrow(_vectors(shared), "id long, label int, term long, count long").toPandas()
+    rows = map_batches(picked, _vectors(shared), "id long, label int, term long, count long").toPandas()
     ids = np.sort(rows["id"].unique())
     example = np.searchsorted(ids, rows["id"].to_numpy())
     labels = np.zeros(len(ids), np.int64)
@@ -272,5 +272,5 @@ def score(docs: DataFrame, examples: Examples, carry: list[str] | None = None) -
     schema = f"{fields}score double, evidence array<long>, cosines array<double>"
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
     shared = docs.sparkSession.sparkContext.broadcast(examples)
-    out = rows.mapInArrow(_scorer(shared, len(kept), arrow), schema)
+    out = map_batches(rows, _scorer(shared, len(kept), arrow), schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"c{kept.index(c)}").alias(c) for c in carry], "score", "evidence", "cosines")

@@ -70,6 +70,16 @@ def test_large_items_and_empty_table(spark):
     assert packing.pack(none, 1000).collect() == []
 
 
+def test_one_pass_gives_the_same_pieces(documents, prose):
+    docs = documents([(i, prose(i, 40 * i)) for i in range(60)] + [(None, None)])
+    once = packing.pack_texts(docs, capacity=500, carry=["doc_id"])
+    assert once.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    rows = once.collect()
+    check_sequences(rows, 500)
+    want = packing.token_pieces(docs, longest=500, carry=["doc_id"]).collect()
+    assert sorted(str(tuple(r)[:5]) for r in rows) == sorted(str(tuple(r)) for r in want)
+
+
 def test_sequences_of_parts(documents):
     placed = packing.pack(packing.token_pieces(documents([(1, "a b"), (2, "c")])))
     rows = packing.sequence_rows(placed, "doc_id", "length").collect()
