@@ -28,7 +28,7 @@ FAN_IN = 8
 #: emitted as they are. With four bytes a token this bounds what a task holds, whatever the pieces carry along.
 WINDOW, OPEN_TOKENS = 5_000, 1 << 23
 #: Words whose ids a worker remembers.
-_REMEMBERED = 800_000
+_REMEMBERED = 1_400_000
 
 _PIECES = "piece int, start long, length long, ids binary"
 _PLACED = ("sequence_id", "offset", "closed", "part")
@@ -142,8 +142,8 @@ def _tokenize(path: str | None, end_id: int, longest: int, carried: int, schema:
 
     def cut(encode: _Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 rows, pieces, starts, lengths, ids = [], [], [], [], []
                 for i, own in enumerate(encode(pc.fill_null(batch.column(carried), "").to_pylist())):
                     own += end
@@ -171,7 +171,7 @@ def token_pieces(
     Columns: ``carry`` (all but text by default), ``piece`` from 0, ``start`` (ids of the text before it), ``length``, ``ids``
     (little-endian unsigned 32-bit). Null and empty texts have one piece that holds the end only. ``tokenizer`` is the path
     of a tokenizer file on every executor; by default the public word-level one that is installed. A column that is called
-    like an added one gives way to it. With ``remember`` a worker keeps the ids of words from task to task (up to 0.2 GB).
+    like an added one gives way to it. With ``remember`` a worker keeps the ids of words from task to task (up to 0.4 GB).
     """
     carry, schema, arrow = _piece_schema(docs, carry, "")
     return map_batches(docs.select(*carry, "text"), _tokenize(tokenizer, end_id, longest, len(carry), arrow, remember), schema)
