@@ -1,4 +1,4 @@
-"""Near copies of whole documents, and of passages inside documents, by MinHash bands."""
+"""Near copies of whole documents, and of passages inside documents, by MinHash bands and by anchored runs of words."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import lookup
+from .anchors import CONTEXTS, anchors, contexts, lengthened
+from .common import lookup, map_batches
 from .near_groups import membership, near_classes
 
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
+_SPACE = r"\x20\x09-\x0D"
 
 
 def near_documents(
@@ -37,7 +39,7 @@ def near_documents(
 
 def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
     """Lines with at least ``min_words`` words: ``doc_id, paragraph`` (number of the line from 0), ``n_words, text``."""
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text"))
     lines = lines.where(F.octet_length("text") >= 2 * min_words - 1)  # so many words need so many bytes at least
     return lines.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).where(F.col("n_words") >= min_words)
 
@@ -45,15 +47,25 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated_passages(
     docs: DataFrame, min_words: int = 25, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """Paragraphs that repeat, within a document or across documents, with the place of the copy that stays.
+    """Text that repeats, within a document or across documents, with the place of the copy that stays.
 
     One row per paragraph of a group of near copies: ``doc_id, paragraph, n_words, copies, group_doc, group_paragraph,
-    removed``. Groups are the connected components of paragraphs whose sets of word runs have a Jaccard similarity of at
-    least ``similarity``; the copy in the smallest document, there the first, stays. Shorter paragraphs, null and empty
-    texts and rows without an id have no row. Rows that repeat an id count as one document where they are equal. Paragraphs
-    are told apart by a 64-bit hash of document and place.
+    removed``, with ``first_word`` null. Groups are the connected components of paragraphs whose sets of word runs have a
+    Jaccard similarity of at least ``similarity``; the copy in the smallest document, there the first, stays.
+
+    Then one row per repeated passage (``repeated_runs``) that is not all in removed paragraphs, with ``first_word``, its first
+    word's number in the document, from 0: these stand inside longer paragraphs or go over the ends of short ones. Null and
+    empty texts and rows without an id have no row. Rows that repeat an id count as one document where they are equal.
+    Paragraphs are told apart by a 64-bit hash of document and place.
     """
-    places = paragraphs(docs.where("doc_id is not null"), min_words).withColumn("id", F.xxhash64("doc_id", "paragraph"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    whole = written(repeated_paragraphs(docs, min_words, shingle_words, similarity), "paragraphs")
+    return whole.unionByName(repeated_runs(docs, whole, min_words))
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The rows of ``repeated_passages`` for whole paragraphs."""
+    places = paragraphs(docs, min_words).withColumn("id", F.xxhash64("doc_id", "paragraph"))
     signed, classes = near_classes(places.select("id", "text"), shingle_words, similarity, bands=20, rows=4)
     found = membership(signed, classes)
     groups = found.groupBy("component").agg(F.count("*").alias("copies")).where("copies > 1")
@@ -71,13 +83,73 @@ def repeated_passages(
         F.col("least.doc_id").alias("group_doc"),
         F.col("least.paragraph").alias("group_paragraph"),
         (place != F.col("least")).alias("removed"),
+        F.lit(None).cast("int").alias("first_word"),
+    )
+
+
+def repeated_runs(docs: DataFrame, whole: DataFrame, min_words: int) -> DataFrame:
+    """The rows of ``repeated_passages`` for equal runs of words, wherever lines end.
+
+    Every run of ``2 * min_words - 1`` words or more that occurs twice has equal anchored passages of ``min_words`` words in all its
+    copies. Each passage is compared with the copy that stays and lengthened by the equal words beside it. That copy is the
+    one in the smallest document, there the first, of those without words in removed paragraphs, if there are any.
+    ``paragraph`` is the line of the anchored passage's first word, ``n_words`` counts the lengthened one.
+    """
+    marks = written(anchors(docs, min_words), "anchors")
+    counts = written(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
+    found = lookup(marks, counts, ["hash"], "n", marks.count())
+    found = found.groupBy("hash", "doc_id", "at").agg(F.min(F.struct("paragraph", "last")).alias("l")).select("hash", "doc_id", "at", "l.*")
+    gone = whole.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    lines = F.sequence("paragraph", "last")
+    found = found.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    left = found.where(F.size(F.array_except(lines, "gone")) > 0).withColumn("touches", F.arrays_overlap(lines, "gone"))
+    left = written(left.drop("gone", "last"), "anchors_left")
+    place = F.struct("touches", "doc_id", "at", "paragraph")
+    groups = left.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
+    told = written(lookup(left, written(groups, "groups"), ["hash"], "n", left.count()), "told")
+    wanted = told.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "places")
+    beside = map_batches(texts, contexts(min_words), CONTEXTS).groupBy("hash", "doc_id", "at").agg(F.min(F.struct("before", "after")).alias("c"))
+    rows = told.join(written(beside.select("hash", "doc_id", "at", "c.*"), "contexts"), ["hash", "doc_id", "at"])
+    stays = rows.where((F.col("doc_id") == F.col("least.doc_id")) & (F.col("at") == F.col("least.at")))
+    stays = written(stays.select("hash", F.col("before").alias("b"), F.col("after").alias("a"), "n"), "stays")
+    rows = lookup(rows.withColumnRenamed("n", "copies"), stays, ["hash"], "n", told.count())
+    return lengthened(
+        rows.select(
+            "doc_id",
+            "paragraph",
+            F.lit(min_words).alias("n_words"),
+            "copies",
+            F.col("least.doc_id").alias("group_doc"),
+            F.col("least.paragraph").alias("group_paragraph"),
+            ((F.col("doc_id") != F.col("least.doc_id")) | (F.col("at") != F.col("least.at"))).alias("removed"),
+            F.col("at").alias("first_word"),
+            "before",
+            "after",
+            "b",
+            "a",
+        )
     )
 
 
 def without_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``docs`` with the removed paragraphs cut out of their texts; documents without any stay as they are."""
-    gone = repeated.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    """``docs`` with the removed paragraphs and passages cut out of their texts; documents without any stay as they are.
+
+    Of a removed passage the words and the space behind them go, line ends stay. Words that another passage's staying copy
+    covers stay too.
+    """
+    span = F.when(F.col("first_word").isNotNull(), F.struct("first_word", (F.col("first_word") + F.col("n_words")).alias("end")))
+    rows = repeated.where("removed or first_word is not null").groupBy("doc_id")
+    gone = rows.agg(
+        F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("_gone"),
+        F.collect_set(F.when(F.col("removed"), span)).alias("_cut"),
+        F.collect_set(F.when(~F.col("removed"), span)).alias("_stay"),
+    )
+    covers = lambda spans, i: F.exists(spans, lambda s: (s["first_word"] <= i) & (i < s["end"]))
+    words = F.regexp_extract_all("text", F.lit(f"[^{_SPACE}]+[{_SPACE}]*"), F.lit(0))
+    rest = F.transform(words, lambda w, i: F.when(covers("_cut", i) & ~covers("_stay", i), F.regexp_replace(w, "[^\n]", "")).otherwise(w))
+    text = F.concat(F.regexp_extract("text", f"^[{_SPACE}]*", 0), F.array_join(rest, ""))
+    lines = F.split(F.when(F.size("_cut") > 0, text).otherwise(F.col("text")), "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     joined = docs.join(gone, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

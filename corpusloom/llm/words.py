@@ -138,6 +138,14 @@ def shingles_of(hashes: np.ndarray, text: np.ndarray, k: int, n_texts: int) -> t
     return runs, owners
 
 
+def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of ``k`` words, also over the ends of texts; the time doesn't grow with ``k``."""
+    up, down = _power(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * down[: len(hashes) - k + 1])
+
+
 def prefixes_of(texts: pa.Array, table: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and of their longer-than-that prefixes (lengths in bytes), and the text of each."""
     data, offsets = data_of(texts)

@@ -101,3 +101,47 @@ def test_repeated_passages(documents, prose):
     texts = {r["doc_id"]: r["text"] for r in dedup.without_repeats(docs, found).collect()}
     assert texts[1] == rows[0][1] and texts[2] == prose(3, 70) and texts[4] == "" and texts[5] is None and texts[3] == rows[2][1]
     assert dedup.repeated_passages(documents([])).collect() == []
+
+
+def inside(docs, rows, passage, doc, found):
+    """Words of the passage in a document that rows of the result cover."""
+    text = dict(rows)[doc]
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [k for k, line in enumerate(text.split("\n")) for _ in line.split()]
+    part = passage.split()
+    first = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+    covered = set()
+    for r in found:
+        if r["doc_id"] == doc and r["first_word"] is not None:
+            covered |= set(range(r["first_word"], r["first_word"] + r["n_words"]))
+        elif r["doc_id"] == doc:
+            covered |= {i for i, line in enumerate(lines) if line == r["paragraph"]}
+    return len(covered & set(range(first, first + len(part))))
+
+
+def test_passage_inside_a_longer_line(documents, prose):
+    passages = [prose(100 + i, n) for i, n in enumerate([49, 50, 59, 80])]
+    rows = []
+    for i, passage in enumerate(passages):
+        rows.append((2 * i, f"{prose(200 + i, 40)} {passage} {prose(300 + i, 39)}"))
+        rows.append((2 * i + 1, f" {prose(400 + i, 10)}\n{prose(500 + i, 70)} {passage}  {prose(600 + i, 120)}\n{prose(700 + i, 5)}"))
+    docs = documents(rows)
+    found = dedup.repeated_passages(docs)
+    got = found.collect()
+    for i, passage in enumerate(passages):
+        n = len(passage.split())
+        assert inside(docs, rows, passage, 2 * i + 1, got) == n, n
+        assert inside(docs, rows, passage, 2 * i, got) >= 25
+        own = [r for r in got if r["doc_id"] == 2 * i + 1]
+        assert all((r["group_doc"], r["group_paragraph"], r["paragraph"], r["copies"], r["removed"]) == (2 * i, 0, 1, 2, True) for r in own)
+    texts = {r["doc_id"]: r["text"] for r in dedup.without_repeats(docs, found).collect()}
+    for i in range(len(passages)):
+        assert texts[2 * i] == rows[2 * i][1]
+        assert texts[2 * i + 1] == f" {prose(400 + i, 10)}\n{prose(500 + i, 70)} {prose(600 + i, 120)}\n{prose(700 + i, 5)}"
+
+
+def test_words_repeated_over_and_over_stay_once(documents):
+    docs = documents([(1, "ha " * 100 + "end"), (2, "a b c d e f g h " * 30)])
+    texts = {r["doc_id"]: r["text"].split() for r in dedup.without_repeats(docs, dedup.repeated_passages(docs)).collect()}
+    assert 25 <= len(texts[1]) < 60 and set(texts[1]) == {"ha", "end"}
+    assert 25 <= len(texts[2]) < 100 and set(texts[2]) == set("abcdefgh")
