@@ -12,7 +12,8 @@ from .common import map_batches
 from .words import SPACED, data_of, runs_of, words_of
 
 CONTEXTS = "hash long, doc_id long, at int, before binary, after binary"
-_MARKS = "hash long, doc_id long, at int, paragraph int, last int"
+_MARKS = "hash long, doc_id long, at int, paragraph int, last int, n_lines int"
+JOINED = "doc_id long, paragraph int, n_words int, lines array<int>, text string"
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -51,23 +52,27 @@ def _cut(n_words: int) -> Callable:
             ends = np.flatnonzero(data == 10)
             owner = text[at]
             before = np.searchsorted(ends, offsets[owner])
-            line = [np.searchsorted(ends, start[k]) - before for k in (at, at + n_words - 1)]
+            line = np.searchsorted(ends, start)
+            rank = np.cumsum(np.diff(line, prepend=line[:1]) > 0)
+            first, last = at, at + n_words - 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(runs[at].view(np.int64)),
                     batch.column(0).take(pa.array(owner)),
                     pa.array((at - np.searchsorted(text, owner)).astype(np.int32)),
-                    pa.array(line[0].astype(np.int32)),
-                    pa.array(line[1].astype(np.int32)),
+                    pa.array((line[first] - before).astype(np.int32)),
+                    pa.array((line[last] - before).astype(np.int32)),
+                    pa.array((rank[last] - rank[first] + 1).astype(np.int32)),
                 ],
-                names=["hash", "doc_id", "at", "paragraph", "last"],
+                names=["hash", "doc_id", "at", "paragraph", "last", "n_lines"],
             )
 
     return cut
 
 
 def anchors(docs: DataFrame, n_words: int) -> DataFrame:
-    """Anchored passages of ``docs`` (doc_id, text): ``hash, doc_id, at`` (number of the first word), ``paragraph, last`` (lines).
+    """Anchored passages of ``docs`` (doc_id, text): ``hash, doc_id, at`` (number of the first word), ``paragraph, last``
+    (first and last line), ``n_lines`` (lines with words).
 
     Of all passages of ``n_words`` words those with the least hash of ``n_words`` in a row. A run of ``2 * n_words - 1`` words has a
     window of its own, so equal runs have equal anchors, whatever stands around them; their passages leave no word between.
@@ -129,3 +134,69 @@ def lengthened(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column[c] for c in kept], names=kept)
 
     return map_batches(rows, move, rows.select(*kept).schema)
+
+
+def _blocks(counts: list[int], ends: list[bool], min_words: int) -> Iterator[list[int]]:
+    """Numbers of the lines with words of each joined paragraph, of lines with fewer than ``min_words`` words."""
+    done: list[list[int]] = []
+    lines: list[int] = []
+    words = 0
+    for i, n in enumerate([*counts, min_words]):
+        long = n >= min_words
+        if not long and n:
+            lines.append(i)
+            words += n
+        if words >= min_words and (long or not n or ends[i]):
+            done.append(lines)
+            lines, words = [], 0
+        if long:
+            if done:
+                done[-1].extend(lines)  # too few words are left for a paragraph of their own
+            yield from done
+            done, lines, words = [], [], 0
+
+
+def _join(min_words: int) -> Callable:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column(1)
+            hashes, text, start, _ = words_of(texts, SPACED)
+            data, offsets = data_of(texts)
+            newlines = np.flatnonzero(data == 10)
+            # lines of the batch: each document's first line, and one behind every line end
+            before = np.searchsorted(newlines, offsets[:-1])
+            base = before + np.arange(batch.num_rows)
+            line = np.searchsorted(newlines, start) + text
+            total = len(newlines) + batch.num_rows
+            counts = np.bincount(line, minlength=total)
+            marked = np.zeros(total, bool)
+            last = np.flatnonzero(np.diff(line, append=total))
+            marked[line[last]] = hashes[last] % np.uint64(4) == 0
+            found = []
+            for k in np.flatnonzero(np.bincount(text, minlength=batch.num_rows) >= min_words).tolist():
+                at, end = int(base[k]), int(base[k + 1]) if k + 1 < batch.num_rows else total
+                own = counts[at:end]
+                if own[own < min_words].sum() < min_words:
+                    continue
+                parts = None
+                for lines in _blocks(own.tolist(), marked[at:end].tolist(), min_words):
+                    parts = parts or texts[k].as_py().split("\n")
+                    found.append((batch.column(0)[k].as_py(), lines[0], int(own[lines].sum()), lines, "\n".join(parts[i] for i in lines)))
+            columns = list(zip(*found)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "paragraph", "n_words", "lines", "text"]
+            )
+
+    return join
+
+
+def joined_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Adjacent lines with fewer than ``min_words`` words as paragraphs: ``doc_id, paragraph`` (number of the first), ``n_words,
+    lines`` (numbers of those with words), ``text``.
+
+    A paragraph ends, once it has ``min_words`` words, at an empty line or behind a line whose last word's hash says so: copies
+    are joined alike soon behind their start. What is left before a longer line belongs to the paragraph before; a few short
+    lines between longer ones with fewer words in all are no paragraph.
+    """
+    return map_batches(docs.select("doc_id", "text"), _join(min_words), JOINED)

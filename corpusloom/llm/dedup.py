@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .anchors import CONTEXTS, anchors, contexts, lengthened
+from .anchors import CONTEXTS, anchors, contexts, joined_lines, lengthened
 from .common import lookup, map_batches
 from .near_groups import membership, near_classes
 
@@ -49,12 +49,13 @@ def repeated_passages(
 ) -> DataFrame:
     """Text that repeats, within a document or across documents, with the place of the copy that stays.
 
-    One row per paragraph of a group of near copies: ``doc_id, paragraph, n_words, copies, group_doc, group_paragraph,
-    removed``, with ``first_word`` null. Groups are the connected components of paragraphs whose sets of word runs have a
+    Paragraphs are lines of ``min_words`` words or more, and adjacent shorter lines joined (``joined_lines``). One row per
+    paragraph of a group of near copies: ``doc_id, paragraph`` (first line), ``n_words, copies, group_doc, group_paragraph,
+    removed, lines`` (those with words), with ``first_word`` null. Groups are the connected components of paragraphs whose sets of word runs have a
     Jaccard similarity of at least ``similarity``; the copy in the smallest document, there the first, stays.
 
     Then one row per repeated passage (``repeated_runs``) that is not all in removed paragraphs, with ``first_word``, its first
-    word's number in the document, from 0: these stand inside longer paragraphs or go over the ends of short ones. Null and
+    word's number in the document, from 0, and ``lines`` null: these stand inside longer paragraphs or go over the ends of short ones. Null and
     empty texts and rows without an id have no row. Rows that repeat an id count as one document where they are equal.
     Paragraphs are told apart by a 64-bit hash of document and place.
     """
@@ -65,12 +66,14 @@ def repeated_passages(
 
 def repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
     """The rows of ``repeated_passages`` for whole paragraphs."""
-    places = paragraphs(docs, min_words).withColumn("id", F.xxhash64("doc_id", "paragraph"))
+    single = paragraphs(docs, min_words).withColumn("lines", F.array("paragraph"))
+    joined = written(joined_lines(docs, min_words), "joined")
+    places = single.unionByName(joined).withColumn("id", F.xxhash64("doc_id", "paragraph"))
     signed, classes = near_classes(places.select("id", "text"), shingle_words, similarity, bands=20, rows=4)
     found = membership(signed, classes)
     groups = found.groupBy("component").agg(F.count("*").alias("copies")).where("copies > 1")
     repeated = written(found.select("id", "component").join(groups, "component"), "repeated")
-    thin = places.select("id", "doc_id", "paragraph", "n_words").dropDuplicates(["id"])
+    thin = places.select("id", "doc_id", "paragraph", "n_words", "lines").dropDuplicates(["id"])
     rows = written(repeated.dropDuplicates(["id"]).join(thin, "id"), "places")
     place = F.struct("doc_id", "paragraph")
     least = rows.groupBy("component").agg(F.min(place).alias("least"), F.count("*").alias("n"))
@@ -84,6 +87,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, sim
         F.col("least.paragraph").alias("group_paragraph"),
         (place != F.col("least")).alias("removed"),
         F.lit(None).cast("int").alias("first_word"),
+        "lines",
     )
 
 
@@ -98,12 +102,12 @@ def repeated_runs(docs: DataFrame, whole: DataFrame, min_words: int) -> DataFram
     marks = written(anchors(docs, min_words), "anchors")
     counts = written(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
     found = lookup(marks, counts, ["hash"], "n", marks.count())
-    found = found.groupBy("hash", "doc_id", "at").agg(F.min(F.struct("paragraph", "last")).alias("l")).select("hash", "doc_id", "at", "l.*")
-    gone = whole.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    found = found.groupBy("hash", "doc_id", "at").agg(F.min(F.struct("paragraph", "last", "n_lines")).alias("l")).select("hash", "doc_id", "at", "l.*")
+    gone = whole.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
     lines = F.sequence("paragraph", "last")
     found = found.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = found.where(F.size(F.array_except(lines, "gone")) > 0).withColumn("touches", F.arrays_overlap(lines, "gone"))
-    left = written(left.drop("gone", "last"), "anchors_left")
+    left = found.where(F.size(F.array_intersect(lines, "gone")) < F.col("n_lines")).withColumn("touches", F.arrays_overlap(lines, "gone"))
+    left = written(left.drop("gone", "last", "n_lines"), "anchors_left")
     place = F.struct("touches", "doc_id", "at", "paragraph")
     groups = left.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
     told = written(lookup(left, written(groups, "groups"), ["hash"], "n", left.count()), "told")
@@ -124,6 +128,7 @@ def repeated_runs(docs: DataFrame, whole: DataFrame, min_words: int) -> DataFram
             F.col("least.paragraph").alias("group_paragraph"),
             ((F.col("doc_id") != F.col("least.doc_id")) | (F.col("at") != F.col("least.at"))).alias("removed"),
             F.col("at").alias("first_word"),
+            F.lit(None).cast("array<int>").alias("lines"),
             "before",
             "after",
             "b",
@@ -141,7 +146,7 @@ def without_repeats(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     span = F.when(F.col("first_word").isNotNull(), F.struct("first_word", (F.col("first_word") + F.col("n_words")).alias("end")))
     rows = repeated.where("removed or first_word is not null").groupBy("doc_id")
     gone = rows.agg(
-        F.collect_set(F.when(F.col("first_word").isNull(), F.col("paragraph"))).alias("_gone"),
+        F.flatten(F.collect_set(F.when(F.col("first_word").isNull(), F.col("lines")))).alias("_gone"),
         F.collect_set(F.when(F.col("removed"), span)).alias("_cut"),
         F.collect_set(F.when(~F.col("removed"), span)).alias("_stay"),
     )

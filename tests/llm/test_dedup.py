@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from corpusloom.llm import dedup
+from corpusloom.llm.anchors import _blocks
 from corpusloom.llm.common import components
 
 
@@ -114,8 +115,8 @@ def inside(docs, rows, passage, doc, found):
     for r in found:
         if r["doc_id"] == doc and r["first_word"] is not None:
             covered |= set(range(r["first_word"], r["first_word"] + r["n_words"]))
-        elif r["doc_id"] == doc:
-            covered |= {i for i, line in enumerate(lines) if line == r["paragraph"]}
+        elif r["doc_id"] == doc and r["lines"]:
+            covered |= {i for i, line in enumerate(lines) if line in r["lines"]}
     return len(covered & set(range(first, first + len(part))))
 
 
@@ -145,3 +146,37 @@ def test_words_repeated_over_and_over_stay_once(documents):
     texts = {r["doc_id"]: r["text"].split() for r in dedup.without_repeats(docs, dedup.repeated_passages(docs)).collect()}
     assert 25 <= len(texts[1]) < 60 and set(texts[1]) == {"ha", "end"}
     assert 25 <= len(texts[2]) < 100 and set(texts[2]) == set("abcdefgh")
+
+
+def test_passage_in_short_lines(documents, prose):
+    wrap = lambda words, n, end="\n": end.join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    passage, edited = prose(1, 60).split(), prose(2, 240).split()
+    copy = [*edited]
+    copy[45], copy[130] = "changed", "changed"
+    rows = [(1, f"{prose(3, 30)}\n{wrap(passage, 12)}\n{prose(4, 40)}"), (2, f"{prose(5, 33)}\n\n{wrap(passage, 24)}\n{prose(6, 50)}")]
+    rows += [(3, f"{prose(7, 30)}\n{wrap(edited, 6)}"), (4, f"short line\n{wrap(copy, 6)}\n{prose(8, 40)}")]
+    docs = documents(rows)
+    found = dedup.repeated_passages(docs)
+    got = found.collect()
+    assert inside(docs, rows, prose(1, 60), 2, got) == 60
+    assert inside(docs, rows, " ".join(copy), 4, got) > 200
+    # an edited copy of joined lines is found as a whole
+    assert any(r["first_word"] is None and "changed" in " ".join(rows[3][1].split("\n")[i] for i in r["lines"]) for r in got if r["doc_id"] == 4)
+    texts = {r["doc_id"]: r["text"] for r in dedup.without_repeats(docs, found).collect()}
+    assert texts[1] == rows[0][1] and texts[3] == rows[2][1]
+    assert [line for line in texts[2].split("\n") if line] == [prose(5, 33), prose(6, 50)]
+
+
+@pytest.mark.parametrize(
+    ("counts", "ends", "want"),
+    [
+        ([30, 5, 5, 30], [True] * 4, []),
+        ([10, 10, 10, 3, 30, 9], [False] * 6, [[0, 1, 2, 3]]),
+        ([10, 0, 10, 10, 0, 0, 3, 30], [False] * 8, [[0, 2, 3, 6]]),
+        ([20, 20, 20, 20], [False, True, False, True], [[0, 1], [2, 3]]),
+        ([20, 20, 0, 20, 20], [False] * 5, [[0, 1], [3, 4]]),
+        ([], [], []),
+    ],
+)
+def test_short_lines_joined(counts, ends, want):
+    assert list(_blocks(counts, ends, 25)) == want
