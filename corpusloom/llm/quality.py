@@ -153,31 +153,35 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, text) to the features of at most so many passages of each text."""
-    for batch in _sliced(batches):
-        x, owner = passages_of(batch.column(2))
-        cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        bags = []
-        for i in range(batch.num_rows):
-            own = x[cuts[i] : cuts[i + 1]]
-            if len(own) > PASSAGES:
-                own = own[np.linspace(0, len(own) - 1, PASSAGES).astype(int)]
-            bags.append(own.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["id", "label", "bag"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Attention | float:
+def _bags(passages: int) -> Callable:
+    """Task function: (id, label, text) to the features of at most ``passages`` passages of each text, spread evenly."""
+
+    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            x, owner = passages_of(batch.column(2))
+            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            bags = []
+            for i in range(batch.num_rows):
+                own = x[cuts[i] : cuts[i + 1]]
+                if len(own) > passages:
+                    own = own[np.linspace(0, len(own) - 1, passages).astype(int)]
+                bags.append(own.astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["id", "label", "bag"])
+
+    return bags_of
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS, passages: int = PASSAGES) -> Attention | float:
     """Learns from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label`` 0 or 1).
 
     About ``sample`` rows of each class are drawn by a hash of the id, weighted back to the share of their class; the driver
-    receives at most 64 passages of each, of 19 numbers. Rows without label teach nothing, null texts count as empty.
+    receives at most ``passages`` passages of each, of 19 numbers. Rows without label teach nothing, null texts count as empty.
     Without both classes there is nothing to learn: the share of label 1 is returned, 0.5 for no rows.
     """
     drawn, sizes = labelled_sample(docs, labels, sample, 5)
     if len(sizes) < 2:
         return float(next(iter(sizes))) if sizes else 0.5
-    rows = sorted(map_batches(drawn, _bags, "id long, label int, bag binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
+    rows = sorted(map_batches(drawn, _bags(passages), "id long, label int, bag binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
     label = np.array([r["label"] for r in rows], float)
     if len(set(label.tolist())) < 2:
         return sizes[1] / (sizes[0] + sizes[1])

@@ -197,3 +197,14 @@ def test_quality_without_both_classes(spark, documents):
     assert quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, label int")) == 1.0
     assert [r["score"] for r in quality.score(docs, 1.0).collect()] == [1.0, 1.0]
     assert quality.score(documents([]), 1.0).collect() == []
+
+
+def test_quality_learns_from_as_many_passages_as_asked(spark, documents, prose, monkeypatch):
+    docs = documents([(1, prose(1, 64 * 100)), (2, prose(2, 640))])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    start, learnt = quality.Attention.start, []
+    monkeypatch.setattr(quality.Attention, "start", lambda x: learnt.append(len(x)) or start(x))
+    for passages in (64, 80, 1000):
+        quality.fit(docs, labels, steps=1, passages=passages)
+    quality.fit(docs, labels, steps=1)
+    assert learnt == [74, 90, 110, 74]
