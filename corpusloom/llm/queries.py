@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import decontamination, dedup, fingerprints, language, packing, pii, quality, toxicity, warc
+from . import decontamination, dedup, divergence, fingerprints, language, line_crf, packing, pii, quality, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,5 +85,54 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8, fit_weights="counts")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_crf.judge(docs, line_crf.fit(docs), carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+
+#: Every source has every kept term as a row, and all pairs of sources are joined term by term: no blocks, levels or products.
+_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tokens AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM tokens GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+members AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+levels AS MATERIALIZED (
+  SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n
+  FROM members m JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM levels GROUP BY lang, source),
+langs AS (SELECT lang, term, sum(n) AS n FROM levels GROUP BY lang, term),
+lang_totals AS (SELECT lang, sum(n) AS total FROM langs GROUP BY lang),
+p AS MATERIALIZED (
+  SELECT lang, source, term, l.n, 1 + (CAST(1000000000 AS HUGEINT) * (l.n + 5)) // (t.total + 5 * s.v) AS p
+  FROM levels l JOIN totals t USING (lang, source) JOIN sizes s USING (lang)),
+q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (l.n + 5)) // (t.total + 5 * s.v) AS q
+  FROM langs l JOIN lang_totals t USING (lang) JOIN sizes s USING (lang)),
+found AS (
+  SELECT m.lang, m.source, 'pair' AS part, o.source AS item,
+         coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                   WHERE x.lang = m.lang AND x.source = m.source AND y.source = o.source), 0) AS value
+  FROM members m JOIN members o ON o.lang = m.lang AND o.source <> m.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+ORACLES: dict[str, str] = {"op11_source_divergence_audit": _DIVERGENCE}
