@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 
 from ..functions.draws import threshold
+from ..functions.permutation import ROUNDS, SIDES
 from ..functions.text import PUNCTUATION, PY_SPACE, SPECIAL_TOKENS
 from ..operators.corpus import TEST_RATIO
 from . import derived as D
@@ -144,10 +145,10 @@ neighbours AS (SELECT unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, freq FROM cod
 pair_counts AS (SELECT l::INTEGER AS "left", r::INTEGER AS "right", sum(freq)::BIGINT AS n FROM neighbours GROUP BY l, r)"""
 ORACLES["c5_pair_counts"] = f"WITH {WORDS} SELECT * FROM pair_counts"
 ORACLES["c6_next_merges"] = f'WITH {WORDS} SELECT * FROM pair_counts ORDER BY n DESC, "left", "right" LIMIT 50'
-ORACLES["c7_merged_words"] = f"""WITH {WORDS},
-best AS (SELECT '<' || "left" || '><' || "right" || '>' AS pair FROM pair_counts ORDER BY n DESC, "left", "right" LIMIT 1),
+ORACLES["c7_merged_words"] = f"""WITH {WORDS.replace("coded AS (", "coded AS MATERIALIZED (")},
+best AS MATERIALIZED (SELECT '<' || "left" || '><' || "right" || '>' AS pair FROM pair_counts ORDER BY n DESC, "left", "right" LIMIT 1),
 spelt AS (SELECT '<' || array_to_string(ids, '><') || '>' AS w, freq FROM coded),
-merged AS (SELECT replace(w, (SELECT pair FROM best), '<261>') AS w, freq FROM spelt)
+merged AS (SELECT replace(w, pair, '<261>') AS w, freq FROM spelt CROSS JOIN best)
 SELECT replace(w[2:-2], '><', ' ') AS ids, freq FROM merged"""
 _RESERVED = ", ".join(f"({i}, {_lit(t)})" for i, t in enumerate(SPECIAL_TOKENS))
 ORACLES["c9_reserved_ids"] = f"""WITH reserved(id, token) AS (VALUES {_RESERVED}),
@@ -314,6 +315,46 @@ masked AS (SELECT p.split, p.idx, p.side, p.i, CASE WHEN NOT picked THEN id WHEN
 
 
 ORACLES["d1_dense_index"] = f"WITH {INDEXED} SELECT split, idx, source, doc_id, para, pos FROM indexed"
+
+def permuted_ctes(source: str, n: str, start: str, key: str, name: str, back: bool = False) -> str:
+    """CTE ``<name>_told``: for each number ``start`` of ``source`` its place ``x`` in the keyed permutation of the numbers below
+    ``n``, which is the same in all rows; with ``back`` the number at that place. Rounds are written out, for three passes."""
+    side = f"(SELECT unnest(range(s, s + {SIDES})) AS a, n FROM (SELECT ceil(sqrt({n}))::BIGINT AS s, {n} AS n FROM {source} LIMIT 1))"
+    ctes = [
+        f"{name}_grid AS (SELECT a, (n + a - 1) // a AS b, n FROM {side} ORDER BY a * ((n + a - 1) // a), a LIMIT 1)",
+        f"{name}_0 AS (SELECT {start} AS start, {start} AS x, g.a, g.b, g.n FROM {source} CROSS JOIN {name}_grid g)",
+    ]
+    sign = "-" if back else "+"
+    for walk in range(3):
+        ctes.append(f"{name}_{walk}_0 AS (SELECT start, x, x // b AS r, x % b AS c, a, b, n FROM {name}_{walk})")
+        for i in range(ROUNDS):
+            k = ROUNDS - 1 - i if back else i
+            told, changed, size = ("r", "c", "b") if k % 2 else ("c", "r", "a")
+            drawn = f"('0x' || substr(md5(concat_ws('|', {key}, {k}, {told})), 1, 15))::BIGINT"
+            new = f"(({changed} {sign} {drawn} % {size}) + {size}) % {size}"
+            cells = f"{new} AS r, c" if changed == "r" else f"r, {new} AS c"
+            ctes.append(f"{name}_{walk}_{i + 1} AS (SELECT start, x, {cells}, a, b, n FROM {name}_{walk}_{i})")
+        landed = "r * b + c" if walk == 0 else "CASE WHEN x < n THEN x ELSE r * b + c END"
+        ctes.append(f"{name}_{walk + 1} AS (SELECT start, {landed} AS x, a, b, n FROM {name}_{walk}_{ROUNDS})")
+    return ",\n".join([*ctes, f"{name}_told AS (SELECT start, x FROM {name}_3)"])
+
+
+def _followed(split: str) -> str:
+    """CTE ``<split>_followed``: of each pair the one behind it in the permutation of its split."""
+    own = f"{split}_rows AS (SELECT idx, count(*) OVER () AS n FROM indexed WHERE split = '{split}')"
+    key = f"'nsp', {SEED}, 0, '{split}'"
+    there = permuted_ctes(f"{split}_rows", "n", "idx", key, f"{split}_to")
+    behind = f"{split}_behind AS (SELECT start, (x + 1) % (SELECT count(*) FROM {split}_rows) AS place, (SELECT count(*) FROM {split}_rows) AS n FROM {split}_to_told)"
+    back = permuted_ctes(f"{split}_behind", "n", "place", key, f"{split}_from", back=True)
+    return f"""{own}, {there}, {behind}, {back},
+{split}_followed AS (SELECT '{split}' AS split, b.start AS idx, f.x AS other FROM {split}_behind b JOIN {split}_from_told f ON f.start = b.place)"""
+
+
+ORACLES["d2_distinct_negatives"] = f"""WITH {INDEXED}, {_followed('train')}, {_followed('test')},
+followed AS (SELECT * FROM train_followed UNION ALL SELECT * FROM test_followed),
+drawn AS (SELECT *, substr(md5(concat_ws('|', 'nsp', {SEED}, 0, split, idx)), 1, 8) < '{threshold(0.5)}' AS kept FROM indexed)
+SELECT d.split, d.idx, d.kept::INTEGER AS is_next, d.s1, CASE WHEN d.kept THEN d.s2 ELSE o.s2 END AS s2
+FROM drawn d JOIN followed f ON f.split = d.split AND f.idx = d.idx JOIN indexed o ON o.split = d.split AND o.idx = f.other"""
 ORACLES["d2_next_sentence"] = f"WITH {NSP} SELECT split, idx, is_next, s1, s2 FROM sampled"
 MASKED_FIRST = f"{IDS}, {masked_ctes('pair_ids', 1)}"
 ORACLES["d3_masked_tokens"] = f"""WITH {MASKED_FIRST}
@@ -379,7 +420,8 @@ ORACLES["d7_subword_samples"] = f"WITH {SUBWORD_SAMPLES} SELECT * FROM samples"
 
 TRAIN_BATCHES = f"""{INDEXED},
 train AS (SELECT idx, count(*) OVER () AS n FROM indexed WHERE split = 'train'),
-ranked AS (SELECT idx, n, row_number() OVER (ORDER BY md5(concat_ws('|', 'shuffle', {SEED}, 0, idx))) - 1 AS r FROM train),
+{permuted_ctes('train', 'n', 'idx', f"'shuffle', {SEED}, 0", 'p')},
+ranked AS (SELECT train.idx, n, x AS r FROM train JOIN p_told ON p_told.start = train.idx),
 batches AS (SELECT idx, r // {BATCH} AS batch_id, (r % {BATCH})::INTEGER AS in_batch FROM ranked WHERE r < n // {BATCH} * {BATCH})"""
 ORACLES["d8_shuffled_batches"] = f"WITH {TRAIN_BATCHES} SELECT * FROM batches"
 ORACLES["d8_ordered_batches"] = f"""WITH {INDEXED}

@@ -237,6 +237,12 @@ def c8_trained_vocabulary(spark, sf):
     return D.vocabulary(spark, sf).vocab_table(spark)
 
 
+@query
+def c8_full_training(spark, sf):
+    """Training at the operator's own size; tests compare it with the public library."""
+    return bpe.train(bpe.piece_frequencies(D.all_documents(spark, sf))).vocabulary.merges_table(spark)
+
+
 @query
 def c9_reserved_ids(spark, sf):
     vocab = D.vocabulary(spark, sf).vocab_table(spark)
@@ -343,6 +349,12 @@ def d2_next_sentence(spark, sf):
     return samples.sample_second_sentences(D.indexed_pairs(spark, sf), SEED).select("split", "idx", "is_next", "s1", "s2")
 
 
+@query
+def d2_distinct_negatives(spark, sf):
+    drawn = samples.sample_second_sentences(D.indexed_pairs(spark, sf), SEED, repeat=False)
+    return drawn.select("split", "idx", "is_next", "s1", "s2")
+
+
 def _first_sentence_codes(spark, sf) -> DataFrame:
     codes = samples.mask_codes(F.col("i1"), len(D.bytes_only()), "mask", SEED, 0, F.col("split"), F.col("idx"), 1)
     return _byte_ids(spark, sf).select("split", "idx", "i1", codes.alias("codes"))
@@ -424,7 +436,7 @@ def d8_qa_batches(spark, sf):
 def d8_qa_training_batches(spark, sf):
     made = qa_features.train_features(qa_features.judged_features(D.encoded_examples(spark, sf), True))
     features = made.select("example_index")
-    return samples.epoch_batches(features, features.count(), BATCH, SEED, key="example_index")
+    return samples.epoch_batches(features, features.count(), BATCH, SEED, key="example_index", dense=False)
 
 
 @query

@@ -177,3 +177,67 @@ def spans_function(merges: Merges, first_ids: list[int], special: dict[str, int]
         return pa.StructArray.from_arrays(lists, names=["ids", "offsets"])
 
     return spans_of
+
+
+#: Symbols of words in training are characters from here on: all of them take four bytes.
+FIRST_SYMBOL = 0x10000
+
+
+def symbols_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the symbols of all words, end to end, and the number of each word's symbols."""
+    raw = pc.cast(words, pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64, count=len(raw) + 1, offset=8 * raw.offset)
+    data = raw.buffers()[2]
+    content = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    quads = content.reshape(-1, 4).astype(np.int64)
+    ids = (quads[:, 0] & 7) << 18 | (quads[:, 1] & 63) << 12 | (quads[:, 2] & 63) << 6 | quads[:, 3] & 63
+    return ids - FIRST_SYMBOL, np.diff(offsets) // 4
+
+
+def words_from(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The words that :func:`symbols_of` takes apart."""
+    code = ids + FIRST_SYMBOL
+    quads = np.stack([0xF0 | code >> 18, 0x80 | code >> 12 & 63, 0x80 | code >> 6 & 63, 0x80 | code & 63], 1).astype(np.uint8)
+    offsets = np.concatenate(([0], np.cumsum(4 * sizes.astype(np.int64))))
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(quads.tobytes())])
+    return pc.cast(made, pa.large_string()).cast(pa.string())
+
+
+def segments_function(pairs: list[tuple[int, int]]):
+    """Batches of ``word, freq`` to ``segment, freq``: words are cut between symbols that are no pair of the list, and what
+    is left alone is dropped."""
+
+    def run(batches):
+        keys = np.sort(np.array([left << 32 | right for left, right in pairs], dtype=np.int64))
+        for batch in batches:
+            ids, sizes = symbols_of(batch.column(0))
+            if not len(ids):
+                continue
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            joined = (keys[at] == key) & (word[1:] == word[:-1])
+            starts = np.flatnonzero(np.append(True, ~joined))
+            length = np.diff(np.append(starts, len(ids)))
+            long = length > 1
+            inside = np.repeat(long, length)
+            freq = batch.column(1).to_numpy()[word[starts[long]]]
+            segments = words_from(ids[inside], length[long])
+            yield pa.RecordBatch.from_arrays([segments, pa.array(freq)], names=["segment", "freq"])
+
+    return run
+
+
+def merging_function(merges: Merges):
+    """Batches of ``word, freq`` with the merges applied."""
+
+    def run(batches):
+        rules = Rules(merges, [], {})
+        for batch in batches:
+            ids, sizes = symbols_of(batch.column(0))
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            word, ids, _, _ = merged_symbols(rules, ids.copy(), word, ids.copy(), ids.copy())
+            words = words_from(ids, np.bincount(word, minlength=len(sizes)))
+            yield pa.RecordBatch.from_arrays([words, batch.column(1)], names=["word", "freq"])
+
+    return run

@@ -1,37 +1,36 @@
 """Training a byte-level sub-word vocabulary on a distributed word table.
 
-Every symbol is one private character, so a word is a string of symbols, a merge is a text replacement of two characters by
-one, and everything stays inside the JVM. The word table has one row per distinct piece of the corpus. It never leaves the
-executors: the driver sees pair counts, at most a fixed number of the most frequent ones and the changes that one round of
-merges makes, which the vocabulary bounds.
+Every symbol is one private character, so a word is a string of symbols and a merge is a text replacement of two characters
+by one. The word table has one row per distinct piece of the corpus and never leaves the executors: the driver sees the most
+frequent pairs, and words cut down to what these pairs can merge and added up, both of bounded size.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
+from ..functions.merging import FIRST_SYMBOL, merging_function, segments_function
 from ..functions.text import byte_ids, pieces
 from ..session import written
 from .vocabulary import Vocabulary, seed_tokens
 
 # Symbols live in the supplementary planes: none of them is a surrogate, and all take four bytes.
-_BASE = 0x10000
+_BASE = FIRST_SYMBOL
 # Size of the vocabulary and least count of a merge, unless the caller says otherwise.
 VOCAB_SIZE = 30_000
 MIN_FREQUENCY = 2
-# Pairs fetched at a recount; the driver never holds more than twice as many. A matter of effort: no result depends on it.
-CANDIDATES = 2_000
-# Pairs among which the merges of a round are guessed.
-GUESSED = 300
-# Merges tried in the first round, and the most that are ever tried in one. Rounds grow while their guesses come true.
-PLANNED = 8
-MOST_PLANNED = 32
+# Active pairs of the first round, and the most of any round. A matter of effort, like the next value: no result depends on it.
+FIRST_ACTIVE, CANDIDATES = 32, 4_000
+# Symbols of the cut and added-up words of a round, which the driver holds.
+SEGMENT_SYMBOLS = 400_000
 # Rounds between two written states of the word table; the states in between are cached and can be derived again.
-ROUNDS_PER_TABLE = 16
+ROUNDS_PER_TABLE = 8
 
 _LATIN1 = "".join(chr(b) for b in range(256))
 
@@ -40,10 +39,6 @@ def symbol(i: int) -> str:
     return chr(_BASE + i)
 
 
-def _ids_of(pair: str) -> tuple[int, int]:
-    return ord(pair[0]) - _BASE, ord(pair[1]) - _BASE
-
-
 def word_ids(word: Column) -> Column:
     """Vocabulary ids of a word's symbols."""
     return F.transform(F.split(word, ""), lambda c: (F.ascii(c) - _BASE).cast("int"))
@@ -89,10 +84,6 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.orderBy(F.desc("n"), "pair").limit(k)
 
 
-def _affected(merges: list[tuple[int, int, int]]) -> str:
-    return " or ".join(f"contains(word, '{symbol(a) + symbol(b)}')" for a, b, _ in merges)
-
-
 def _states(merges: list[tuple[int, int, int]]) -> list[str]:
     """Columns ``w0, w1, ...``: the word before and after each of the merges, applied from left to right."""
     replaced = [
@@ -106,166 +97,101 @@ def merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFra
     return words.selectExpr("freq", *_states(merges)).selectExpr(f"w{len(merges)} as word", "freq")
 
 
-_PAIRS_OF = (
-    "element_at(transform(array(split({0}, '')), t -> zip_with(slice(t, 1, size(t) - 1), slice(t, 2, size(t) - 1),"
-    " (a, b) -> named_struct('pair', concat(a, b), 'sign', {1}))), 1)"
-)
-
-
-def _changes(words: DataFrame, merges: list[tuple[int, int, int]], known: _Candidates) -> list[dict[str, int]]:
-    """Counts of known pairs, and of new ones, that each of the merges changes when they are applied in turn.
-
-    Only words they touch are expanded. Changes of pairs that the driver doesn't know stay where they are, and so do new
-    pairs that are too rare to be known.
-    """
-    steps = [
-        f"if(w{i + 1} <> w{i}, named_struct('step', {i}, 'old', w{i}, 'new', w{i + 1}), null)" for i in range(len(merges))
-    ]
-    both = f"explode_outer(concat({_PAIRS_OF.format('s.old', -1)}, {_PAIRS_OF.format('s.new', 1)})) as c"
-    moved = (
-        words.filter(_affected(merges))
-        .selectExpr("freq", *_states(merges))
-        .selectExpr("freq", f"explode_outer(array_compact(array({', '.join(steps)}))) as s")
-        .selectExpr("freq", "s.step", both)
-        .selectExpr("step", "c.pair", "c.sign * freq as n")
-        .groupBy("step", "pair")
-        .agg(F.sum("n").alias("n"))
-    )
-    made = "|".join(symbol(c) for _, _, c in merges)
-    least = max(known.floor, -known.last[0] if known.last else 0)
-    told = F.col("pair").isin(list(known.counts)) | (F.col("pair").rlike(made) & ((F.col("n") >= least) | (F.col("n") < 0)))
-    changes: list[dict[str, int]] = [{} for _ in merges]
-    for r in moved.filter("n <> 0").filter(told).collect():
-        changes[r["step"]][r["pair"]] = r["n"]
-    return changes
-
-
 @dataclass
 class Training:
-    """A trained vocabulary and the number of Spark rounds it took."""
+    """A trained vocabulary, the number of rounds it took, and how often a round was tried with fewer pairs."""
 
     vocabulary: Vocabulary
     rounds: int
-    recounts: int
+    retries: int
 
 
 @dataclass
-class _Candidates:
-    """Exact counts of every pair up to ``last`` in merge order; pairs beyond it are unknown but can only move back."""
-
-    counts: dict[str, int] = field(default_factory=dict)
-    last: tuple[int, str] | None = None
-    floor: int = 1
-    most: int = 2 * CANDIDATES
-
-    def known(self, key: tuple[int, str]) -> bool:
-        return self.last is None or key <= self.last
-
-    def ordered(self) -> list[tuple[int, str]]:
-        return sorted((-n, p) for p, n in self.counts.items() if n > 0 and self.known((-n, p)))
-
-    def first(self) -> tuple[int, str] | None:
-        """The pair that is certainly next, as negative count and symbols."""
-        top = min(((-n, p) for p, n in self.counts.items() if n > 0), default=None)
-        return top if top and self.known(top) else None
-
-    def apply(self, changes: dict[str, int], made: str) -> None:
-        """Take over the changes of one merge; pairs of the symbol it made are counted completely by them.
-
-        A count only falls once its symbols are made, so what is too rare, or comes after ``last``, is forgotten for good. If
-        too many are left, ``last`` moves up.
-        """
-        for pair, change in changes.items():
-            if pair in self.counts:
-                self.counts[pair] += change
-            elif made in pair:
-                self.counts[pair] = change
-            else:
-                continue
-            n = self.counts[pair]
-            if n < self.floor or not self.known((-n, pair)):
-                del self.counts[pair]
-        if len(self.counts) > self.most:
-            kept = self.ordered()[: self.most // 2]
-            self.counts, self.last = {p: -n for n, p in kept}, kept[-1]
-
-
-def _certain(candidates: _Candidates, min_frequency: int, most: int) -> list[str]:
-    """Pairs that are certainly next, in order.
-
-    Walking down the order, pairs are taken while they share no symbol with one taken before. At the first that does, only
-    pairs counted strictly more often than it are sure: merging can bring new pairs up to its count, not above. A pair of
-    equal symbols ends the walk as well.
+class _Segments:
+    """What is left of all words when they are cut between symbols that are no active pair: with exact counts of these."""
+
+    words: list[list[int]]
+    freq: list[int]
+    counts: Counter = field(default_factory=Counter)
+    places: dict[tuple[int, int], set[int]] = field(default_factory=lambda: defaultdict(set))
+    queue: list[tuple[int, int, int]] = field(default_factory=list)
+
+    def __post_init__(self):
+        for k, word in enumerate(self.words):
+            for pair in zip(word, word[1:]):
+                self.counts[pair] += self.freq[k]
+                self.places[pair].add(k)
+        self.queue = [(-n, *pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.queue)
+
+    def best(self) -> tuple[int, int, int] | None:
+        """The next pair as negative count and ids."""
+        while self.queue:
+            negative, *pair = self.queue[0]
+            n = self.counts.get(tuple(pair), 0)
+            if n == -negative and n > 0:
+                return self.queue[0]
+            heapq.heappop(self.queue)
+        return None
+
+    def merge(self, left: int, right: int, made: int) -> None:
+        changed: Counter = Counter()
+        for k in self.places.pop((left, right)):
+            word, n = self.words[k], self.freq[k]
+            new: list[int] = []
+            at = 0
+            while at < len(word):
+                if at + 1 < len(word) and word[at] == left and word[at + 1] == right:
+                    new.append(made)
+                    at += 2
+                else:
+                    new.append(word[at])
+                    at += 1
+            for pair in zip(word, word[1:]):
+                changed[pair] -= n
+            for pair in zip(new, new[1:]):
+                changed[pair] += n
+                self.places[pair].add(k)
+            self.words[k] = new
+        for pair, n in changed.items():
+            if n:
+                self.counts[pair] += n
+                heapq.heappush(self.queue, (-self.counts[pair], *pair))
+        del self.counts[left, right]
+
+
+def segments(words: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """``segment, freq``: runs of two symbols or more whose neighbours are all among ``pairs``, added up over all words."""
+    return words.mapInArrow(segments_function(pairs), "segment string, freq bigint").groupBy("segment").agg(F.sum("freq").alias("freq"))
+
+
+def _next_merges(
+    found: _Segments, last: tuple[int, int, int] | None, tokens: list[str], ids: dict[str, int], vocab_size: int, floor: int
+) -> tuple[list[tuple[int, int, int]], bool]:
+    """Merges that are certain to come next, in order, taken over in ``tokens`` and ``ids``; and whether none is left.
+
+    ``last`` is the last active pair in merge order. A pair that stands at a cut comes after it, and merging only makes it
+    rarer or its ids larger, so as long as the best pair of the segments doesn't come after ``last`` it is the best of all.
+    A merge that spells a token which is there already adds to pairs beyond the cuts, so the round ends behind it.
     """
-    taken: list[tuple[str, int]] = []
-    used: set[str] = set()
-    bound = None
-    for negative, pair in candidates.ordered():
-        if -negative < min_frequency or len(taken) >= most:
-            break
-        if used.intersection(pair):
-            bound = -negative
-            break
-        taken.append((pair, -negative))
-        used.update(pair)
-        if pair[0] == pair[1]:
-            break
-    else:
-        bound = -candidates.last[0] if candidates.last else None
-    if bound is not None:
-        taken = taken[: max(1, sum(n > bound for _, n in taken))]
-    return [pair for pair, _ in taken]
-
-
-def _expect(counts: dict[str, float], pair: str, made: str) -> None:
-    """Update counts as if neighbours were independent: the share of ``xa`` that is followed by ``b`` becomes ``x(ab)``, the
-    share of ``by`` that follows ``a`` becomes ``(ab)y``."""
-    a, b = pair
-    n = counts.pop(pair, 0.0)
-    after_a = sum((v for p, v in counts.items() if p[0] == a), n) or 1.0
-    before_b = sum((v for p, v in counts.items() if p[1] == b), n) or 1.0
-    for p, v in list(counts.items()):
-        if p[1] == a:
-            moved, new = v * n / after_a, p[0] + made
-        elif p[0] == b:
-            moved, new = v * n / before_b, made + p[1]
-        else:
-            continue
-        counts[p] -= moved
-        counts[new] = counts.get(new, 0.0) + moved
-
-
-def _plan(
-    candidates: _Candidates, tokens: list[str], ids: dict[str, int], most: int, min_frequency: int
-) -> tuple[list[tuple[int, int, int]], int]:
-    """Merges to try in one round, and how many of them are certain; the others are a guess that the round checks."""
-    pairs = _certain(candidates, min_frequency, most)
-    expected = {p: float(-n) for n, p in candidates.ordered()[:GUESSED]}
     merges: list[tuple[int, int, int]] = []
-    names, fresh = list(tokens), dict(ids)
-    sure = 0
-    while len(merges) < most:
-        if len(merges) < len(pairs):
-            pair = pairs[len(merges)]
-            sure += 1
-        elif expected and merges:
-            pair = min(expected, key=lambda p: (-expected[p], p))
-            if expected[pair] < min_frequency:
-                break
-        else:
+    while len(tokens) < vocab_size:
+        best = found.best()
+        if best is None or -best[0] < floor:
+            return merges, last is None
+        if last is not None and best > last:
             break
-        left, right = _ids_of(pair)
-        token = names[left] + names[right]
-        reused = token in fresh
-        if not reused:
-            fresh[token] = len(names)
-            names.append(token)
-        merges.append((left, right, fresh[token]))
-        if reused:
-            # It adds to pairs that were already counted, so nothing after it can be told.
+        _, left, right = best
+        token = tokens[left] + tokens[right]
+        again = token in ids
+        if not again:
+            ids[token] = len(tokens)
+            tokens.append(token)
+        merges.append((left, right, ids[token]))
+        if again:
             break
-        _expect(expected, pair, symbol(fresh[token]))
-    return merges, sure
+        found.merge(left, right, ids[token])
+    return merges, False
 
 
 def train(
@@ -274,54 +200,50 @@ def train(
     min_frequency: int = MIN_FREQUENCY,
     lowercase: bool = True,
     candidates: int = CANDIDATES,
+    most_symbols: int = SEGMENT_SYMBOLS,
 ) -> Training:
-    """Merge the most frequent pair until the vocabulary is full or no pair is frequent enough."""
+    """Merge the most frequent pair until the vocabulary is full or no pair is frequent enough.
+
+    A round counts all pairs and makes the ``candidates`` most frequent ones active. Between symbols that are no active pair
+    nothing can be merged before all active pairs are, so words are cut there; what is left, added up over all words, is a
+    small table, on which the driver finds hundreds of merges in their exact order. Should the table have more than
+    ``most_symbols`` symbols, the round takes a quarter of the pairs. Then all words take over the merges of the round.
+    """
     tokens = seed_tokens()
     ids = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
     floor = max(1, min_frequency)
     words = written(symbol_words(frequencies), "words").filter(F.length("word") > 1).persist()
     kept = [words]
-    known: _Candidates | None = None
-    rounds = recounts = 0
-    planned = PLANNED
-    while len(tokens) < vocab_size:
-        recounted = known is None
-        if known is None:
-            top = top_pairs(pair_counts(words), candidates).collect()
-            last = (-top[-1]["n"], top[-1]["pair"]) if len(top) == candidates else None
-            known = _Candidates({r["pair"]: r["n"] for r in top}, last, floor, 2 * candidates)
-            recounts += 1
-        plan, sure = _plan(known, tokens, ids, min(planned, vocab_size - len(tokens)), floor)
-        if not plan:
-            if recounted or known.last is None or -known.last[0] < floor:
-                break
-            known = None
-            continue
+    rounds = retries = 0
+    active = min(FIRST_ACTIVE, candidates)
+    done = False
+    while not done and len(tokens) < vocab_size:
         rounds += 1
-        changes = _changes(words, plan, known)
-        batch = []
-        for step, (left, right, merged) in enumerate(plan):
-            if step >= sure:
-                following = known.first()
-                if following is None or -following[0] < floor or following[1] != symbol(left) + symbol(right):
-                    break
-            batch.append((left, right, merged))
-            if merged < len(tokens):
-                # A re-used token adds to pairs that were already counted, also to unknown ones.
-                known = None
+        frequent = pair_counts(words).filter(F.col("n") >= floor)
+        top = [(-r["n"], r["left"], r["right"]) for r in pair_ids(top_pairs(frequent, active)).collect()]
+        if not top:
+            break
+        whole = len(top) < active
+        while True:
+            cut = segments(words, [(left, right) for _, left, right in top]).persist()
+            size = cut.agg(F.sum(F.length("segment"))).first()[0] or 0
+            if size <= most_symbols or len(top) == 1:
                 break
-            ids[tokens[left] + tokens[right]] = merged
-            tokens.append(tokens[left] + tokens[right])
-            known.apply(changes[step], symbol(merged))
+            cut.unpersist()
+            retries += 1
+            top, whole = top[: max(1, len(top) // 4)], False
+        rows = cut.select(word_ids(F.col("segment")).alias("ids"), "freq").collect()
+        cut.unpersist()
+        found = _Segments([list(r["ids"]) for r in rows], [r["freq"] for r in rows])
+        batch, done = _next_merges(found, None if whole else top[-1], tokens, ids, vocab_size, floor)
         merges.extend(batch)
-        planned = min(2 * planned, MOST_PLANNED) if len(batch) == len(plan) else max(PLANNED, len(batch))
-        if len(tokens) >= vocab_size:
+        active = min(candidates, 2 * active if 2 * size < most_symbols else max(1, len(top)))
+        if done or len(tokens) >= vocab_size:
             break
-        words = merge_words(words, batch)
+        words = words.mapInArrow(merging_function(tuple(batch)), "word string, freq bigint").filter(F.length("word") > 1)
         if rounds % ROUNDS_PER_TABLE == 0:
-            words = written(words.filter(F.length("word") > 1), "words")
-            words.persist()
+            words = written(words, "words").persist()
             obsolete, kept = kept, [words]
         else:
             words.persist()
@@ -330,4 +252,4 @@ def train(
             old.unpersist()
     for old in kept:
         old.unpersist()
-    return Training(Vocabulary(tuple(tokens), tuple(merges), lowercase), rounds, recounts)
+    return Training(Vocabulary(tuple(tokens), tuple(merges), lowercase), rounds, retries)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from ..functions.draws import DIGITS, below, digest, high_integer, integer, low_below, position_draw, row_key
+from ..functions.permutation import Permutation
 from ..functions.text import EOS, MASK, N_SPECIAL, PAD, SOS
 from ..session import written
 from .encoding import encode
@@ -23,12 +24,14 @@ MASKED_OR_REPLACED = 0.9
 
 
 def sample_second_sentences(
-    pairs: Indexed, seed: int = 0, epoch: int = 0, group: str | None = "split", second: str = "s2"
+    pairs: Indexed, seed: int = 0, epoch: int = 0, group: str | None = "split", second: str = "s2", repeat: bool = True
 ) -> DataFrame:
     """Adds ``is_next``; half of the rows get the second sentence of another pair of their group instead of their own.
 
     The other pair is drawn uniformly, so the join key has no hot value. Rows that keep their sentence take no part in the
-    join. A lone pair keeps its own sentence but is marked as not next. ``second`` may hold text or ids.
+    join. A lone pair keeps its own sentence but is marked as not next. ``second`` may hold text or ids. Draws are
+    independent, so a sentence may be drawn several times; without ``repeat`` it is drawn once at most, by a permutation
+    in which every pair is followed by another one.
     """
     same = [group] if group else []
     scope = [F.col(group)] if group else []
@@ -37,13 +40,23 @@ def sample_second_sentences(
     kept = rows.filter(below(draw, KEEP_PAIR)).withColumn("is_next", F.lit(1))
     n = pairs.size_of_group(F.col(group) if group else None)
     step = integer(draw, F.greatest(n - 1, F.lit(1)), at=DIGITS + 1) + F.lit(1)
-    other = F.pmod(F.col("idx") + step, n)
+    other = F.pmod(F.col("idx") + step, n) if repeat else _followers(pairs, seed, epoch, group)
     left = rows.filter(~below(draw, KEEP_PAIR)).drop(second).withColumn("other", other)
     seconds = rows.select(*same, F.col("idx").alias("other"), second)
     replaced = left.join(seconds, [*same, "other"]).drop("other").withColumn("is_next", F.lit(0))
     return kept.unionByName(replaced)
 
 
+def _followers(pairs: Indexed, seed: int, epoch: int, group: str | None) -> Column:
+    """Of each row the one behind it in a keyed permutation of its group."""
+    other = F.lit(None).cast("bigint")
+    for name, n in pairs.counts.items():
+        if group is None:
+            return Permutation(pairs.total, ("nsp", seed, epoch)).next(F.col("idx"))
+        other = F.when(F.col(group) == name, Permutation(n, ("nsp", seed, epoch, name)).next(F.col("idx"))).otherwise(other)
+    return other
+
+
 def mask_codes(ids: Column, vocab_size: int, *key: Column | str | int, mask_prob: float = MASK_PROB) -> Column:
     """For each id 0 if it is not selected, else the id it is shown as: the mask, a random one or itself.
 
@@ -164,11 +177,14 @@ def samples_from_ids(
 def epoch_batches(
     rows: DataFrame, n: int, batch_size: int, seed: int = 0, epoch: int = 0, shuffle: bool = True, drop_last: bool = True, key: str = "idx", dense: bool = True
 ) -> DataFrame:
-    """Adds ``batch_id`` and the place ``in_batch``: shuffled by a keyed hash of ``key``, or in the order of ``key``.
+    """Adds ``batch_id`` and the place ``in_batch``: shuffled by a keyed permutation of ``key``, or in the order of ``key``.
 
-    ``key`` is unique. If it has gaps (``dense=False``), as that of features after some were dropped, rows are ranked first.
+    ``key`` numbers the rows from 0: a row finds its place on its own, without a shuffle or a look at other rows. If the key has
+    gaps (``dense=False``), as that of features after some were dropped, rows are ranked by a hash of it or by its order.
     """
-    if shuffle:
+    if shuffle and dense:
+        ranked = rows.withColumn("rank", Permutation(n, ("shuffle", seed, epoch)).of(F.col(key)))
+    elif shuffle:
         ranked = shuffled_rank(rows, n, "shuffle", seed, epoch, F.col(key))
     elif not dense:
         ranked = _ranked(rows, key)
