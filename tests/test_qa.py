@@ -7,7 +7,7 @@ from corpusloom.operators import qa_eval, qa_features
 from corpusloom.operators.vocabulary import byte_vocabulary
 from corpusloom.plans import evaluate, finetuning_features
 from corpusloom.sources.evaluation import evaluation_event, evaluation_lines, read_evaluation
-from corpusloom.sources.squad import first_examples, read_qa_examples
+from corpusloom.sources.squad import first_examples, read_qa_examples, split_objects
 
 V = byte_vocabulary()
 
@@ -43,6 +43,42 @@ def test_examples_are_flat_and_in_file_order(spark, squad, tmp_path):
     assert first_examples(lines.rows, 2).count() == 2 and first_examples(lines.rows, -1).count() == 4
 
 
+TRICKY = ['a } b', '{"x": [}]}', 'quote " and \\ and \\" {', "\\\\", "é漢\U0001f600}", "\n}\t{", "", "}" * 30, '"' * 7 + "{" * 5]
+
+
+def tricky_file(path, n, indent, seed):
+    import random
+
+    draw = random.Random(seed)
+    text = lambda: "".join(draw.choice(TRICKY) for _ in range(draw.randrange(4)))
+    data = []
+    for k in range(n):
+        asked = [[qa(f"{k}-{p}-{q}", text(), [(text(), q)] * draw.randrange(3)) for q in range(draw.randrange(4))] for p in range(draw.randrange(4))]
+        data.append({"title": text(), "paragraphs": [{"context": text(), "qas": q, "extra": {"a": {"b": {}}}} for q in asked]})
+    made = {"version": "1.1 }{", "data": data, "meta": {"about": "}"}}
+    path.write_text(json.dumps(made, indent=indent, ensure_ascii=seed % 2 == 0), encoding="utf-8")
+
+
+@pytest.mark.parametrize("size, indent", [(101, None), (400, 1), (10**6, 2)])
+def test_one_object_is_split_between_tasks(spark, tmp_path, size, indent):
+    for k in range(3):
+        tricky_file(tmp_path / f"{k}.json", (7, 1, 0)[k], indent, size + k)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        assert split_objects(spark, str(tmp_path)).count() >= 8
+        split = read_qa_examples(spark, str(tmp_path))
+        got = sorted(map(str, split.rows.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = read_qa_examples(spark, str(tmp_path), whole_files=True)
+    assert got == sorted(map(str, whole.rows.collect())) and split.counts == whole.counts and split.total > 5
+
+
+def test_states_that_are_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corpusloom.sources.squad.BROADCAST_BLOCKS", 0)
+    test_one_object_is_split_between_tasks(spark, tmp_path, 500, None)
+
+
 def judged(spark, squad, is_training, seq_len, max_query_len=64):
     encoded = qa_features.encode_examples(read_qa_examples(spark, squad).rows, V)
     return qa_features.judged_features(encoded, is_training, seq_len, max_query_len)
