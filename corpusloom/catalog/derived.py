@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest
-from ..operators import bpe
+from ..operators import bpe, sentence_model
 from ..operators.corpus import adjacent_pairs, route_split
 from ..operators.indexing import Indexed
 from ..operators.qa_features import encode_examples
@@ -64,6 +64,16 @@ def _once_per_session(build):
     return get
 
 
+@_once_per_session
+def word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return written(sentence_model.word_counts(sentence_model.word_pairs(paragraph_documents(spark, sf))), "word-counts")
+
+
+@_once_per_session
+def learnt_sentences(spark: SparkSession, sf: str) -> sentence_model.SentenceModel:
+    return sentence_model.learn_sentence_model(paragraph_documents(spark, sf))
+
+
 @_once_per_session
 def indexed_pairs(spark: SparkSession, sf: str) -> Indexed:
     return index_pairs(routed_pairs(spark, sf))
@@ -151,6 +161,24 @@ def qa_examples(spark: SparkSession, sf: str) -> Indexed:
     return read_qa_examples(spark, path, articles_per_line=True)
 
 
+@_once_per_session
+def qa_object(spark: SparkSession, sf: str) -> str:
+    """The same examples in the usual layout: one JSON object in one file."""
+    path = scratch_path(spark, "qa-object")
+    answers = F.when(
+        F.col("answer").isNotNull(),
+        F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").alias("answer_start"))),
+    )
+    qa = F.struct(F.col("qid").alias("id"), "question", answers.alias("answers"))
+    article = F.struct(F.lit("}{ \" ").alias("title"), F.array(F.struct("context", F.array(qa).alias("qas"))).alias("paragraphs"))
+    places = F.lit(1).alias("at"), "conv_id", "turn"
+    rows = qa_turns(spark, sf).select(*places, F.concat(F.lit(", "), F.to_json(article)).alias("value"))
+    frame = spark.createDataFrame([(0, '{"version": "1.1", "data": [{}'), (2, '], "about": {"n": 1}}')], "at int, value string")
+    whole = rows.unionByName(frame, allowMissingColumns=True).repartition(1).sortWithinPartitions("at", "conv_id", "turn")
+    whole.select("value").write.option("lineSep", " ").text(path)
+    return path
+
+
 def encoded_examples(spark: SparkSession, sf: str) -> DataFrame:
     return encode_examples(qa_examples(spark, sf).rows, bytes_only())
 

@@ -10,6 +10,7 @@ from ..functions.draws import threshold
 from ..functions.permutation import ROUNDS, SIDES
 from ..functions.text import PUNCTUATION, PY_SPACE, SPECIAL_TOKENS
 from ..operators.corpus import TEST_RATIO
+from ..operators.sentence_model import ABBREVIATION, CLOSING, COLLOCATION, LEAST, OPENING, STARTER, STOP_SHARE
 from . import derived as D
 from .queries import ACCUMULATION, BATCH, CAP, SEED
 
@@ -79,6 +80,63 @@ ORACLES["b1_paragraphs"] = f"""WITH {PARA_DOCS}, {sentence_ctes('para_docs')}
 SELECT source, doc_id, para::INTEGER AS para, trim(part, {_WS}) AS paragraph FROM parts WHERE trim(part, {_WS}) <> ''"""
 ORACLES["b2_sentences"] = f"""WITH {PARA_DOCS}, {sentence_ctes('para_docs')}
 SELECT source, doc_id, para::INTEGER AS para, pos::INTEGER AS pos, sent FROM found"""
+
+
+def _word(c: str) -> str:
+    """Type of a word: lower case, without what wraps it and without a full stop at its end."""
+    core = f"ltrim({c}, {_lit(OPENING)})"
+    return f"lower(CASE WHEN ends_with({core}, '.') THEN left({core}, length({core})::INTEGER - 1) ELSE rtrim({core}, {_lit(CLOSING)}) END)"
+
+
+def _ratio(k: str, a: str, b: str, n: str) -> str:
+    """Log-likelihood ratio of ``k`` meetings of what occurs ``a`` and ``b`` times among ``n``."""
+
+    def of(k: str, n: str, p: str) -> str:
+        return f"(CASE WHEN {k} > 0 THEN ({k}) * ln({p}) ELSE 0 END + CASE WHEN {n} > {k} THEN ({n} - ({k})) * ln(1 - {p}) ELSE 0 END)"
+
+    p, p1, p2 = f"(({b}) / ({n}))", f"(({k}) / ({a}))", f"(({b} - {k}) / ({n} - {a}))"
+    return f"-2 * ({of(k, a, p)} + {of(f'({b} - {k})', f'({n} - {a})', p)} - {of(k, a, p1)} - {of(f'({b} - {k})', f'({n} - {a})', p2)})"
+
+
+LEARNT = f"""{PARA_DOCS},
+lines AS (SELECT source, doc_id, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS para,
+                 unnest(string_split(text, chr(10) || chr(10))) AS part FROM para_docs),
+split_lines AS (SELECT source, doc_id, para, string_split({collapsed('part')}, ' ') AS w FROM lines),
+tokens AS (SELECT source, doc_id, para, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM split_lines),
+followed AS MATERIALIZED (SELECT *, lead(a) OVER (PARTITION BY source, doc_id, para ORDER BY i) AS b FROM tokens),
+met AS MATERIALIZED (SELECT {_word('a')} AS word, ends_with(ltrim(a, {_lit(OPENING)}), '.') AS stop, regexp_matches(a, '[.!?]$') AS ends, {_word('b')} AS following
+  FROM followed WHERE lower({_word('a')}) <> upper({_word('a')})),
+word_counts AS MATERIALIZED (SELECT word, count(*) AS n, count(*) FILTER (stop) AS stops FROM met GROUP BY word),
+sums AS (SELECT sum(n)::DOUBLE AS total, sum(stops)::DOUBLE AS total_stops FROM word_counts),
+lettered AS (SELECT *, length(replace(word, '.', '')) AS l, n - stops AS free FROM word_counts, sums WHERE stops >= {LEAST}),
+abbreviation_scores AS (SELECT word, n, stops, -2 * (stops * ln(total_stops / total) + free * ln(1 - total_stops / total)
+    - stops * ln({STOP_SHARE}::DOUBLE) - free * ln(1 - {STOP_SHARE}::DOUBLE)) * exp(-l) * (length(word) - l + 1) * pow(l::DOUBLE, -free) AS score
+  FROM lettered WHERE l > 0),
+abbreviations AS MATERIALIZED (SELECT * FROM abbreviation_scores WHERE score >= {ABBREVIATION}),
+starts AS (SELECT following AS word, count(*) AS starts FROM met
+  WHERE ends AND following IS NOT NULL AND NOT (stop AND word IN (SELECT word FROM abbreviations)) GROUP BY following),
+all_starts AS (SELECT sum(starts)::DOUBLE AS ends FROM starts),
+starter_scores AS (SELECT word, n, starts, {_ratio('starts', 'ends', 'n', 'total')} AS score FROM starts JOIN word_counts USING (word), sums, all_starts
+  WHERE starts * total > n * ends AND ends < total AND starts <= n),
+starters AS MATERIALIZED (SELECT * FROM starter_scores WHERE score >= {STARTER}),
+pairs_met AS (SELECT word, following, count(*) AS together FROM met
+  WHERE stop AND following IS NOT NULL AND word IN (SELECT word FROM abbreviations) GROUP BY ALL HAVING count(*) > 1),
+collocation_scores AS (SELECT p.word, p.following, together, {_ratio('together', 'c.stops', 'f.n', 'total')} AS score
+  FROM pairs_met p JOIN word_counts c ON c.word = p.word JOIN word_counts f ON f.word = p.following, sums
+  WHERE together * total > c.stops * f.n AND c.stops < total),
+collocations AS MATERIALIZED (SELECT * FROM collocation_scores WHERE score >= {COLLOCATION})"""
+ORACLES["b2_abbreviations"] = f"WITH {LEARNT} SELECT word, n, stops, round(score, 6) AS score FROM abbreviations"
+ORACLES["b2_sentence_starters"] = f"WITH {LEARNT} SELECT word, n, starts, round(score, 6) AS score FROM starters"
+ORACLES["b2_collocations"] = f"WITH {LEARNT} SELECT word, following, together, round(score, 6) AS score FROM collocations"
+ORACLES["b2_learnt_sentences"] = f"""WITH {LEARNT},
+judged AS (SELECT *, regexp_matches(a, '[.!?]$') AND b IS NOT NULL AND NOT (ends_with(a, '.')
+    AND EXISTS (FROM abbreviations x WHERE x.word = {_word('a')})
+    AND (NOT (EXISTS (FROM starters x WHERE x.word = {_word('b')}) AND lower(left(ltrim(b, {_lit(OPENING)}), 1)) <> left(ltrim(b, {_lit(OPENING)}), 1))
+      OR EXISTS (FROM collocations x WHERE x.word = {_word('a')} AND x.following = {_word('b')}))) AS last FROM followed),
+grouped AS (SELECT *, coalesce(sum(last::INTEGER) OVER (PARTITION BY source, doc_id, para ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+  FROM judged)
+SELECT source, doc_id, para::INTEGER AS para, g::INTEGER AS pos, string_agg(a, ' ' ORDER BY i) AS sent FROM grouped
+GROUP BY source, doc_id, para, g HAVING string_agg(a, ' ' ORDER BY i) <> ''"""
 ORACLES["b3_collapsed_text"] = f"WITH {ALL_DOCS} SELECT source, doc_id, {collapsed('text')} AS text FROM all_docs"
 ORACLES["b4_kept_sentences"] = f"""WITH {PARA_DOCS}, {sentence_ctes('para_docs')}
 SELECT source, doc_id, para::INTEGER AS para, pos::INTEGER AS pos, sent FROM kept"""
@@ -451,6 +509,7 @@ examples AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS ex_idx, co
     CASE WHEN answer IS NULL THEN NULL WHEN draw = '1' THEN length(context) - length(answer)
     ELSE length(w[1]) + length(w[2]) + 2 END::INTEGER AS answer_start FROM answered)"""
 ORACLES["a6_qa_examples"] = f"WITH {QA} SELECT ex_idx, qid, question, context, answer, answer_start FROM examples"
+ORACLES["a6_split_object"] = f"WITH {QA} SELECT ex_idx, qid, question, context, coalesce(answer, '') AS answers, answer_start FROM examples"
 ORACLES["e1_first_examples"] = f"WITH {QA} SELECT ex_idx, qid FROM examples ORDER BY ex_idx LIMIT {CAP}"
 FITTED = f"""{QA}, {BYTE_MAP},
 prep AS (SELECT *, {prefixed('context')} AS p, {shift_of('context')} AS shift FROM examples, byte_map),

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import digest
 from ..functions.text import EOS, MASK, SOS, collapse, fold, normalize_answer, pieces_for_encoding
-from ..operators import bpe, corpus, encoding, qa_eval, qa_features, run_metrics, samples
+from ..operators import bpe, corpus, encoding, qa_eval, qa_features, run_metrics, samples, sentence_model
 from ..operators.vocabulary import Vocabulary, special_mismatches, token_usage
 from ..session import scratch_path
 from ..sources import documents, evaluation, metrics, pair_corpus
-from ..sources.squad import first_examples
+from ..sources.squad import first_examples, read_qa_examples
 from .. import streaming
 from . import derived as D
 
@@ -80,6 +80,12 @@ def a6_qa_examples(spark, sf):
     )
 
 
+@query
+def a6_split_object(spark, sf):
+    rows = read_qa_examples(spark, D.qa_object(spark, sf)).rows
+    return rows.select("ex_idx", "qid", "question", "context", F.array_join("answers", "|").alias("answers"), "answer_start")
+
+
 @query
 def a7_pair_sink(spark, sf):
     return pair_corpus.write_pairs(D.routed_pairs(spark, sf), scratch_path(spark, "pairs"))
@@ -145,6 +151,35 @@ def b2_sentences(spark, sf):
     return corpus.sentences(D.paragraph_documents(spark, sf), filtered=False)
 
 
+def _scores(scores: DataFrame, least: float) -> DataFrame:
+    kept = scores.where(F.col("score") >= least)
+    return kept.withColumn("score", F.round("score", 6))
+
+
+@query
+def b2_abbreviations(spark, sf):
+    return _scores(sentence_model.abbreviation_scores(D.word_counts(spark, sf)), sentence_model.ABBREVIATION)
+
+
+@query
+def b2_sentence_starters(spark, sf):
+    pairs = sentence_model.word_pairs(D.paragraph_documents(spark, sf))
+    known = D.learnt_sentences(spark, sf).abbreviations
+    return _scores(sentence_model.starter_scores(pairs, D.word_counts(spark, sf), known), sentence_model.STARTER)
+
+
+@query
+def b2_collocations(spark, sf):
+    pairs = sentence_model.word_pairs(D.paragraph_documents(spark, sf))
+    known = D.learnt_sentences(spark, sf).abbreviations
+    return _scores(sentence_model.collocation_scores(pairs, D.word_counts(spark, sf), known), sentence_model.COLLOCATION)
+
+
+@query
+def b2_learnt_sentences(spark, sf):
+    return corpus.sentences(D.paragraph_documents(spark, sf), D.learnt_sentences(spark, sf), filtered=False)
+
+
 @query
 def b3_collapsed_text(spark, sf):
     return D.all_documents(spark, sf).withColumn("text", collapse(F.col("text")))

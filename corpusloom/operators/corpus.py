@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import below, digest
 from ..functions.text import collapse, strip
+from .sentence_model import SentenceModel
 
 # Shortest sentence that is kept, in characters and in words.
 MIN_SENTENCE_CHARS = 16
@@ -36,8 +37,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return stripped.filter(F.col("paragraph") != "")
 
 
-def sentence_array(paragraph: Column, pattern: str = SENTENCE_BREAK) -> Column:
-    """Sentences of a paragraph, white space collapsed; an empty paragraph is one empty sentence."""
+def sentence_array(paragraph: Column, pattern: str | SentenceModel = SENTENCE_BREAK) -> Column:
+    """Sentences of a paragraph, white space collapsed; an empty paragraph is one empty sentence. They end where a pattern
+    matches, or where a learnt model says."""
+    if isinstance(pattern, SentenceModel):
+        return pattern.sentence_array(paragraph)
     return F.split(collapse(paragraph), pattern)
 
 
@@ -47,14 +51,14 @@ def long_enough(sentence: Column) -> Column:
     return (F.length(sentence) >= MIN_SENTENCE_CHARS) & (spaces >= MIN_SENTENCE_WORDS - 1)
 
 
-def sentences(docs: DataFrame, pattern: str = SENTENCE_BREAK, filtered: bool = True) -> DataFrame:
+def sentences(docs: DataFrame, pattern: str | SentenceModel = SENTENCE_BREAK, filtered: bool = True) -> DataFrame:
     """One row per sentence; ``pos`` counts the rows of its paragraph."""
     found = F.filter(sentence_array(F.col("paragraph"), pattern), long_enough if filtered else lambda s: s != "")
     rows = _parts(docs).select("source", "doc_id", "para", F.posexplode_outer(found).alias("pos", "sent"))
     return rows.filter(F.col("sent").isNotNull())
 
 
-def adjacent_pairs(docs: DataFrame, pattern: str = SENTENCE_BREAK) -> DataFrame:
+def adjacent_pairs(docs: DataFrame, pattern: str | SentenceModel = SENTENCE_BREAK) -> DataFrame:
     """Neighbouring kept sentences of a paragraph. A dropped sentence does not separate its neighbours."""
     kept = _parts(docs).select(
         "source", "doc_id", "para", F.filter(sentence_array(F.col("paragraph"), pattern), long_enough).alias("kept")
