@@ -59,6 +59,8 @@ indexed AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY source, doc
 
 ORACLES["a1_document_scan"] = f"WITH {DOCS} SELECT * FROM docs"
 ORACLES["a2_source_cap"] = f"WITH {DOCS} SELECT * FROM docs ORDER BY doc_id LIMIT {CAP}"
+ORACLES["a2_large_source_cap"] = f"""WITH {ALL_DOCS}, placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM all_docs)
+SELECT source, doc_id, text FROM placed WHERE r <= n // 2"""
 ORACLES["a3_source_union"] = f"WITH {ALL_DOCS} SELECT * FROM all_docs"
 
 LINES = f"""{ALL_DOCS},
@@ -414,11 +416,11 @@ drawn AS (SELECT *, substr(md5(concat_ws('|', 'nsp', {SEED}, 0, split, idx)), 1,
 SELECT d.split, d.idx, d.kept::INTEGER AS is_next, d.s1, CASE WHEN d.kept THEN d.s2 ELSE o.s2 END AS s2
 FROM drawn d JOIN followed f ON f.split = d.split AND f.idx = d.idx JOIN indexed o ON o.split = d.split AND o.idx = f.other"""
 ORACLES["d2_next_sentence"] = f"WITH {NSP} SELECT split, idx, is_next, s1, s2 FROM sampled"
-MASKED_FIRST = f"{IDS}, {masked_ctes('pair_ids', 1)}"
-ORACLES["d3_masked_tokens"] = f"""WITH {MASKED_FIRST}
-SELECT split, idx, string_agg(input::VARCHAR, ' ' ORDER BY i) AS input, string_agg(label::VARCHAR, ' ' ORDER BY i) AS label
-FROM masked GROUP BY split, idx"""
-ORACLES["d4_replacements"] = f"""WITH {MASKED_FIRST}
+MASKED_BOTH = f"{IDS}, {masked_ctes('pair_ids', 2)}"
+ORACLES["d3_masked_tokens"] = f"""WITH {MASKED_BOTH}
+SELECT split, idx, side, string_agg(input::VARCHAR, ' ' ORDER BY i) AS input, string_agg(label::VARCHAR, ' ' ORDER BY i) AS label
+FROM masked GROUP BY split, idx, side"""
+ORACLES["d4_replacements"] = f"""WITH {MASKED_BOTH}
 SELECT input AS id, count(*) AS n FROM masked WHERE label <> 0 AND input <> label AND input <> 4 GROUP BY 1"""
 _BUDGET = D.SEQ_LEN - 3
 
@@ -545,7 +547,7 @@ ORACLES["d8_qa_training_batches"] = f"""WITH {FITTED}, k AS (SELECT ex_idx, coun
 r AS (SELECT ex_idx, n, row_number() OVER (ORDER BY md5(concat_ws('|', 'shuffle', {SEED}, 0, ex_idx))) - 1 AS r FROM k)
 SELECT ex_idx AS example_index, r // {BATCH} AS batch_id, (r % {BATCH})::INTEGER AS in_batch FROM r WHERE r < n // {BATCH} * {BATCH}"""
 ORACLES["e7_eval_features"] = f"""WITH {FITTED}
-SELECT ex_idx AS feature_index, (len(q_ids) + 2)::INTEGER AS context_start, array_to_string(offs, ' ') AS offsets
+SELECT ex_idx AS feature_index, (len(q_ids) + 2)::INTEGER AS context_start, {_INPUT}, {_QA_SEGMENT}, array_to_string(offs, ' ') AS offsets
 FROM fitted WHERE budget > 0"""
 
 # ---------------------------------------------------------------- question-answering evaluation
@@ -637,6 +639,7 @@ ORACLES["a9_metric_log"] = f"""WITH {STEPS}
 SELECT run, 'step' AS event, epoch, step, NULL::VARCHAR AS split, batch_loss::DOUBLE AS batch_loss, NULL::DOUBLE AS avg_loss,
   {_STAMP} FROM steps
 UNION ALL SELECT run, 'epoch', epoch, NULL, split, NULL, round(avg_loss, 6), {_STAMP} FROM epochs"""
+ORACLES["a9_repeated_batches"] = ORACLES["a9_metric_log"]
 ORACLES["g1_nsp_accuracy"] = """WITH l AS (SELECT quality, ('0x' || substr(md5(concat_ws('|', 'nsp-logits', doc_id)), 1, 2))::INTEGER AS x,
     ('0x' || substr(md5(concat_ws('|', 'nsp-logits', doc_id)), 3, 2))::INTEGER AS y FROM labels)
 SELECT round(coalesce(avg(((y > x)::INTEGER = quality)::INTEGER) * 100, 0), 6) AS nsp_acc, count(*) AS n FROM l"""
@@ -675,6 +678,7 @@ TEST_EPOCHS = f"{STEPS}, t AS (SELECT run, epoch, avg_loss FROM epochs WHERE spl
 ORACLES["g7_improvements"] = f"""WITH {TEST_EPOCHS}
 SELECT run, epoch, NOT EXISTS (SELECT 1 FROM t p WHERE p.run = t.run AND p.epoch < t.epoch AND p.avg_loss <= t.avg_loss) AS is_best
 FROM t"""
+ORACLES["g7_streamed_improvements"] = ORACLES["g7_improvements"]
 ORACLES["g7_highest_improvements"] = f"""WITH {TEST_EPOCHS}
 SELECT run, epoch, avg_loss > -1 AND NOT EXISTS (SELECT 1 FROM t p WHERE p.run = t.run AND p.epoch < t.epoch
   AND p.avg_loss >= t.avg_loss) AS is_best FROM t"""
@@ -686,7 +690,7 @@ ORACLES["g8_epoch_curve"] = f"WITH {STEPS} SELECT run, split, epoch, round(avg_l
 
 # ---------------------------------------------------------------- streams
 
-ORACLES["h1_streamed_pairs"] = f"""WITH {DOCS}, {sentence_ctes('docs')}
+ORACLES["h1_streamed_pairs"] = f"""WITH {ALL_DOCS}, {sentence_ctes('all_docs')}
 SELECT source, doc_id, para, pos, s1, s2, {split_of(TEST_RATIO)} FROM pairs"""
 ORACLES["h2_dashboard"] = f"""WITH {STEPS}
 SELECT run, split, max(epoch) AS last_epoch, round(arg_max(avg_loss, epoch), 6) AS last_loss, round(min(avg_loss), 6) AS best_loss,

@@ -52,6 +52,12 @@ def a2_source_cap(spark, sf):
     return documents.take_documents(D.documents(spark, sf), CAP)
 
 
+@query
+def a2_large_source_cap(spark, sf):
+    docs = D.all_documents(spark, sf)
+    return documents.take_documents(docs, docs.count() // 2)
+
+
 @query
 def a3_source_union(spark, sf):
     return documents.concat_sources(D.documents(spark, sf), D.books(spark, sf))
@@ -106,6 +112,19 @@ def a9_metric_log(spark, sf):
     )
 
 
+@query
+def a9_repeated_batches(spark, sf):
+    """Every batch is appended twice under one name, and counts once."""
+    path = scratch_path(spark, "repeated")
+    once = metrics.read_metrics(spark, D.metric_log(spark, sf))
+    for _ in range(2):
+        for event in ("step", "epoch"):
+            metrics.append_metrics(once.where(F.col("event") == event), path, batch=event)
+    return metrics.read_metrics(spark, path).select(
+        "run", "event", "epoch", "step", "split", "batch_loss", F.round("avg_loss", 6).alias("avg_loss"), "_ts"
+    )
+
+
 def _written_evaluation(spark, sf) -> str:
     path = scratch_path(spark, "evaluation")
     predicted = evaluation.write_predictions(D.gold_predictions(spark, sf), path)
@@ -390,17 +409,22 @@ def d2_distinct_negatives(spark, sf):
     return drawn.select("split", "idx", "is_next", "s1", "s2")
 
 
-def _first_sentence_codes(spark, sf) -> DataFrame:
-    codes = samples.mask_codes(F.col("i1"), len(D.bytes_only()), "mask", SEED, 0, F.col("split"), F.col("idx"), 1)
-    return _byte_ids(spark, sf).select("split", "idx", "i1", codes.alias("codes"))
+def _sentence_codes(spark, sf) -> DataFrame:
+    """Ids and codes of both sentences of every pair, a row each."""
+    rows = _byte_ids(spark, sf)
+    sides = [rows.select("split", "idx", F.lit(k).alias("side"), F.col(f"i{k}").alias("ids")) for k in (1, 2)]
+    both = sides[0].unionByName(sides[1])
+    codes = samples.mask_codes(F.col("ids"), len(D.bytes_only()), "mask", SEED, 0, F.col("split"), F.col("idx"), F.col("side"))
+    return both.withColumn("codes", codes)
 
 
 @query
 def d3_masked_tokens(spark, sf):
-    ids, codes = F.col("i1"), F.col("codes")
-    return _first_sentence_codes(spark, sf).select(
+    ids, codes = F.col("ids"), F.col("codes")
+    return _sentence_codes(spark, sf).select(
         "split",
         "idx",
+        "side",
         shown(samples.masked_input(ids, codes)).alias("input"),
         shown(samples.masked_label(ids, codes)).alias("label"),
     )
@@ -408,8 +432,8 @@ def d3_masked_tokens(spark, sf):
 
 @query
 def d4_replacements(spark, sf):
-    tokens = _first_sentence_codes(spark, sf).select(F.explode_outer(F.arrays_zip("i1", "codes")).alias("t"))
-    replaced = tokens.select("t.*").filter((F.col("codes") > MASK) & (F.col("codes") != F.col("i1")))
+    tokens = _sentence_codes(spark, sf).select(F.explode_outer(F.arrays_zip("ids", "codes")).alias("t"))
+    replaced = tokens.select("t.*").filter((F.col("codes") > MASK) & (F.col("codes") != F.col("ids")))
     return replaced.groupBy(F.col("codes").alias("id")).agg(F.count("*").alias("n"))
 
 
@@ -552,7 +576,11 @@ def _eval_features(spark, sf) -> DataFrame:
 @query
 def e7_eval_features(spark, sf):
     return _eval_features(spark, sf).select(
-        "feature_index", "context_start", shown_spans(F.col("context_token_offsets")).alias("offsets")
+        "feature_index",
+        "context_start",
+        shown(F.col("input_ids")).alias("input_ids"),
+        shown(F.col("segment_ids")).alias("segment_ids"),
+        shown_spans(F.col("context_token_offsets")).alias("offsets"),
     )
 
 
@@ -746,6 +774,24 @@ def g7_best_epoch(spark, sf):
     return run_metrics.best_epoch(run_metrics.improvements(_test_epochs(spark, sf), "avg_loss"))
 
 
+@query
+def g7_streamed_improvements(spark, sf):
+    """Epoch records arrive out of order, in several files, one at a time."""
+    arriving, path, state = (scratch_path(spark, n) for n in ("late-epochs", "flags", "state"))
+    draw = F.substring(digest("late", F.col("run"), F.col("epoch")), 1, 1)
+    epochs = _test_epochs(spark, sf).select("run", "epoch", "avg_loss", (F.conv(draw, 16, 10).cast("int") % 3).alias("part"))
+    epochs.repartition(3, "part").write.json(arriving)
+    stream = spark.readStream.schema("run string, epoch int, avg_loss double").option("maxFilesPerTrigger", 1).json(arriving)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        streaming.append_flags(streaming.streamed_improvements(stream, "avg_loss"), path, state).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return streaming.latest_flags(spark.read.schema(streaming.FLAGS).parquet(path))
+
+
 @query
 def g8_final_metrics(spark, sf):
     made = run_metrics.final_metrics(metrics.read_metrics(spark, D.metric_log(spark, sf)), "test", ["avg_loss"])
@@ -763,8 +809,11 @@ def g8_epoch_curve(spark, sf):
 
 @query
 def h1_streamed_pairs(spark, sf):
-    schema = D.table(spark, sf, "documents").schema
-    docs = streaming.stream_documents(spark, sf, "wiki", schema, glob="documents.parquet")
+    arriving = {
+        name: streaming.stream_documents(spark, sf, source, D.table(spark, sf, name).schema, key, f"{name}.parquet")
+        for name, source, key in (("documents", "wiki", "doc_id"), ("benchmark", "books", "item_id"))
+    }
+    docs = documents.concat_sources(*arriving.values())
     path, state = scratch_path(spark, "streamed"), scratch_path(spark, "state")
     streaming.stream_pairs(docs, path, state).awaitTermination()
     rows = spark.read.schema("source string, doc_id bigint, para int, pos int, s1 string, s2 string, split string")

@@ -8,6 +8,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corpus import SEED, TEST_RATIO, adjacent_pairs, route_split
+from .improvements import FLAGS, latest_flags, streamed_improvements
+
+__all__ = [
+    "FLAGS", "append_closed", "append_flags", "dashboard", "latest_flags", "publish", "step_rate", "stream_documents",
+    "stream_pairs", "streamed_improvements",
+]
 
 
 def stream_documents(
@@ -68,3 +74,13 @@ def append_closed(table: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     """Append windows once the watermark has passed them."""
     writer = table.writeStream.format("parquet").outputMode("append")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_flags(flags: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the flags of every trigger; a micro-batch that is run again repeats its rows, which count once."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(path)
+
+    writer = flags.writeStream.outputMode("update").foreachBatch(append)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
