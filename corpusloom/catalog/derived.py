@@ -143,17 +143,22 @@ def qa_turns(spark: SparkSession, sf: str) -> DataFrame:
         "context",
         answer.alias("answer"),
         F.when(answer.isNotNull(), start).alias("answer_start"),
+        F.when(F.col("draw") < "8", F.substring_index(answer, " ", 1)).alias("also"),
     )
 
 
+def _golds():
+    """The answer of a question and, for half of them, its first word as a second one."""
+    gold = lambda c: F.struct(F.col(c).alias("text"), F.col("answer_start").alias("answer_start"))
+    given = F.when(F.col("also").isNull(), F.array(gold("answer"))).otherwise(F.array(gold("answer"), gold("also")))
+    return F.when(F.col("answer").isNotNull(), given)
+
+
 @_once_per_session
 def qa_examples(spark: SparkSession, sf: str) -> Indexed:
     """Question-answering JSON written from conversations, one article per line in order, and read back."""
     path = scratch_path(spark, "qa")
-    answers = F.when(
-        F.col("answer").isNotNull(),
-        F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").alias("answer_start"))),
-    )
+    answers = _golds()
     qa = F.struct(F.col("qid").alias("id"), "question", answers.alias("answers"))
     article = F.array(F.struct("context", F.array(qa).alias("qas")))
     turns = qa_turns(spark, sf).repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
@@ -165,10 +170,7 @@ def qa_examples(spark: SparkSession, sf: str) -> Indexed:
 def qa_object(spark: SparkSession, sf: str) -> str:
     """The same examples in the usual layout: one JSON object in one file."""
     path = scratch_path(spark, "qa-object")
-    answers = F.when(
-        F.col("answer").isNotNull(),
-        F.array(F.struct(F.col("answer").alias("text"), F.col("answer_start").alias("answer_start"))),
-    )
+    answers = _golds()
     qa = F.struct(F.col("qid").alias("id"), "question", answers.alias("answers"))
     article = F.struct(F.lit("}{ \" ").alias("title"), F.array(F.struct("context", F.array(qa).alias("qas"))).alias("paragraphs"))
     places = F.lit(1).alias("at"), "conv_id", "turn"
