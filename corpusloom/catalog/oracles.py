@@ -515,10 +515,8 @@ ORACLES["a6_qa_examples"] = f"""WITH {QA}
 SELECT ex_idx, qid, question, context, concat_ws('|', answer, also) AS answers, answer_start FROM examples"""
 ORACLES["a6_split_object"] = ORACLES["a6_qa_examples"]
 ORACLES["e1_first_examples"] = f"WITH {QA} SELECT ex_idx, qid FROM examples ORDER BY ex_idx LIMIT {CAP}"
-FITTED = f"""{QA}, {BYTE_MAP},
-prep AS (SELECT *, {prefixed('context')} AS p, {shift_of('context')} AS shift FROM examples, byte_map),
-enc AS (SELECT *, {ids_of('question')} AS q0, {ids_of('context')} AS c0, {spans_of('p', 'shift')} AS o0 FROM prep),
-queried AS (SELECT *, q0[:64] AS q_ids, 381 - least(len(q0), 64) AS budget FROM enc),
+# Features of examples whose ids and spans are in ``enc``.
+_FIT = """queried AS (SELECT *, q0[:64] AS q_ids, 381 - least(len(q0), 64) AS budget FROM enc),
 fitted AS (SELECT *, c0[:budget] AS c_ids, o0[:budget] AS offs FROM queried),
 spread AS (SELECT ex_idx, generate_subscripts(offs, 1) - 1 AS place, unnest(offs) AS o FROM fitted),
 spans AS (SELECT ex_idx, place, split_part(o, ':', 1)::INTEGER AS s, split_part(o, ':', 2)::INTEGER AS e FROM spread),
@@ -528,6 +526,10 @@ located AS (SELECT ex_idx, min(place) FILTER (s <= answer_start AND answer_start
 judged AS (SELECT fitted.*, tok_start, tok_end, CASE WHEN budget <= 0 THEN 'overflow' WHEN answer IS NULL THEN 'no_answer'
     WHEN tok_start IS NULL OR tok_end IS NULL OR tok_end < tok_start THEN 'overflow' ELSE 'kept' END AS outcome
   FROM fitted JOIN located USING (ex_idx))"""
+FITTED = f"""{QA}, {BYTE_MAP},
+prep AS (SELECT *, {prefixed('context')} AS p, {shift_of('context')} AS shift FROM examples, byte_map),
+enc AS (SELECT *, {ids_of('question')} AS q0, {ids_of('context')} AS c0, {spans_of('p', 'shift')} AS o0 FROM prep),
+{_FIT}"""
 _INPUT = f"array_to_string({padded('[3] || q_ids || [2] || c_ids || [2]', 384)}, ' ') AS input_ids"
 _QA_SEGMENT = f"""array_to_string({padded('list_resize(CAST([] AS INTEGER[]), len(q_ids) + 2, 1) || '
     'list_resize(CAST([] AS INTEGER[]), len(c_ids) + 1, 2)', 384)}, ' ') AS segment_ids"""
@@ -541,6 +543,28 @@ ORACLES["e5_answer_span"] = f"""WITH {FITTED}
 SELECT ex_idx, tok_start::INTEGER AS tok_start, tok_end::INTEGER AS tok_end FROM located"""
 ORACLES["e6_drop_counts"] = f"WITH {FITTED} SELECT outcome, count(*) AS n FROM judged GROUP BY outcome"
 ORACLES["e7_train_features"] = f"""WITH {FITTED}
+SELECT ex_idx AS example_index, {_INPUT}, (len(q_ids) + 2 + tok_start)::INTEGER AS start_position,
+  (len(q_ids) + 2 + tok_end)::INTEGER AS end_position FROM judged WHERE outcome = 'kept'"""
+
+# The same with merged tokens: the pieces of questions and contexts are carried along in training, uncounted.
+_ASKED = " UNION ALL ".join(f"SELECT ex_idx, '{c}' AS kind, {pieces_of(c)} AS p FROM examples" for c in ("question", "context"))
+SUBWORD_FITTED = f"""RECURSIVE {ALL_DOCS}, {QA},
+asked AS ({_ASKED}),
+asked_pieces AS MATERIALIZED (SELECT ex_idx, kind, generate_subscripts(p, 1) AS pos, unnest(p) AS piece FROM asked),
+{trained_ctes('SELECT piece FROM asked_pieces')},
+asked_flat AS (SELECT ex_idx, kind, pos, generate_subscripts(ids, 1) AS k, unnest(ids) AS id FROM asked_pieces JOIN learnt USING (piece)),
+asked_sized AS (SELECT f.*, length(token) AS n FROM asked_flat f JOIN vocab USING (id)),
+asked_placed AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY ex_idx, kind ORDER BY pos, k) AS past FROM asked_sized),
+asked_texts AS MATERIALIZED (SELECT ex_idx, kind, list(id::INTEGER ORDER BY pos, k) AS ids, list((past - n + 1)::BIGINT ORDER BY pos, k) AS firsts,
+    list(past::BIGINT ORDER BY pos, k) AS lasts FROM asked_placed GROUP BY ex_idx, kind),
+context_prep AS (SELECT ex_idx, {prefixed('context')} AS p, {shift_of('context')} AS shift FROM examples),
+context_spans AS MATERIALIZED (SELECT ex_idx, {spans_of('p', 'shift')} AS spans FROM context_prep),
+enc AS (SELECT e.*, coalesce(q.ids, []) AS q0, coalesce(c.ids, []) AS c0, list_transform(list_zip(coalesce(c.firsts, []), coalesce(c.lasts, [])),
+    lambda z: split_part(s.spans[z[1]], ':', 1) || ':' || split_part(s.spans[z[2]], ':', 2)) AS o0
+  FROM examples e JOIN context_spans s USING (ex_idx) LEFT JOIN asked_texts q ON q.ex_idx = e.ex_idx AND q.kind = 'question'
+  LEFT JOIN asked_texts c ON c.ex_idx = e.ex_idx AND c.kind = 'context'),
+{_FIT}"""
+ORACLES["e7_subword_features"] = f"""WITH {SUBWORD_FITTED}
 SELECT ex_idx AS example_index, {_INPUT}, (len(q_ids) + 2 + tok_start)::INTEGER AS start_position,
   (len(q_ids) + 2 + tok_end)::INTEGER AS end_position FROM judged WHERE outcome = 'kept'"""
 ORACLES["d8_qa_batches"] = f"""WITH {FITTED}, r AS (SELECT ex_idx, row_number() OVER (ORDER BY ex_idx) - 1 AS r FROM fitted WHERE budget > 0)
