@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .draws import digest, integer
 
-ROUNDS = 6
+ROUNDS = 4
 # Numbers of rows that are tried for the grid, from the square root of n on.
 SIDES = 1000
 _DIGITS = 15

@@ -183,7 +183,9 @@ def epoch_batches(
     gaps (``dense=False``), as that of features after some were dropped, rows are ranked by a hash of it or by its order.
     """
     if shuffle and dense:
-        ranked = rows.withColumn("rank", Permutation(n, ("shuffle", seed, epoch)).of(F.col(key)))
+        # The outer form keeps the optimizer from computing the place a second time in a filter.
+        place = Permutation(n, ("shuffle", seed, epoch)).of(F.col(key))
+        ranked = rows.select("*", F.explode_outer(F.array(place)).alias("rank"))
     elif shuffle:
         ranked = shuffled_rank(rows, n, "shuffle", seed, epoch, F.col(key))
     elif not dense:
