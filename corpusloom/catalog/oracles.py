@@ -193,6 +193,8 @@ pieces AS (SELECT source, doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS po
 PIECES = f"{ALL_DOCS}, {PIECE_CTES}"
 ORACLES["c2_pieces"] = f"WITH {PIECES} SELECT source, doc_id, pos, piece FROM pieces"
 ORACLES["c3_piece_frequencies"] = f"WITH {PIECES} SELECT piece, count(*) AS freq FROM pieces GROUP BY piece"
+ORACLES["c3_frequent_pieces"] = f"""WITH {PIECES}, counted AS (SELECT piece, count(*) AS freq FROM pieces GROUP BY piece)
+SELECT piece, freq FROM counted WHERE freq * 1000 >= (SELECT sum(freq) FROM counted)"""
 ORACLES["c4_byte_symbol_usage"] = f"""WITH {ALL_DOCS}, {BYTE_MAP},
 used AS (SELECT unnest({bytes_of(prefixed('text'))}) AS x FROM all_docs),
 counted AS (SELECT ('0x' || x)::INTEGER AS b, count(*) AS n FROM used GROUP BY x)

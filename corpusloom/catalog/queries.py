@@ -255,6 +255,11 @@ def c3_piece_frequencies(spark, sf):
     return bpe.piece_frequencies(D.all_documents(spark, sf))
 
 
+@query
+def c3_frequent_pieces(spark, sf):
+    return bpe.frequent_pieces(D.all_documents(spark, sf), one_in=1000)
+
+
 @query
 def c4_byte_symbol_usage(spark, sf):
     encoded = D.all_documents(spark, sf).select(encoding.encode(F.col("text"), D.bytes_only()).alias("ids"))

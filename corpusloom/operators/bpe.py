@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
+from ..functions.heavy_hitters import summaries
 from ..functions.merging import FIRST_SYMBOL, merging_function, segments_function
 from ..functions.text import byte_ids, pieces
 from ..session import written
@@ -50,6 +51,23 @@ def piece_frequencies(text: DataFrame, column: str = "text", lowercase: bool = T
     return split.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.count("*").alias("freq"))
 
 
+def frequent_pieces(text: DataFrame, one_in: int = 10_000, column: str = "text", lowercase: bool = True) -> DataFrame:
+    """``piece, freq`` of the pieces that are at least one in so many of all, with exact counts.
+
+    Every task keeps ``2 * one_in`` counters, whatever it reads; their sums bound each count from both sides, so no frequent
+    piece is missed and at most ``2 * one_in`` rare ones are counted with them. A second pass counts these alone: the long
+    tail of rare pieces is never shuffled.
+    """
+    split = text.select(pieces(F.col(column), lowercase).alias("p"))
+    told = written(split.mapInArrow(summaries(2 * one_in), "kind string, value string, n bigint"), "summaries")
+    sums = {r["kind"]: r["n"] for r in told.where("kind <> 'value'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    total, lost = sums.get("total", 0), sums.get("lost", 0)
+    merged = told.where("kind = 'value'").groupBy(F.col("value").alias("piece")).agg(F.sum("n").alias("least"))
+    candidates = merged.where((F.col("least") + lost) * one_in >= total).select("piece")
+    counted = split.select(F.explode_outer("p").alias("piece")).join(F.broadcast(candidates), "piece")
+    return counted.groupBy("piece").agg(F.count("*").alias("freq")).where(F.col("freq") * one_in >= total)
+
+
 def symbol_words(frequencies: DataFrame) -> DataFrame:
     """``word, freq``: each piece as one symbol per byte."""
     to_symbols = "".join(symbol(i) for i in byte_ids())
