@@ -18,11 +18,13 @@ _SPACE = r"\x20\x09-\x0D"
 def near_documents(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Groups of near copies: per row ``doc_id, n_shingles, copies, class_id, component_id, kept``.
+    """Groups of near copies: per row ``doc_id, n_shingles, copies, class_id, component_id, kept, text_hash, high, low, head``.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says whether the document is that one. Null and empty
     texts, and texts without words, have no shingles and are linked with nothing. A row without id keeps a null component
-    and is kept. Rows that repeat an id are judged by their own text. Other columns of ``docs`` are not read.
+    and is kept. Rows that repeat an id are judged by their own text: ``text_hash`` (``xxhash64`` of it) tells them apart,
+    ``high`` and ``low`` are the digest of their shingles, and of the texts in a component that share its id ``head`` names
+    the one that stands for it. Other columns of ``docs`` are not read.
     """
     items = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed, classes = near_classes(items, shingle_words, similarity)
@@ -34,6 +36,10 @@ def near_documents(
         "class_id",
         F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
+        "text_hash",
+        "high",
+        "low",
+        "head",
     )
 
 
@@ -56,8 +62,9 @@ def repeated_passages(
 
     Then one row per repeated passage (``repeated_runs``) that is not all in removed paragraphs, with ``first_word``, its first
     word's number in the document, from 0, and ``lines`` null: these stand inside longer paragraphs or go over the ends of short ones. Null and
-    empty texts and rows without an id have no row. Rows that repeat an id count as one document where they are equal.
-    Paragraphs are told apart by a 64-bit hash of document and place.
+    empty texts and rows without an id have no row. Rows that repeat an id count as one document where they are equal;
+    paragraphs that differ at one place of such rows are rows of their own. Paragraphs are told apart by a 64-bit hash of
+    document, place and text.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     whole = written(repeated_paragraphs(docs, min_words, shingle_words, similarity), "paragraphs")
@@ -68,7 +75,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, sim
     """The rows of ``repeated_passages`` for whole paragraphs."""
     single = paragraphs(docs, min_words).withColumn("lines", F.array("paragraph"))
     joined = written(joined_lines(docs, min_words), "joined")
-    places = single.unionByName(joined).withColumn("id", F.xxhash64("doc_id", "paragraph"))
+    places = single.unionByName(joined).withColumn("id", F.xxhash64("doc_id", "paragraph", "text"))
     signed, classes = near_classes(places.select("id", "text"), shingle_words, similarity, bands=20, rows=4)
     found = membership(signed, classes)
     groups = found.groupBy("component").agg(F.count("*").alias("copies")).where("copies > 1")

@@ -20,7 +20,7 @@ from ..session import written
 from .common import components, lookup, map_batches, runs, salted
 from .words import SPACED, mix, shingles_of, words_of
 
-_SIGNED = "id long, n_shingles long, high long, low long, signature binary"
+_SIGNED = "id long, text_hash long, n_shingles long, high long, low long, signature binary"
 _SETS = "id long, shingles binary"
 _LINKS = "a long, b long"
 _KEYS = ["bucket", "block", "other"]
@@ -43,7 +43,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 
 
 def signer(shingle_words: int, bands: int, rows: int, table: np.ndarray) -> Callable:
-    """Task function: (id, text) to set size, a 128-bit digest of the set and the minima of ``bands * rows`` hashes."""
+    """Task function: (id, text, text_hash) to set size, a 128-bit digest of the set and the minima of ``bands * rows`` hashes."""
     n_hashes = bands * rows
     seeds = mix(np.arange(1, 2 * n_hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     factors, shifts = seeds[:n_hashes] | np.uint64(1), seeds[n_hashes:]
@@ -68,12 +68,13 @@ def signer(shingle_words: int, bands: int, rows: int, table: np.ndarray) -> Call
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(np.diff(cuts)),
                     pa.array(digests[0].view(np.int64), mask=empty),
                     pa.array(digests[1].view(np.int64), mask=empty),
                     pa.array([None if e else m.tobytes() for m, e in zip(minima, empty)], pa.binary()),
                 ],
-                names=["id", "n_shingles", "high", "low", "signature"],
+                names=["id", "text_hash", "n_shingles", "high", "low", "signature"],
             )
 
     return sign
@@ -230,31 +231,43 @@ def near_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Signed items and, of each class of equal sets, the component of near copies.
 
-    ``items`` has ``id: long`` and ``text``. Returns (1) one row per item: ``id, n_shingles, high, low`` (digest of the set,
-    null where there is no word), (2) one row per set: ``high, low, copies, class_id`` (smallest id with that set),
-    ``component`` (smallest ``class_id`` reachable over links). Two sets are linked if their Jaccard similarity is at least ``similarity``; every link found by the bands is confirmed on the full sets.
-    With 28 bands of 5 minima a pair of similarity 0.85 is missed by the bands once in 13 million.
+    ``items`` has ``id: long`` and ``text``. Returns (1) one row per item: ``id, text_hash, n_shingles, high, low`` (digest of
+    the set, null where there is no word), (2) one row per set: ``high, low, copies, class_id`` (smallest id with that set),
+    ``component`` (smallest ``class_id`` reachable over links), ``head`` (whether it stands for its component: of the sets with
+    that id, the least digest). Two sets are linked if their Jaccard similarity is at least ``similarity``; every link found by
+    the bands is confirmed on the full sets. Sets are told apart by their digests alone, so texts that share an id are judged
+    one by one. With 28 bands of 5 minima a pair of similarity 0.85 is missed by the bands once in 13 million.
     """
     ratio = similarity[0] / similarity[1]
-    plain = items.select("id", "text")
+    plain = items.select("id", "text", F.xxhash64("text").alias("text_hash"))
     signed = written(map_batches(plain, signer(shingle_words, bands, rows, table), _SIGNED), "signed")
     classes = (
         signed.where("high is not null and id is not null")
         .groupBy("high", "low")
-        .agg(F.min(F.struct("id", "n_shingles", "signature")).alias("r"), F.count("*").alias("copies"))
+        .agg(F.min(F.struct("id", "text_hash", "n_shingles", "signature")).alias("r"), F.count("*").alias("copies"))
     )
-    classes = written(
-        classes.select("high", "low", "copies", F.col("r.id").alias("class_id"), F.col("r.n_shingles").alias("size"), F.col("r.signature").alias("signature")),
-        "classes",
+    # each class is a node with a number of its own; it keeps it, as the table is written
+    classes = classes.select(
+        F.monotonically_increasing_id().alias("node"),
+        "high",
+        "low",
+        "copies",
+        F.col("r.id").alias("class_id"),
+        F.col("r.text_hash").alias("text_hash"),
+        F.col("r.n_shingles").alias("size"),
+        F.col("r.signature").alias("signature"),
     )
+    classes = written(classes, "classes")
     members = written(_members(classes, bands, rows), "members")
-    one = classes.select(F.col("class_id").alias("id"), "size", "signature").dropDuplicates(["id"])
+    one = classes.select(F.col("node").alias("id"), "size", "signature")
     how = (bands, rows, ratio, _least_agreement(ratio, bands * rows))
     alone = one.withColumn("component", F.col("id"))
     near = written(map_batches(_dealt(members, alone), nearest_pairs(*how), _LINKS).distinct(), "near")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    # texts are shuffled here at every size, so that the plan is the same on a small table
-    texts = plain.join(wanted.hint("merge"), "id", "left_semi")
+    # a class is represented by one text, found by its id and hash; texts are shuffled here at every size, so that the plan
+    # is the same on a small table
+    shown = classes.join(wanted.withColumnRenamed("id", "node"), "node", "left_semi").select("node", F.col("class_id").alias("id"), "text_hash")
+    texts = plain.join(shown.hint("merge"), ["id", "text_hash"]).select("node", "text")
     sets = written(map_batches(texts, shingle_sets(shingle_words, table), _SETS).dropDuplicates(["id"]), "sets")
     links = written(_checked(near, sets, similarity), "links")
     first = written(components(links), "components")
@@ -268,23 +281,29 @@ def near_classes(
     more = map_batches(full.repartition(*_KEYS).sortWithinPartitions(*_KEYS), bucket_links(*similarity, *how), _LINKS)
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     result = (
-        classes.select("high", "low", "copies", "class_id")
-        .join(first.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .withColumn("component", F.coalesce("component", "class_id"))
+        classes.select("node", "high", "low", "copies", "class_id")
+        .join(first, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
         .join(second, "component", "left")
-        .select("high", "low", "copies", "class_id", F.coalesce("joined", "component").alias("component"))
+        .select("high", "low", "copies", "class_id", F.coalesce("joined", "component").alias("node"))
     )
-    return signed.select("id", "n_shingles", "high", "low"), written(result, "components_of_classes")
+    result = written(result, "components_of_classes")
+    heads = result.groupBy("node").agg(F.min(F.struct("class_id", "high", "low")).alias("least"), F.count("*").alias("n"))
+    found = lookup(result, written(heads, "heads"), ["node"], "n", result.count())
+    head = F.struct("class_id", "high", "low") == F.col("least")
+    found = found.select("high", "low", "copies", "class_id", F.col("least.class_id").alias("component"), head.alias("head"))
+    return signed.select("id", "text_hash", "n_shingles", "high", "low"), written(found, "named_classes")
 
 
 def membership(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Items with their class and component; items without words or id are their own."""
     total = signed.count()
+    kept = ["id", "text_hash", "n_shingles", "high", "low"]
     told = lookup(signed.where("high is not null and id is not null"), classes, ["high", "low"], "copies", total)
     alone = signed.where("high is null or id is null").select(
-        "id", "n_shingles", F.lit(1).cast("bigint").alias("copies"), F.col("id").alias("class_id"), F.col("id").alias("component")
+        *kept, F.lit(1).cast("bigint").alias("copies"), F.col("id").alias("class_id"), F.col("id").alias("component"), F.lit(True).alias("head")
     )
-    return told.select("id", "n_shingles", "copies", "class_id", "component").unionByName(alone)
+    return told.select(*kept, "copies", "class_id", "component", "head").unionByName(alone)
 
 
 def _band_key(band: Column, rows: int) -> Column:
@@ -293,7 +312,7 @@ def _band_key(band: Column, rows: int) -> Column:
 
 def _members(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, band, n, shingles, id): the classes of every band value that two classes or more share."""
-    cut = classes.select(F.col("class_id").alias("id"), "size", "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    cut = classes.select(F.col("node").alias("id"), "size", "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
     thin = cut.select(_band_key(F.col("band"), rows).alias("bucket"), F.col("band").cast("smallint").alias("band"), "id", "size")
     buckets = thin.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     total = classes.count() * bands

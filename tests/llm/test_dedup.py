@@ -79,6 +79,33 @@ def test_rows_without_id_repeats_and_empty_table(documents):
     assert dedup.near_documents(documents([])).collect() == []
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark, documents, prose):
+    def edited(text, n):
+        words = text.split()
+        for i in range(n):
+            words[40 * i + 7] = "other"
+        return " ".join(words)
+
+    a, b = prose(31, 300), prose(32, 300)
+    rows = [(1, a), (1, b), (2, edited(a, 1)), (3, edited(b, 1))]
+    rows += [(9, prose(33, 200)), (9, prose(34, 200)), (9, prose(35, 200)), (5, prose(34, 200)), (8, edited(prose(35, 200), 1))]
+    told = dedup.near_documents(documents(rows)).collect()
+    by_text = {spark.range(1).selectExpr(f"xxhash64('{t}') h").first()["h"]: t for _, t in rows}
+    got = sorted((r["doc_id"], by_text[r["text_hash"]], r["component_id"], r["kept"]) for r in told)
+    component = [1, 1, 1, 1, 9, 5, 8, 5, 8]
+    assert got == sorted((i, t, c, i == c) for (i, t), c in zip(rows, component))
+    both_kept = corpus_pipeline.drop_near_copies(spark, documents(rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in both_kept) == sorted([(1, a), (1, b), (5, rows[7][1]), (8, rows[8][1]), rows[4]])
+
+
+def test_copies_with_one_id_stay_once(spark, documents, prose):
+    text = prose(41, 300)
+    near = text.replace(text.split()[150], "changed", 1)
+    docs = documents([(4, text), (4, near), (4, text.upper()), (4, text), (6, near), (7, "one two"), (7, "")])
+    out = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r["doc_id"], len(r["text"].split())) for r in out) == [(4, 300), (7, 0), (7, 2)]
+
+
 def test_stage_keeps_one_of_each_group(spark, documents):
     docs = documents([(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (7, None), (8, ""), (None, "z")])
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
