@@ -28,11 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, once.
 
-    Rows that repeat an id and its text are one document; rows without an id stay.
+    Rows that repeat an id are judged by their own text; those with the same word runs are one document, of which the row
+    that is smallest by its text and then by a hash of all columns stays. Rows without an id stay.
     """
-    kept = dedup.near_documents(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = dedup.near_documents(docs.where("doc_id is not null")).where("kept and head")
+    kept = found.groupBy("doc_id", F.coalesce("high", "text_hash")).agg(F.min("text_hash").alias("_text")).select("doc_id", "_text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    chosen = rows.join(kept.hint("merge"), ["doc_id", "_text"], "left_semi")
+    of_text = chosen.groupBy("doc_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return of_text.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
