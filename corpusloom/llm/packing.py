@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
@@ -24,9 +25,9 @@ SEQUENCE = 4096
 SLACK = 8
 #: Partitions whose underfull bins meet in one task of the next round.
 FAN_IN = 8
-#: Pieces that a task packs at a time, and tokens in underfull bins that it passes on at most: the fullest bins beyond are
-#: emitted as they are. With four bytes a token this bounds what a task holds, whatever the pieces carry along.
-WINDOW, OPEN_TOKENS = 5_000, 1 << 23
+#: Pieces that a task packs at a time where they carry their tokens, and where they are thin. So many of the emptiest underfull
+#: bins at most wait for the next window or round, which bounds what a task holds.
+WINDOW, THIN_WINDOW = 2_000, 50_000
 #: Words whose ids a worker remembers.
 _REMEMBERED = 1_400_000
 
@@ -186,11 +187,18 @@ def _piece_schema(docs: DataFrame, carry: list[str] | None, more: str) -> tuple[
     return carry, schema, to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
 
-def pack_texts(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = SEQUENCE, carry: list[str] | None = None) -> DataFrame:
-    """:func:`token_pieces` and :func:`pack` of texts in one pass: each task packs the pieces it makes."""
+def pack_texts(
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = SEQUENCE, carry: list[str] | None = None, deal: bool = False
+) -> DataFrame:
+    """:func:`token_pieces` and :func:`pack` of texts in one pass: each task packs the pieces it makes, 2,000 at a time.
+
+    Long and short texts should lie mixed, as after a join by id; where they may lie apart, ``deal`` deals the rows anew
+    first, which shuffles the texts once.
+    """
     carry, schema, arrow = _piece_schema(docs, carry, _PLACES)
     tokenize = _tokenize(tokenizer, end_id, capacity, len(carry), pa.schema(list(arrow)[: -len(_PLACED)]), remember=False)
-    local = _pack(capacity, 0, False)
+    local = _pack(capacity, 0, False, WINDOW)
+    texts = docs.select(*carry, "text")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokenize(batches):
@@ -198,7 +206,8 @@ def pack_texts(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, c
             closed = pa.array(np.zeros(batch.num_rows, bool))
             yield pa.RecordBatch.from_arrays([*batch.columns, zero, zero, closed, zero], schema=arrow)
 
-    return _rounds(map_batches(docs.select(*carry, "text"), lambda batches: local(placed(batches)), schema), capacity)
+    texts = _dealt(texts) if deal else texts
+    return _rounds(map_batches(texts, lambda batches: local(placed(batches)), schema), capacity, WINDOW)
 
 
 class _Bins:
@@ -242,10 +251,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 class _Packer:
-    """Packs rows window by window; underfull bins are the first items of the next window."""
+    """Packs rows window by window; the emptiest underfull bins are the first items of the next window."""
 
-    def __init__(self, capacity: int, prefix: int):
-        self.capacity, self.prefix, self.made = capacity, prefix, 0
+    def __init__(self, capacity: int, prefix: int, waiting: int):
+        self.capacity, self.prefix, self.waiting, self.made = capacity, prefix, waiting, 0
         self.open: pa.Table | None = None
 
     def add(self, rows: pa.Table) -> Iterator[pa.Table]:
@@ -263,20 +272,19 @@ class _Packer:
         rows = rows.set_column(rows.column_names.index("offset"), "offset", pa.array(rows["offset"].to_numpy() + place[item]))
         done = (self.capacity - full) <= SLACK
         order = np.argsort(full, kind="stable")  # the emptiest stay open
-        order = order[~done[order]]
-        done[order[np.cumsum(full[order]) > OPEN_TOKENS]] = True
+        done[order[~done[order]][self.waiting :]] = True
         closed = done[number[item]]
         self.open = rows.filter(pa.array(~closed))
         yield rows.filter(pa.array(closed))
 
 
-def _pack(capacity: int, level: int, last: bool) -> Callable:
+def _pack(capacity: int, level: int, last: bool, window: int) -> Callable:
     """Task function over rows that end in (length, sequence_id, offset, closed, part)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        packer, names, schema = _Packer(capacity, (level << 54) + (task << 30)), 0, None
-        groups = runs(batches, ["part"]) if level else _gathered(batches)
+        packer, names, schema = _Packer(capacity, (level << 54) + (task << 30), window), 0, None
+        groups = runs(batches, ["part"]) if level else _gathered(batches, window)
         group = None
         for table in groups:
             schema = table.schema
@@ -286,7 +294,7 @@ def _pack(capacity: int, level: int, last: bool) -> Callable:
                 yield from _out([packer.open], schema, last, group)
                 packer.open = None
             group = part
-            step = table.num_rows if level else WINDOW  # rows of a bin stay together
+            step = table.num_rows if level else window  # rows of a bin stay together
             for at in range(0, table.num_rows, step):
                 rows = table.slice(at, step)
                 if not level:  # each piece is an item of its own
@@ -299,14 +307,16 @@ def _pack(capacity: int, level: int, last: bool) -> Callable:
     return pack
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _gathered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Table]:
     """Batches joined to tables of a window at least, but for the last."""
     waiting: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
         waiting.append(batch)
-        if sum(b.num_rows for b in waiting) >= WINDOW:
+        n += batch.num_rows
+        if n >= window:
             yield pa.Table.from_batches(waiting)
-            waiting = []
+            waiting, n = [], 0
     if waiting:
         yield pa.Table.from_batches(waiting)
 
@@ -324,18 +334,29 @@ def _out(tables, schema: pa.Schema, closed: bool, part: int) -> Iterator[pa.Reco
 def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """Places every row of ``pieces`` (column ``length``, 1 to ``capacity``) in a sequence of at most ``capacity``.
 
-    Added: ``sequence_id`` (any number) and ``offset`` (gapless from 0). Each partition packs its own rows by best fit of
-    decreasing size and emits nearly full bins. Its underfull bins are items of the next round, where eight partitions meet
-    in a task, and so on up to one task: only underfull bins move, and their rows are bounded in every task. Rounds are
-    written tables, so a lost executor costs its tasks of one round. Other columns are carried; an empty table stays empty.
+    Added: ``sequence_id`` (any number) and ``offset`` (gapless from 0). Rows are dealt evenly first, so that every partition
+    has its share of long and short ones, in whatever order they come. Each partition then packs windows of 50,000 of its own
+    rows (2,000 if they carry an array or binary column) by best fit of decreasing size and emits nearly full bins. Its
+    underfull bins are items of the next window, and of the next round, where eight partitions meet in a task, and so on up
+    to one task. As many bins as a window has rows wait at most, the emptiest ones: after best fit all bins of a task but one
+    are more than half full and can't be joined with each other, so between rounds no more are needed than there are
+    partitions. Only waiting bins move, and their rows are bounded in every task. Rounds are written tables, so a lost
+    executor costs its tasks of one round. Other columns are carried; an empty table stays empty.
     """
     kept = [c for c in pieces.columns if c not in _PLACED]
+    wide = any(isinstance(f.dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in pieces.select(*kept).schema)
+    window = WINDOW if wide else THIN_WINDOW
     zero = F.lit(0).cast("bigint")
-    rows = pieces.select(*kept, zero.alias("sequence_id"), zero.alias("offset"), F.lit(False).alias("closed"), zero.alias("part"))
-    return _rounds(map_batches(rows, _pack(capacity, 0, False), rows.schema), capacity)
+    rows = _dealt(pieces.select(*kept, zero.alias("sequence_id"), zero.alias("offset"), F.lit(False).alias("closed"), zero.alias("part")))
+    return _rounds(map_batches(rows, _pack(capacity, 0, False, window), rows.schema), capacity, window)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt one by one to the session's number of shuffle partitions; equal ones are dealt too, so none is overfull."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _rounds(local: DataFrame, capacity: int) -> DataFrame:
+def _rounds(local: DataFrame, capacity: int, window: int) -> DataFrame:
     """The rounds after the partitions' own."""
     spark, schema = local.sparkSession, local.schema
     packed = written(local, "packed")
@@ -348,7 +369,7 @@ def _rounds(local: DataFrame, capacity: int) -> DataFrame:
             break
         level += 1
         dealt = left.repartition(min(parts + 1, spark.sparkContext.defaultParallelism * 4), "part").sortWithinPartitions("part", "sequence_id")
-        packed = written(map_batches(dealt, _pack(capacity, level, parts == 0), schema), "packed")
+        packed = written(map_batches(dealt, _pack(capacity, level, parts == 0, window), schema), "packed")
     out = done[0]
     for one in done[1:]:
         out = out.unionByName(one)

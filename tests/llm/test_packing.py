@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -63,6 +64,35 @@ def test_packing_of_many_partitions_is_tight(spark):
     assert len(sequences) <= len(full) * 1.01 + 1
 
 
+def test_order_of_the_input_does_not_matter(spark):
+    long = spark.range(0, 8000, numPartitions=2).select("id", (2060 + F.pmod(F.xxhash64("id"), F.lit(341))).alias("length"))
+    short = spark.range(8000, 48000, numPartitions=6).select("id", (200 + F.pmod(F.xxhash64("id"), F.lit(221))).alias("length"))
+    rows = packing.pack(long.unionByName(short)).collect()
+    assert sorted(r["id"] for r in rows) == list(range(48000))
+    _, _, full = packing.best_fit(np.array([r["length"] for r in rows], np.int64), packing.SEQUENCE)  # all in one place
+    assert len(check_sequences(rows, packing.SEQUENCE)) <= 1.01 * len(full)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_more_underfull_bins_than_wait(spark, monkeypatch, wide):
+    monkeypatch.setattr(packing, "WINDOW", 50)
+    monkeypatch.setattr(packing, "THIN_WINDOW", 50)
+    length = F.when(F.col("id") % 3 == 0, 600).when(F.col("id") % 3 == 1, 390).otherwise(700).cast("bigint").alias("length")
+    items = spark.range(0, 3000, numPartitions=3).select("id", length)
+    items = items.withColumn("ids", F.col("id").cast("string").cast("binary")) if wide else items
+    rows = packing.pack(items, 1000).collect()
+    assert sorted(r["id"] for r in rows) == list(range(3000))
+    assert 2000 <= len(check_sequences(rows, 1000)) <= 2000 * 1.05
+
+
+def test_texts_can_be_dealt(documents, prose):
+    docs = documents([(i, prose(i, 400 if i < 20 else 30)) for i in range(80)])
+    rows = packing.pack_texts(docs, capacity=500, carry=["doc_id"], deal=True).collect()
+    check_sequences(rows, 500)
+    want = packing.token_pieces(docs, longest=500, carry=["doc_id"]).collect()
+    assert sorted(str(tuple(r)[:5]) for r in rows) == sorted(str(tuple(r)) for r in want)
+
+
 def test_large_items_and_empty_table(spark):
     rows = packing.pack(spark.range(50, numPartitions=5).select("id", F.lit(600).cast("bigint").alias("length")), 1000).collect()
     assert len(check_sequences(rows, 1000)) == 50
