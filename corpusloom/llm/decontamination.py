@@ -18,6 +18,8 @@ from .words import ALNUM, mix, words_of
 WINDOW, GRAM = 13, 5
 #: Benchmark words held by a task at once (32 MB of hashes); a larger benchmark is taken in blocks, one pass over the texts each.
 BLOCK_WORDS = 1 << 22
+#: Places of benchmark runs that are compared with a text's at a time (about 40 MB), however many items share a phrase.
+EXPANDED = 1 << 18
 #: Items longer than this are cut into segments that overlap by a window less a word, so each window is in one segment.
 SEGMENT_WORDS = 1 << 16
 _ADDED = ("n_words", "n_hit", "hit_spans", "items", "n_items", "contaminated")
@@ -79,8 +81,8 @@ class Index:
             slot = np.minimum(np.searchsorted(self.keys, grams[p]), len(self.keys) - 1)
             found = self.keys[slot] == grams[p]
             p, slot = p[found], slot[found]
-            for k in range(0, len(p), 4096):
-                yield from self._extended(hashes, text, p[k : k + 4096], slot[k : k + 4096])
+            for start, k in _expanded(self.from_[slot], self.count[slot]):
+                yield self._extended(hashes, text, p[start], self.at[k])
         for size, (keys, which) in self.short.items():
             grams = gram_hashes(hashes, size)
             if not len(grams):
@@ -89,12 +91,10 @@ class Index:
             count = np.searchsorted(keys, grams, "right") - low
             p = np.flatnonzero((count > 0) & (text[: len(grams)] == text[size - 1 :]))
             if len(p):
-                start, k = _expanded(low[p], count[p])
-                yield p[start], p[start] + size, self.item[which[k]]
+                for start, k in _expanded(low[p], count[p]):
+                    yield p[start], p[start] + size, self.item[which[k]]
 
-    def _extended(self, hashes, text, p, slot):
-        start, k = _expanded(self.from_[slot], self.count[slot])
-        p, q = p[start], self.at[k]
+    def _extended(self, hashes, text, p, q):
         owner, doc = self.owner[q], text[p]
         same = np.ones(len(p), bool)
         for j in range(GRAM):
@@ -117,14 +117,16 @@ class Index:
             going &= (text[a] == doc) & (hashes[a] == self.words[b])
             right += going
         whole = left + GRAM + right >= WINDOW
-        yield (p - left)[whole], (p + GRAM + right)[whole], self.item[owner[whole]]
+        return (p - left)[whole], (p + GRAM + right)[whole], self.item[owner[whole]]
 
 
-def _expanded(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows repeated by count, and the running number inside each from ``first`` on."""
-    row = np.repeat(np.arange(len(count)), count)
-    before = np.cumsum(count) - count
-    return row, np.arange(len(row)) - before[row] + first[row]
+def _expanded(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows repeated by count, and the running number inside each from ``first`` on, ``EXPANDED`` of them at a time."""
+    past = np.cumsum(count)
+    for at in range(0, int(past[-1]) if len(past) else 0, EXPANDED):
+        place = np.arange(at, min(at + EXPANDED, int(past[-1])))
+        row = np.searchsorted(past, place, "right")
+        yield row, place - (past - count)[row] + first[row]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +155,16 @@ def _finder(index, carried: int, schema: pa.Schema) -> Callable:
                 n = batch.num_rows
                 hashes, text, _, _ = words_of(batch.column(carried), ALNUM)
                 cuts = np.searchsorted(text, np.arange(n + 1))
-                starts, pasts, docs, items = [], [], [], []
-                for first, past, item in own.hits(hashes, text):
-                    starts.append(first)
-                    pasts.append(past)
-                    pairs = np.unique(text[first] * len(own.names) + item) if len(first) else np.zeros(0, np.int64)
-                    docs.append(pairs)
+                docs, waiting = [], 0
                 edges = np.zeros(len(hashes) + 1, np.int64)
-                for first, past in zip(starts, pasts):
+                for first, past, item in own.hits(hashes, text):
                     np.add.at(edges, first, 1)
                     np.add.at(edges, past, -1)
+                    docs.append(np.unique(text[first] * len(own.names) + item))
+                    waiting += len(docs[-1])
+                    if waiting > 4 * EXPANDED:  # pairs of text and item repeat from part to part
+                        docs = [np.unique(np.concatenate(docs))]
+                        waiting = 0
                 names: list[list[str]] = [x or [] for x in batch.column(carried + 3).to_pylist()]
                 for i, spans in enumerate(batch.column(carried + 2).to_pylist()):
                     for s in spans or ():

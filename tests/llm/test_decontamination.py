@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import decontamination
@@ -73,3 +74,26 @@ def test_long_items_are_cut_with_overlap(spark, documents, prose, monkeypatch):
     benchmark = spark.createDataFrame([(1, text)], "item_id long, text string")
     rows = decontamination.contamination(documents([(i, " ".join(text.split()[i : i + 13])) for i in range(88)]), benchmark).collect()
     assert all(r["n_hit"] == 13 for r in rows)
+
+
+def test_phrase_that_many_items_share(spark, documents, prose, monkeypatch):
+    phrase = prose(500, 16)
+    items = [(i, f"{prose(600 + i, 20)} {phrase} {prose(1600 + i, 3)}") for i in range(300)] + [(i, "two words") for i in range(300, 340)]
+    docs = [(d, f"{prose(3000 + d, 30)} {phrase} {prose(4000 + d, 9)} two words") for d in range(20)] + [(50, items[7][1]), (51, "two words")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contamination(documents(docs), benchmark, carry=["doc_id", "text"]).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found)
+    assert got == sorted((i, *w) for (i, _), w in zip(docs, brute(docs, items)))
+
+    hashed = [decontamination.words_of(pa.array([t]), decontamination.ALNUM)[0] for _, t in items]
+    index = decontamination.Index([str(i) for i, _ in items], hashed)
+    hashes, text, _, _ = decontamination.words_of(pa.array([t for _, t in docs]), decontamination.ALNUM)
+
+    def hits():
+        parts = list(index.hits(hashes, text))
+        return max(len(first) for first, _, _ in parts), sorted({x for part in parts for x in zip(*(c.tolist() for c in part))})
+
+    whole = hits()
+    monkeypatch.setattr(decontamination, "EXPANDED", 97)
+    largest, same = hits()
+    assert largest <= 97 < whole[0] and same == whole[1]
