@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corpus import SEED, TEST_RATIO, adjacent_pairs, route_split
+from ..session import is_folder
 from .improvements import FLAGS, latest_flags, streamed_improvements
 
 __all__ = [
     "FLAGS", "append_closed", "append_flags", "dashboard", "latest_flags", "publish", "step_rate", "stream_documents",
-    "stream_pairs", "streamed_improvements",
+    "stream_pairs", "stream_table", "streamed_improvements",
 ]
 
 
@@ -28,6 +29,17 @@ def stream_documents(
     )
 
 
+def stream_table(
+    spark: SparkSession, directory: str, name: str, source: str, schema: T.StructType, id_column: str = "doc_id"
+) -> DataFrame:
+    """Documents of the table ``name`` in a directory: all files of a folder of that name, or the one file. A stream lists the
+    files of one folder, so a table that is a folder is streamed from itself and a single file from the folder it lies in."""
+    path = f"{directory}/{name}"
+    if is_folder(spark, path):
+        return stream_documents(spark, path, source, schema, id_column, "*")
+    return stream_documents(spark, directory, source, schema, id_column, name)
+
+
 def stream_pairs(
     docs: DataFrame, path: str, checkpoint: str, test_ratio: float = TEST_RATIO, seed: int = SEED
 ) -> StreamingQuery:

@@ -35,3 +35,16 @@ def test_dashboard_and_step_rate(spark, tmp_path):
     streaming.append_closed(streaming.step_rate(stream_metrics(spark, path)), out, str(tmp_path / "s2")).awaitTermination()
     hours = sorted(r["window_start"].hour for r in spark.read.parquet(out).collect())
     assert hours == [0, 1, 2, 3]
+
+
+def test_a_table_streams_whole_as_a_folder_or_a_file(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id bigint, text string")
+    docs.repartition(4).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "documents.parquet").write_bytes(next((tmp_path / "written").glob("part-*")).read_bytes())
+    for kind in ("folder", "file"):
+        stream = streaming.stream_table(spark, str(tmp_path / kind), "documents.parquet", "wiki", docs.schema)
+        out = str(tmp_path / f"{kind}-out")
+        streaming.append_closed(stream, out, str(tmp_path / f"{kind}-state")).awaitTermination()
+        assert spark.read.schema(stream.schema).parquet(out).count() == 20
