@@ -2,8 +2,8 @@
 
 A full stop behind an abbreviation ends no sentence, unless what follows is known to start sentences. Which words are
 abbreviations, which start sentences and which pairs belong together is told by log-likelihood ratios over counts of words, as
-in the published method for unsupervised sentence boundaries: one aggregation over words, and one over pairs of words at full
-stops once the abbreviations are known. The lists are bounded and become part of an expression, so splitting needs no join,
+in the published method for unsupervised sentence boundaries. One aggregation over the text counts words and pairs of words at
+sentence ends; the rest works on these counts. The lists are bounded and become part of an expression, so splitting needs no join,
 no Python and no shuffle, and the same plan streams.
 """
 
@@ -67,19 +67,26 @@ def _type(word: Column) -> Column:
 
 
 def word_pairs(docs: DataFrame) -> DataFrame:
-    """``word, stop, ends, following``: each word of a paragraph's lines, whether it has a full stop, whether a sentence could end
-    behind it, and the word that follows (null at the end)."""
-    words = F.split(collapse(F.col("paragraph")), " ")
-    pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"))
+    """``word, stop, ends, following, times``: the words of a paragraph's lines, whether they have a full stop, whether a sentence
+    could end behind them, the word that then follows (null at the end, and where no sentence could end), and how often this occurs.
+
+    Words are counted as they are written, so that the text is read once and whatever is told of a word is told of each distinct
+    one. The counts are written: everything that is learnt comes from them.
+    """
     parts = docs.select(F.explode_outer(F.split("text", "\n\n")).alias("paragraph"))
-    each = parts.select(F.explode_outer(pairs).alias("p")).select("p.a", "p.b")
-    told = each.select(_type(F.col("a")).alias("word"), _core(F.col("a")).endswith(".").alias("stop"), F.col("a").rlike("[.!?]$").alias("ends"), _type(F.col("b")).alias("following"))
+    words = parts.select(F.split(collapse(F.col("paragraph")), " ").alias("a"))
+    each = words.select(F.explode_outer(F.arrays_zip("a", F.slice("a", 2, F.size("a")).alias("b"))).alias("p")).select("p.a", "p.b")
+    ends = F.col("a").rlike("[.!?]$").alias("ends")
+    counted = each.groupBy("a", ends, F.when(ends, F.col("b")).alias("b")).agg(F.count("*").alias("times"))
+    counted = written(counted, "counted_words")
+    told = counted.select(_type(F.col("a")).alias("word"), _core(F.col("a")).endswith(".").alias("stop"), "ends", _type(F.col("b")).alias("following"), "times")
     return told.where(F.lower("word") != F.upper("word"))
 
 
 def word_counts(pairs: DataFrame) -> DataFrame:
     """``word, n, stops``: occurrences, and those with a full stop."""
-    return pairs.groupBy("word").agg(F.count("*").alias("n"), F.count_if("stop").alias("stops"))
+    stops = F.sum(F.when(F.col("stop"), F.col("times")).otherwise(0))
+    return pairs.groupBy("word").agg(F.sum("times").alias("n"), stops.alias("stops"))
 
 
 def abbreviation_scores(counts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -111,7 +118,7 @@ def _likelihood(together: Column, first: Column, second: Column, total: Column)
 def starter_scores(pairs: DataFrame, counts: DataFrame, abbreviations: tuple[str, ...]) -> DataFrame:
     """``word, n, starts, score`` of words that follow a sure sentence end more often than others."""
     sure = pairs.where(F.col("ends") & F.col("following").isNotNull() & ~(F.col("stop") & _among(F.col("word"), abbreviations)))
-    starts = sure.groupBy(F.col("following").alias("word")).agg(F.count("*").alias("starts"))
+    starts = sure.groupBy(F.col("following").alias("word")).agg(F.sum("times").alias("starts"))
     sums = counts.agg(F.sum("n").alias("total")).crossJoin(starts.agg(F.sum("starts").alias("ends")))
     known = starts.join(counts, "word").crossJoin(F.broadcast(sums)).where("starts * total > n * ends and ends < total and starts <= n")
     return known.select("word", "n", "starts", _likelihood(*(F.col(c) for c in ("starts", "ends", "n", "total"))).alias("score"))
@@ -120,7 +127,7 @@ def starter_scores(pairs: DataFrame, counts: DataFrame, abbreviations: tuple[str
 def collocation_scores(pairs: DataFrame, counts: DataFrame, abbreviations: tuple[str, ...]) -> DataFrame:
     """``word, following, together, score`` of abbreviations and words that follow them more often than others."""
     met = pairs.where(F.col("stop") & F.col("following").isNotNull() & _among(F.col("word"), abbreviations))
-    met = met.groupBy("word", "following").agg(F.count("*").alias("together")).where("together > 1")
+    met = met.groupBy("word", "following").agg(F.sum("times").alias("together")).where("together > 1")
     total = counts.agg(F.sum("n").alias("total"))
     second = counts.select(F.col("word").alias("following"), F.col("n").alias("n_following"))
     known = met.join(counts, "word").join(second, "following").crossJoin(F.broadcast(total))
@@ -135,7 +142,11 @@ def _best(scores: DataFrame, least: float, most: int, *key: str) -> tuple[str, .
 
 def learn_sentence_model(docs: DataFrame, least: int = LEAST, most: int = MOST) -> SentenceModel:
     """Abbreviations, sentence starters and collocations of all texts of ``docs``, of each at most ``most`` with the best scores."""
-    pairs = word_pairs(docs)
+    return learn_from_pairs(word_pairs(docs), least, most)
+
+
+def learn_from_pairs(pairs: DataFrame, least: int = LEAST, most: int = MOST) -> SentenceModel:
+    """:func:`learn_sentence_model` from the counts of :func:`word_pairs`."""
     counts = written(word_counts(pairs), "word_counts")
     abbreviations = _best(abbreviation_scores(counts, least), ABBREVIATION, most, "word")
     starters = _best(starter_scores(pairs, counts, abbreviations), STARTER, most, "word")

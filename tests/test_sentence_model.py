@@ -62,3 +62,17 @@ def test_scores_are_those_of_the_published_formula(spark):
     assert set(got) == {"dr", "u.s", "home"}
     for word, args in {"dr": (50, 50, 2, 0), "u.s": (20, 18, 2, 1), "home": (100, 10, 4, 0)}.items():
         assert abs(got[word] - score(*args)) < 1e-9 * abs(score(*args)) + 1e-12
+
+
+def test_the_text_is_counted_once(spark, monkeypatch):
+    made = sentence_model.written
+    names = []
+    monkeypatch.setattr(sentence_model, "written", lambda df, name: names.append(name) or made(df, name))
+    docs = documents(spark, ["He met Dr. Who. He met Dr. Who. (The End.) the end"])
+    pairs = sentence_model.word_pairs(docs)
+    assert names == ["counted_words"] and "ExplodeMode" not in pairs._jdf.queryExecution().toString() and "explode" not in pairs._jdf.queryExecution().toString()
+    got = sorted((r["word"], r["stop"], r["ends"], r["following"] or "", r["times"]) for r in pairs.collect())
+    assert got == [
+        ("dr", True, True, "who", 2), ("end", False, False, "", 1), ("end.", False, False, "", 1), ("he", False, False, "", 2),
+        ("met", False, False, "", 2), ("the", False, False, "", 1), ("the", False, False, "", 1), ("who", True, True, "he", 1), ("who", True, True, "the", 1),
+    ]
