@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_text import ODD
 
 from corpusloom.catalog.derived import all_documents
-from corpusloom.functions.text import SPECIAL_TOKENS
+from corpusloom.functions.text import SPECIAL_IDS, SPECIAL_TOKENS, from_byte_symbols
 from corpusloom.operators import bpe, encoding
 from corpusloom.operators.vocabulary import Vocabulary, byte_vocabulary, seed_tokens, special_mismatches, token_usage
 from corpusloom.sources.documents import scan_documents
@@ -200,3 +200,17 @@ def test_token_usage(spark):
     df = texts_table(spark, ["aa b", "a <mask>"]).select(encoding.encode(F.col("text"), v).alias("ids"))
     got = {r["token"]: r["n"] for r in token_usage(df, "ids", v).collect()}
     assert got == {"a": 3, "b": 1, "Ġ": 4, "<mask>": 1}
+
+
+def test_symbols_are_taken_back_in_the_vocabulary_not_in_each_text(spark):
+    vocabulary = byte_vocabulary()
+    every = list(range(-1, len(vocabulary) + 1))
+    ids = spark.createDataFrame([(every,), (list(SPECIAL_IDS.values()),), ([],)], "ids array<int>")
+    for skip in (True, False):
+        made = ids.select(encoding.decode(F.col("ids"), vocabulary, skip).alias("text"))
+        assert "translate" not in made._jdf.queryExecution().optimizedPlan().toString()
+        joined = ["".join(vocabulary.tokens[i] for i in row if (5 if skip else 0) <= i < len(vocabulary)) for (row,) in ids.collect()]
+        want = spark.createDataFrame([(j,) for j in joined], "j string").select(from_byte_symbols(F.col("j")))
+        got = [r[0] for r in made.collect()]
+        # Translating a text drops U+0000, which the byte's token stands for.
+        assert "\x00" in got[0] and [g.replace("\x00", "") for g in got] == [r[0] for r in want.collect()]
