@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -41,3 +43,16 @@ def test_no_work_array_is_as_long_as_a_batch(monkeypatch):
     made = pa.concat_arrays(list(run(iter([batch]))))
     assert len(made) == 500 and sum(seen) == 500 and max(seen) * 80 <= 1000
     assert np.array_equal(made[499].as_py(), [*b"word and" * 10])
+
+
+def test_work_on_a_full_batch_of_contexts_stays_small():
+    context = [f" word{i}" for i in range(100)]
+    pieces = pa.array([context] * 10_000, pa.list_(pa.string()))
+    nothing = pa.nulls(len(pieces), pa.list_(pa.int32()))
+    columns = (pieces, nothing.cast(pa.list_(pa.bool_())), nothing, pa.array([sum(map(len, context)) - 1] * len(pieces)))
+    for run, batch in ((merging.ids_function, pieces), (merging.spans_function, columns)):
+        tracemalloc.start()
+        rows = sum(len(part) for part in run((), list(range(256)), {"<pad>": 0}).func(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 10_000 and peak < 48 << 20
