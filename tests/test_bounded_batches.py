@@ -2,16 +2,25 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import merging
-from corpusloom.operators import encoding
+from corpusloom.operators import encoding, samples
 from corpusloom.operators.vocabulary import byte_vocabulary
 
 # Folding moves characters of some of them, reserved tokens cut others, and some have no piece.
 ODD = ["", None, "plain words here", "été a là <mask> carte", "한국어 <eos><eos>x", "  two  spaces", "日本 \U0001f600"]
 
 
+@pytest.fixture
+def vocabularies():
+    plain = byte_vocabulary()
+    a, b = plain.tokens.index("a"), plain.tokens.index("r")
+    merged = type(plain)((*plain.tokens, "ar"), ((a, b, len(plain.tokens)),))
+    return plain, merged
+
+
 def test_rows_are_cut_into_slices_by_their_bytes(monkeypatch):
     monkeypatch.setattr(merging, "SLICE_BYTES", 10)
     pieces = pa.array([["abcd", "ef"], None, ["gh"], ["i" * 50], [], ["é" * 4], ["j", "k"], ["l"]], pa.list_(pa.string()))
@@ -56,3 +65,26 @@ def test_work_on_a_full_batch_of_contexts_stays_small():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert rows == 10_000 and peak < 48 << 20
+
+
+def test_texts_that_need_no_cutting_give_the_ids_of_their_pieces(spark):
+    texts = spark.createDataFrame([(x,) for x in [*ODD, "<", " <eos> a", "a\x1c b\u3000c", "\u0301 x", "x" * 300]], "text string")
+    broken = texts.limit(1).select(F.unhex(F.lit("61e962ff20f09f98")).cast("string").alias("text"))
+    texts = texts.unionByName(broken)
+    for lowercase in (True, False):
+        one = encoding.ids_function((), encoding.byte_ids(), encoding._SPECIAL_IDS)
+        cut = one(encoding.pieces_for_encoding(F.col("text"), lowercase))
+        uncut = one(encoding.uncut_for_encoding(F.col("text"), lowercase))
+        rows = texts.select(cut.alias("cut"), uncut.alias("uncut")).collect()
+        assert len(rows) == 13 and [r["cut"] for r in rows] == [r["uncut"] for r in rows]
+
+
+def test_two_texts_of_a_row_are_encoded_by_one_worker(spark, vocabularies):
+    texts = spark.createDataFrame([(a, b) for a in ODD for b in ODD], "s1 string, s2 string")
+    for vocabulary in vocabularies:
+        ids = samples.pair_ids(texts, vocabulary, "s1", "s2")
+        plan = ids._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and ("regexp_extract_all" in plan) == bool(vocabulary.merges)
+        one_by_one = ids.select("i1", "i2", encoding.encode(F.col("s1"), vocabulary).alias("e1"), encoding.encode(F.col("s2"), vocabulary).alias("e2"))
+        rows = one_by_one.collect()
+        assert len(rows) == 49 and all(r["i1"] == r["e1"] and r["i2"] == r["e2"] for r in rows)
