@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import merging
-from corpusloom.operators import encoding, samples
+from corpusloom.operators import encoding, qa_features, samples
 from corpusloom.operators.vocabulary import byte_vocabulary
 
 # Folding moves characters of some of them, reserved tokens cut others, and some have no piece.
@@ -88,3 +88,36 @@ def test_two_texts_of_a_row_are_encoded_by_one_worker(spark, vocabularies):
         one_by_one = ids.select("i1", "i2", encoding.encode(F.col("s1"), vocabulary).alias("e1"), encoding.encode(F.col("s2"), vocabulary).alias("e2"))
         rows = one_by_one.collect()
         assert len(rows) == 49 and all(r["i1"] == r["e1"] and r["i2"] == r["e2"] for r in rows)
+
+
+def test_slices_of_a_full_batch_are_found_without_arrays_of_its_pieces():
+    pieces = pa.array([[f" word{i}" for i in range(100)]] * 10_000, pa.list_(pa.string()))
+    tracemalloc.start()
+    slices = list(merging.row_slices(pieces, pieces.cast(pa.list_(pa.large_string()))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in slices) == 10_000 and len(slices) > 40 and peak < 1 << 20
+    assert merging.bytes_before(pieces.slice(3, 2)).tolist() == [0, 690, 1380]
+
+
+def test_question_and_context_are_encoded_by_one_worker(spark, vocabularies, monkeypatch):
+    monkeypatch.setattr(merging, "SLICE_BYTES", 64)
+    examples = spark.createDataFrame([(a, b) for a in ODD for b in ODD], "question string, context string").coalesce(1)
+    for vocabulary in vocabularies:
+        made = qa_features.encode_examples(examples, vocabulary)
+        assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        apart = made.select(
+            "q_ids", "c_ids", "c_offsets",
+            encoding.encode(F.col("question"), vocabulary).alias("q"), encoding.encode_with_offsets(F.col("context"), vocabulary).alias("c"),
+        )
+        rows = apart.collect()
+        assert len(rows) == 49 and all(r["q_ids"] == r["q"] and r["c_ids"] == r["c"]["ids"] and r["c_offsets"] == r["c"]["offsets"] for r in rows)
+
+
+def test_indexes_of_evaluation_features_need_no_context(spark, vocabularies):
+    examples = spark.createDataFrame([(i, "q" * n, "some context") for i, n in enumerate((0, 3, 9, 10, 60))], "ex_idx long, question string, context string")
+    for vocabulary in vocabularies:
+        judged = qa_features.judged_features(qa_features.encode_examples(examples, vocabulary), False, 12, 64)
+        whole = sorted(r[0] for r in qa_features.eval_features(judged, 12).select("feature_index").collect())
+        alone = qa_features.eval_feature_indexes(examples.drop("context"), vocabulary, 12, 64)
+        assert sorted(r[0] for r in alone.collect()) == whole and 0 < len(whole) < 5
