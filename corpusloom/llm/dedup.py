@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import passing_tables, written
 from .anchors import CONTEXTS, anchors, contexts, joined_lines, lengthened
 from .common import lookup, map_batches
 from .near_groups import membership, near_classes
@@ -67,7 +67,8 @@ def repeated_passages(
     document, place and text.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    whole = written(repeated_paragraphs(docs, min_words, shingle_words, similarity), "paragraphs")
+    with passing_tables(docs.sparkSession) as keep:
+        whole = keep(written(repeated_paragraphs(docs, min_words, shingle_words, similarity), "paragraphs"))
     return whole.unionByName(repeated_runs(docs, whole, min_words))
 
 
@@ -106,15 +107,16 @@ def repeated_runs(docs: DataFrame, whole: DataFrame, min_words: int) -> DataFram
     one in the smallest document, there the first, of those without words in removed paragraphs, if there are any.
     ``paragraph`` is the line of the anchored passage's first word, ``n_words`` counts the lengthened one.
     """
-    marks = written(anchors(docs, min_words), "anchors")
-    counts = written(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
-    found = lookup(marks, counts, ["hash"], "n", marks.count())
-    found = found.groupBy("hash", "doc_id", "at").agg(F.min(F.struct("paragraph", "last", "n_lines")).alias("l")).select("hash", "doc_id", "at", "l.*")
-    gone = whole.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
-    lines = F.sequence("paragraph", "last")
-    found = found.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = found.where(F.size(F.array_intersect(lines, "gone")) < F.col("n_lines")).withColumn("touches", F.arrays_overlap(lines, "gone"))
-    left = written(left.drop("gone", "last", "n_lines"), "anchors_left")
+    with passing_tables(docs.sparkSession) as keep:
+        marks = written(anchors(docs, min_words), "anchors")
+        counts = written(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
+        found = lookup(marks, counts, ["hash"], "n", marks.count())
+        found = found.groupBy("hash", "doc_id", "at").agg(F.min(F.struct("paragraph", "last", "n_lines")).alias("l")).select("hash", "doc_id", "at", "l.*")
+        gone = whole.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
+        lines = F.sequence("paragraph", "last")
+        found = found.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+        left = found.where(F.size(F.array_intersect(lines, "gone")) < F.col("n_lines")).withColumn("touches", F.arrays_overlap(lines, "gone"))
+        left = keep(written(left.drop("gone", "last", "n_lines"), "anchors_left"))
     place = F.struct("touches", "doc_id", "at", "paragraph")
     groups = left.groupBy("hash").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
     told = written(lookup(left, written(groups, "groups"), ["hash"], "n", left.count()), "told")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import passing_tables, written
 from .common import components, lookup, map_batches, runs, salted
 from .words import SPACED, mix, shingles_of, words_of
 
@@ -238,6 +238,14 @@ def near_classes(
     the bands is confirmed on the full sets. Sets are told apart by their digests alone, so texts that share an id are judged
     one by one. With 28 bands of 5 minima a pair of similarity 0.85 is missed by the bands once in 13 million.
     """
+    with passing_tables(items.sparkSession) as keep:
+        signed, found = _near_classes(items, shingle_words, similarity, bands, rows, table)
+        return keep(signed), keep(found)
+
+
+def _near_classes(
+    items: DataFrame, shingle_words: int, similarity: tuple[int, int], bands: int, rows: int, table: np.ndarray
+) -> tuple[DataFrame, DataFrame]:
     ratio = similarity[0] / similarity[1]
     plain = items.select("id", "text", F.xxhash64("text").alias("text_hash"))
     signed = written(map_batches(plain, signer(shingle_words, bands, rows, table), _SIGNED), "signed")
@@ -292,7 +300,8 @@ def near_classes(
     found = lookup(result, written(heads, "heads"), ["node"], "n", result.count())
     head = F.struct("class_id", "high", "low") == F.col("least")
     found = found.select("high", "low", "copies", "class_id", F.col("least.class_id").alias("component"), head.alias("head"))
-    return signed.select("id", "text_hash", "n_shingles", "high", "low"), written(found, "named_classes")
+    # without the signatures, which are most of it
+    return written(signed.select("id", "text_hash", "n_shingles", "high", "low"), "items"), written(found, "named_classes")
 
 
 def membership(signed: DataFrame, classes: DataFrame) -> DataFrame:

@@ -207,3 +207,15 @@ def test_passage_in_short_lines(documents, prose):
 )
 def test_short_lines_joined(counts, ends, want):
     assert list(_blocks(counts, ends, 25)) == want
+
+
+def test_tables_of_steps_that_are_done_take_no_disk(spark, tmp_path, monkeypatch):
+    from corpusloom import session
+
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {i}\n" + "\n".join([f"short line {i}"] * 9)) for i in range(8)], "doc_id long, text string")
+    found = dedup.repeated_passages(docs)
+    left = {p.name.rsplit("-", 5)[0].split("-")[0] for p in tmp_path.glob("*/*")}
+    assert found.where("removed").count() >= 7 and "paragraphs" in left
+    assert not left & {"signed", "classes", "members", "sets", "joined", "items", "places", "anchors"}
