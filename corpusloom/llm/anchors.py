@@ -13,7 +13,7 @@ from .words import SPACED, data_of, runs_of, words_of
 
 CONTEXTS = "hash long, doc_id long, at int, before binary, after binary"
 _MARKS = "hash long, doc_id long, at int, paragraph int, last int, n_lines int"
-JOINED = "doc_id long, paragraph int, n_words int, lines array<int>, text string"
+PARAGRAPHS = "doc_id long, paragraph int, n_words int, lines array<int>, text string"
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -106,11 +106,24 @@ def contexts(n_words: int) -> Callable:
     return beside
 
 
-def _equal(one: bytes, two: bytes) -> int:
-    """Number of equal hashes up to the first difference."""
-    n = min(len(one), len(two)) // 8
-    other = np.frombuffer(one, np.uint64, n) != np.frombuffer(two, np.uint64, n)
-    return int(other.argmax()) if other.any() else n
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all rows end to end, and where each row's begin, with the end."""
+    raw = column.cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    if not len(raw) or bounds[-1] == bounds[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64), (bounds - bounds[0]) // 8
+
+
+def _equal(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """Number of equal hashes up to the first difference, row by row."""
+    (x, x_at), (y, y_at) = _hashes(one), _hashes(two)
+    n = np.minimum(np.diff(x_at), np.diff(y_at))
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    other = np.flatnonzero(x[np.repeat(x_at[:-1], n) + place] != y[np.repeat(y_at[:-1], n) + place])
+    row, first = np.unique(np.repeat(np.arange(len(n)), n)[other], return_index=True)
+    n[row] = place[other[first]]
+    return n
 
 
 def lengthened(rows: DataFrame) -> DataFrame:
@@ -124,11 +137,8 @@ def lengthened(rows: DataFrame) -> DataFrame:
         for batch in batches:
             column = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             # a copy that stays equals itself beside its passage, and stays as it is
-            moves = np.array(column["removed"].to_pylist(), bool)
-            left, right = (
-                np.array([_equal(x.as_py(), y.as_py()) for x, y in zip(column[p], column[q])], np.int32) * moves
-                for p, q in (("before", "b"), ("after", "a"))
-            )
+            moves = column["removed"].to_numpy(zero_copy_only=False).astype(bool)
+            left, right = (_equal(column[p], column[q]) * moves for p, q in (("before", "b"), ("after", "a")))
             column["first_word"] = pa.array(column["first_word"].to_numpy() - left, pa.int32())
             column["n_words"] = pa.array(column["n_words"].to_numpy() + left + right, pa.int32())
             yield pa.RecordBatch.from_arrays([column[c] for c in kept], names=kept)
@@ -156,8 +166,8 @@ def _blocks(counts: list[int], ends: list[bool], min_words: int) -> Iterator[lis
             done, lines, words = [], [], 0
 
 
-def _join(min_words: int) -> Callable:
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(min_words: int) -> Callable:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             texts = batch.column(1)
             hashes, text, start, _ = words_of(texts, SPACED)
@@ -176,27 +186,26 @@ def _join(min_words: int) -> Callable:
             for k in np.flatnonzero(np.bincount(text, minlength=batch.num_rows) >= min_words).tolist():
                 at, end = int(base[k]), int(base[k + 1]) if k + 1 < batch.num_rows else total
                 own = counts[at:end]
-                if own[own < min_words].sum() < min_words:
-                    continue
-                parts = None
-                for lines in _blocks(own.tolist(), marked[at:end].tolist(), min_words):
-                    parts = parts or texts[k].as_py().split("\n")
-                    found.append((batch.column(0)[k].as_py(), lines[0], int(own[lines].sum()), lines, "\n".join(parts[i] for i in lines)))
+                blocks = [[i] for i in np.flatnonzero(own >= min_words).tolist()]
+                if own[own < min_words].sum() >= min_words:
+                    blocks.extend(_blocks(own.tolist(), marked[at:end].tolist(), min_words))
+                if blocks:
+                    doc, parts = batch.column(0)[k].as_py(), data[offsets[k] : offsets[k + 1]].tobytes().split(b"\n")
+                    found.extend((doc, lines[0], int(own[lines].sum()), lines, b"\n".join(parts[i] for i in lines)) for lines in blocks)
             columns = list(zip(*found)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "paragraph", "n_words", "lines", "text"]
-            )
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].view(pa.string())], names=["doc_id", "paragraph", "n_words", "lines", "text"])
 
-    return join
+    return cut
 
 
-def joined_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Adjacent lines with fewer than ``min_words`` words as paragraphs: ``doc_id, paragraph`` (number of the first), ``n_words,
-    lines`` (numbers of those with words), ``text``.
+def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
+    """Lines with at least ``min_words`` words, and adjacent ones with fewer joined: ``doc_id, paragraph`` (number of the first
+    line, from 0), ``n_words, lines`` (numbers of those with words), ``text``.
 
-    A paragraph ends, once it has ``min_words`` words, at an empty line or behind a line whose last word's hash says so: copies
+    A joined paragraph ends, once it has ``min_words`` words, at an empty line or behind a line whose last word's hash says so: copies
     are joined alike soon behind their start. What is left before a longer line belongs to the paragraph before; a few short
-    lines between longer ones with fewer words in all are no paragraph.
+    lines between longer ones with fewer words in all are no paragraph. All are cut in one pass over the texts.
     """
-    return map_batches(docs.select("doc_id", "text"), _join(min_words), JOINED)
+    return map_batches(docs.select("doc_id", "text"), _paragraphs(min_words), PARAGRAPHS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import passing_tables, written
-from .anchors import CONTEXTS, anchors, contexts, joined_lines, lengthened
+from .anchors import CONTEXTS, anchors, contexts, lengthened, paragraphs
 from .common import lookup, map_batches
 from .near_groups import membership, near_classes
 
@@ -43,19 +43,12 @@ def near_documents(
     )
 
 
-def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines with at least ``min_words`` words: ``doc_id, paragraph`` (number of the line from 0), ``n_words, text``."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text"))
-    lines = lines.where(F.octet_length("text") >= 2 * min_words - 1)  # so many words need so many bytes at least
-    return lines.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).where(F.col("n_words") >= min_words)
-
-
 def repeated_passages(
     docs: DataFrame, min_words: int = 25, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
     """Text that repeats, within a document or across documents, with the place of the copy that stays.
 
-    Paragraphs are lines of ``min_words`` words or more, and adjacent shorter lines joined (``joined_lines``). One row per
+    Paragraphs are lines of ``min_words`` words or more, and adjacent shorter lines joined (``anchors.paragraphs``). One row per
     paragraph of a group of near copies: ``doc_id, paragraph`` (first line), ``n_words, copies, group_doc, group_paragraph,
     removed, lines`` (those with words), with ``first_word`` null. Groups are the connected components of paragraphs whose sets of word runs have a
     Jaccard similarity of at least ``similarity``; the copy in the smallest document, there the first, stays.
@@ -74,15 +67,15 @@ def repeated_passages(
 
 def repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
     """The rows of ``repeated_passages`` for whole paragraphs."""
-    single = paragraphs(docs, min_words).withColumn("lines", F.array("paragraph"))
-    joined = written(joined_lines(docs, min_words), "joined")
-    places = single.unionByName(joined).withColumn("id", F.xxhash64("doc_id", "paragraph", "text"))
+    # read three times below: texts are cut and words counted once
+    places = written(paragraphs(docs, min_words).withColumn("id", F.xxhash64("doc_id", "paragraph", "text")), "all_paragraphs")
     signed, classes = near_classes(places.select("id", "text"), shingle_words, similarity, bands=20, rows=4)
-    found = membership(signed, classes)
-    groups = found.groupBy("component").agg(F.count("*").alias("copies")).where("copies > 1")
-    repeated = written(found.select("id", "component").join(groups, "component"), "repeated")
-    thin = places.select("id", "doc_id", "paragraph", "n_words", "lines").dropDuplicates(["id"])
-    rows = written(repeated.dropDuplicates(["id"]).join(thin, "id"), "places")
+    sizes = classes.groupBy("component").agg(F.sum("copies").alias("rows"), F.count("*").alias("n")).where("rows > 1")
+    groups = written(lookup(classes, written(sizes, "group_sizes"), ["component"], "n", classes.count()).drop("n"), "groups_of_classes")
+    found = lookup(signed.where("high is not null"), groups, ["high", "low"], "copies", signed.count())
+    repeated = written(found.select("id", "component", F.col("rows").alias("copies")), "repeated")
+    thin = places.select("id", "doc_id", "paragraph", "n_words", "lines")
+    rows = written(repeated.dropDuplicates(["id"]).join(thin, "id").dropDuplicates(["id"]), "places")
     place = F.struct("doc_id", "paragraph")
     least = rows.groupBy("component").agg(F.min(place).alias("least"), F.count("*").alias("n"))
     told = lookup(rows, written(least, "least"), ["component"], "n", rows.count())
@@ -111,7 +104,7 @@ def repeated_runs(docs: DataFrame, whole: DataFrame, min_words: int) -> DataFram
         marks = written(anchors(docs, min_words), "anchors")
         counts = written(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
         found = lookup(marks, counts, ["hash"], "n", marks.count())
-        found = found.groupBy("hash", "doc_id", "at").agg(F.min(F.struct("paragraph", "last", "n_lines")).alias("l")).select("hash", "doc_id", "at", "l.*")
+        found = found.repartition("doc_id").groupBy("doc_id", "hash", "at").agg(F.min(F.struct("paragraph", "last", "n_lines")).alias("l")).select("hash", "doc_id", "at", "l.*")
         gone = whole.where("removed").groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
         lines = F.sequence("paragraph", "last")
         found = found.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))

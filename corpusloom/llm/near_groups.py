@@ -31,9 +31,12 @@ _BLOCK, _BLOCK_SHINGLES = 1500, 4_000_000
 def distinct_per_text(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of every text one after the other, and where each text's values start (with the end)."""
     cuts = np.searchsorted(owner, np.arange(n + 1))
-    parts = [np.unique(h[cuts[i] : cuts[i + 1]]) for i in range(n)]
-    sizes = np.fromiter((len(p) for p in parts), np.int64, n)
-    return np.concatenate(parts) if parts else h, np.concatenate([[0], np.cumsum(sizes)])
+    h = h.copy()
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        h[first:end].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(new)])[cuts]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -316,16 +319,25 @@ def membership(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _band_key(band: Column, rows: int) -> Column:
-    return F.xxhash64(band, F.substring("signature", band * (2 * rows) + 1, F.lit(2 * rows)))
+    """Band in the upper byte, so that keys order like their bands, and 56 bits of the hash of its minima."""
+    minima = F.xxhash64(band, F.substring("signature", band * (2 * rows) + 1, F.lit(2 * rows)))
+    return F.shiftleft(band.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(minima, 8))
 
 
 def _members(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, band, n, shingles, id): the classes of every band value that two classes or more share."""
-    cut = classes.select(F.col("node").alias("id"), "size", "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    thin = cut.select(_band_key(F.col("band"), rows).alias("bucket"), F.col("band").cast("smallint").alias("band"), "id", "size")
-    buckets = thin.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    """(bucket, band, n, shingles, id): the classes of every band value that two classes or more share.
+
+    Close classes share many bands, so many buckets hold the same classes. Of these the one of the first band stays: a pair is
+    looked at in the first band that has it, and no bucket of that band can be among those that go. They are told by their
+    number, the sum of their sizes and a 64-bit digest. ``bands`` is below 128.
+    """
+    own = classes.select(F.col("node").alias("id"), "size", "signature", F.xxhash64("node").alias("mark"))
+    cut = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    thin = cut.select(_band_key(F.col("band"), rows).alias("bucket"), F.col("band").cast("smallint").alias("band"), "id", "size", "mark")
+    buckets = thin.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor("mark").alias("marks"))
+    buckets = buckets.where("n > 1").groupBy("marks", "n", "shingles").agg(F.min("bucket").alias("bucket")).drop("marks")
     total = classes.count() * bands
-    return lookup(thin.drop("size"), written(buckets, "buckets"), ["bucket"], "n", total)
+    return lookup(thin.drop("size", "mark"), written(buckets, "buckets"), ["bucket"], "n", total)
 
 
 def _dealt(members: DataFrame, named: DataFrame) -> DataFrame:

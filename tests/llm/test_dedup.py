@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import dedup
+from corpusloom.llm import anchors, dedup, near_groups
 from corpusloom.llm.anchors import _blocks
 from corpusloom.llm.common import components
 
@@ -219,3 +221,35 @@ def test_tables_of_steps_that_are_done_take_no_disk(spark, tmp_path, monkeypatch
     left = {p.name.rsplit("-", 5)[0].split("-")[0] for p in tmp_path.glob("*/*")}
     assert found.where("removed").count() >= 7 and "paragraphs" in left
     assert not left & {"signed", "classes", "members", "sets", "joined", "items", "places", "anchors"}
+
+
+def test_buckets_of_the_same_classes_come_once(spark):
+    one, two, three = (np.arange(n, n + 140, dtype=np.uint16) for n in (0, 1000, 2000))
+    two[10:] = one[10:]  # all bands but the first two, as two of the other table
+    three[:5] = one[:5]  # the first band with one only
+    rows = [(n, 60, s.tobytes()) for n, s in enumerate((one, two, three, np.arange(5000, 5140, dtype=np.uint16)))]
+    classes = spark.createDataFrame(rows, "node long, size long, signature binary")
+    members = near_groups._members(classes, 28, 5).collect()
+    assert sorted((r["band"], r["id"], r["n"], r["shingles"]) for r in members) == [(0, 0, 2, 120), (0, 2, 2, 120), (2, 0, 2, 120), (2, 1, 2, 120)]
+
+
+def test_equal_words_beside_two_copies_are_counted_row_by_row():
+    hashes = [[], [1], [1, 2, 3], [1, 2, 3], [9, 2, 3], [4, 5]], [[1], [1], [1, 2, 3, 4], [1, 9, 9], [1, 2, 3], []]
+    one, two = (pa.array([np.array(h, np.uint64).tobytes() for h in rows], pa.binary()) for rows in hashes)
+    assert anchors._equal(one, two).tolist() == [0, 1, 3, 1, 0, 0]
+    assert anchors._equal(one.slice(2, 3), two.slice(2, 3)).tolist() == [3, 1, 0]
+    assert anchors._equal(one.slice(0, 1), two.slice(5, 1)).tolist() == [0]
+
+
+def test_texts_of_documents_are_cut_into_paragraphs_once(spark, monkeypatch):
+    calls = []
+    cut = dedup.paragraphs
+    monkeypatch.setattr(dedup, "paragraphs", lambda *a: calls.append(1) or cut(*a))
+    names, write = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: names.append((name, "MapInArrow" in df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    long, short = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(13))
+    docs = spark.createDataFrame([(i, f"{long}\n\n{short}\n{short} x\n") for i in range(3)], "doc_id long, text string")
+    rows = dedup.repeated_paragraphs(docs, 25, 5, (80, 100)).collect()
+    found = sorted((r["doc_id"], r["paragraph"], r["n_words"], r["lines"], r["copies"]) for r in rows)
+    assert found == [(d, *row, 3) for d in range(3) for row in ((0, 30, [0]), (2, 27, [2, 3]))]
+    assert len(calls) == 1 and [n for n, python in names if python] == ["all_paragraphs"]
