@@ -116,7 +116,8 @@ def repeated_runs(docs: DataFrame, whole: DataFrame, min_words: int) -> DataFram
     wanted = told.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
     texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "places")
     beside = map_batches(texts, contexts(min_words), CONTEXTS).groupBy("hash", "doc_id", "at").agg(F.min(F.struct("before", "after")).alias("c"))
-    rows = told.join(written(beside.select("hash", "doc_id", "at", "c.*"), "contexts"), ["hash", "doc_id", "at"])
+    # written joined, so that the wide rows are dealt by place once
+    rows = written(told.join(beside.select("hash", "doc_id", "at", "c.*"), ["hash", "doc_id", "at"]), "contexts")
     stays = rows.where((F.col("doc_id") == F.col("least.doc_id")) & (F.col("at") == F.col("least.at")))
     stays = written(stays.select("hash", F.col("before").alias("b"), F.col("after").alias("a"), "n"), "stays")
     rows = lookup(rows.withColumnRenamed("n", "copies"), stays, ["hash"], "n", told.count())
