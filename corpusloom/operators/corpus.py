@@ -45,6 +45,13 @@ def sentence_array(paragraph: Column, pattern: str | SentenceModel = SENTENCE_BR
     return F.split(collapse(paragraph), pattern)
 
 
+def _cut(docs: DataFrame, pattern: str | SentenceModel) -> tuple[DataFrame, Column]:
+    """Paragraphs of documents, and the column of their sentences; a model may have to join for it."""
+    if isinstance(pattern, SentenceModel) and pattern.joins:
+        return pattern.with_sentences(_parts(docs), "paragraph", "sentences"), F.col("sentences")
+    return _parts(docs), sentence_array(F.col("paragraph"), pattern)
+
+
 def long_enough(sentence: Column) -> Column:
     """Whether a collapsed sentence has enough characters and words."""
     spaces = F.length(sentence) - F.length(F.replace(sentence, F.lit(" "), F.lit("")))
@@ -53,16 +60,16 @@ def long_enough(sentence: Column) -> Column:
 
 def sentences(docs: DataFrame, pattern: str | SentenceModel = SENTENCE_BREAK, filtered: bool = True) -> DataFrame:
     """One row per sentence; ``pos`` counts the rows of its paragraph."""
-    found = F.filter(sentence_array(F.col("paragraph"), pattern), long_enough if filtered else lambda s: s != "")
-    rows = _parts(docs).select("source", "doc_id", "para", F.posexplode_outer(found).alias("pos", "sent"))
+    parts, cut = _cut(docs, pattern)
+    found = F.filter(cut, long_enough if filtered else lambda s: s != "")
+    rows = parts.select("source", "doc_id", "para", F.posexplode_outer(found).alias("pos", "sent"))
     return rows.filter(F.col("sent").isNotNull())
 
 
 def adjacent_pairs(docs: DataFrame, pattern: str | SentenceModel = SENTENCE_BREAK) -> DataFrame:
     """Neighbouring kept sentences of a paragraph. A dropped sentence does not separate its neighbours."""
-    kept = _parts(docs).select(
-        "source", "doc_id", "para", F.filter(sentence_array(F.col("paragraph"), pattern), long_enough).alias("kept")
-    )
+    parts, cut = _cut(docs, pattern)
+    kept = parts.select("source", "doc_id", "para", F.filter(cut, long_enough).alias("kept"))
     n = F.greatest(F.size("kept") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("kept", 1, n).alias("s1"), F.slice("kept", 2, n).alias("s2"))
     # The outer form keeps the optimizer from evaluating the sentences a second time in an inferred filter.

@@ -76,3 +76,36 @@ def test_the_text_is_counted_once(spark, monkeypatch):
         ("dr", True, True, "who", 2), ("end", False, False, "", 1), ("end.", False, False, "", 1), ("he", False, False, "", 2),
         ("met", False, False, "", 2), ("the", False, False, "", 1), ("the", False, False, "", 1), ("who", True, True, "he", 1), ("who", True, True, "the", 1),
     ]
+
+
+def cut_rows(rows):
+    return sorted((r["doc_id"], r["para"], r["pos"], r["sent"]) for r in rows.collect())
+
+
+def test_lists_too_long_for_an_expression_stay_whole(spark):
+    texts = [prose(k) for k in range(60)] + ["See no. Five. No. The end is near no. five.\n\nWho? Dr. Meyer. The U.S. The end.", "", None, " . ", "Dr.\n\n\n\nDr. The. a. ok"] * 6
+    docs = documents(spark, texts).select("source", (F.col("doc_id") % 7).alias("doc_id"), "text")
+    small = learn_sentence_model(docs)
+    assert min(len(small.abbreviations), len(small.starters), len(small.collocations)) > 1
+    want = cut_rows(corpus.sentences(docs, small, filtered=False))
+    pairs = corpus.adjacent_pairs(docs, small).collect()
+    large = learn_sentence_model(docs, most=1)
+    assert cut_rows(corpus.sentences(docs, large, filtered=False)) == want
+    assert sorted(corpus.adjacent_pairs(docs, large).collect()) == sorted(pairs)
+    assert large.joins and not small.joins
+    for field in ("abbreviations", "starters", "collocations"):
+        known = getattr(large, field)
+        assert sorted(r["known"] for r in known.collect()) == list(getattr(small, field))
+        one = SentenceModel(**{f: getattr(large if f == field else small, f) for f in ("abbreviations", "starters", "collocations")})
+        assert cut_rows(corpus.sentences(docs, one, filtered=False)) == want
+    assert want != cut_rows(corpus.sentences(docs, SentenceModel(), filtered=False))
+
+
+def test_given_tables_cut_like_given_tuples(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["", None, " . ", "a. B", "x.\n\ty.  z", "a. b", "Hm! a. \"B c.\" a. B. (a. D! a. C) a.", "no. Five no. four 1. Five"])], "i int, t string")
+    lists = {"abbreviations": ("a", "no", "1"), "starters": ("b", "five"), "collocations": ("no five",)}
+    want = sorted(SentenceModel(**lists).with_sentences(rows, "t", "s").collect())
+    assert [r["s"] for r in want][4:] == [["x.", "y.", "z"], ["a. b"], ["Hm!", "a.", "\"B c.\" a.", "B.", "(a. D!", "a. C) a."], ["no. Five no. four 1.", "Five"]]
+    tables = {f: spark.createDataFrame([(w,) for w in words], "known string") for f, words in lists.items()}
+    for some in (tables, *({**lists, f: t} for f, t in tables.items())):
+        assert sorted(SentenceModel(**some).with_sentences(rows, "t", "s").collect()) == want
