@@ -109,3 +109,17 @@ def test_given_tables_cut_like_given_tuples(spark):
     tables = {f: spark.createDataFrame([(w,) for w in words], "known string") for f, words in lists.items()}
     for some in (tables, *({**lists, f: t} for f, t in tables.items())):
         assert sorted(SentenceModel(**some).with_sentences(rows, "t", "s").collect()) == want
+
+
+def test_starters_are_told_with_all_abbreviations(spark):
+    """After a title no sentence starts, however many titles there are."""
+    sure = [("home", "the"), ("shop", "then")]
+    titles = [("dr", "smith"), ("mr", "jones"), ("st", "paul")]
+    rows = [(w, True, True, b, 300) for w, b in sure + titles]
+    rows += [(w, False, False, None, 900) for w, _ in sure] + [(w, False, False, None, 310) for w in ("the", "then", "smith", "jones", "paul")]
+    pairs = spark.createDataFrame([*rows, ("filler", False, False, None, 9000)], "word string, stop boolean, ends boolean, following string, times long")
+    counts = sentence_model.word_counts(pairs)
+    for most in (1, 20_000):
+        model = sentence_model.learn_from_pairs(pairs, most=most)
+        scores = sentence_model.starter_scores(pairs, counts, model.abbreviations).where(F.col("score") >= sentence_model.STARTER)
+        assert sorted(r["word"] for r in scores.collect()) == ["the", "then"]
